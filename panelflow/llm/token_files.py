@@ -5,7 +5,7 @@ file a range: integer run-length encoding (version 2) for the ids, a row index e
 ``ROW_INDEX_STRIDE`` rows, and a Bloom filter on ``doc_id``. The stripe size lets readers take
 single stripes in parallel; the index and the filter let them skip all others for a given id.
 
-Each distinct white-space-free chunk of a worker goes through the tokenizers library once: the
+Each distinct chunk without white space that a worker meets goes through the tokenizers library once: the
 vocabulary's normaliser and pre-tokeniser never look across white space, so the ids of a text are
 those of its chunks in turn.
 
@@ -17,7 +17,6 @@ empty table writes no rows.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from array import array
@@ -25,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +34,11 @@ END_ID = 1
 STRIPE_BYTES, ROW_INDEX_STRIDE, BLOOM_FPP = 64 << 20, 1000, 0.01
 #: Chunks remembered by a worker, and the longest one that is remembered.
 REMEMBERED, REMEMBERED_CHARS = 600_000, 40
+#: Bytes of text that are encoded at once.
+PIECE_BYTES = 4 << 20
 
-_chunks = re.compile(r"[ \n\t\r]+").split
-_plain = re.compile(r"([A-Za-z]+)([.,]*)").fullmatch
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 class Encoder:
@@ -47,31 +49,97 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {}
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, and the offsets of each text in them; a null text is empty.
+
+        Arrow cuts the texts at ASCII white space and numbers the distinct chunks, and numpy puts
+        their ids in place.
+        """
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        blobs = self._chunks(_strings(coded.dictionary))
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        at = coded.indices.to_numpy()
+        lengths = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        places = np.repeat(starts[at] - ends[:-1], lengths) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(blobs), np.uint32)[places]
+        cuts = lists.offsets.to_numpy()
+        return ids, ends[cuts - cuts[0]]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each distinct chunk."""
+        if len(self.known) > REMEMBERED // 2:  # the older half goes; what is still in use moves over
+            self.old, self.known = self.known, {"": b""}
+        row = list(map(self.known.get, chunks))
+        holes = [k for k, ids in enumerate(row) if ids is None]
+        if holes:
+            fresh = [chunks[k] for k in holes]
+            ids = list(map(self.old.get, fresh))
+            new = [k for k, x in enumerate(ids) if x is None]
+            for k, x in zip(new, self._new([fresh[k] for k in new]), strict=True):
+                ids[k] = x
+            for k, x in zip(holes, ids, strict=True):
+                row[k] = x
+            if max(map(len, fresh)) > REMEMBERED_CHARS:
+                self.known.update((c, x) for c, x in zip(fresh, ids, strict=True) if len(c) <= REMEMBERED_CHARS)
+            else:
+                self.known.update(zip(fresh, ids, strict=True))
+        return row
+
+    def _new(self, chunks: list[str]) -> list[bytes]:
+        """A plain word with points or commas after it is that word, lower-cased, and then those: the
+        vocabulary lower-cases, and its pre-tokeniser cuts between letters and points. All other
+        chunks are encoded as they are."""
+        every = pa.array(chunks, pa.string())
+        plain = pc.match_substring_regex(every, "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]*$")
+        out: list = [None] * len(chunks)
+        other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist()
+        for k, x in zip(other, self._each([chunks[k] for k in other]), strict=True):
+            out[k] = x
+        words = every.filter(plain)
+        bare = pc.ascii_rtrim(words, ".,")
+        cut = pc.utf8_length(bare).to_numpy().tolist()
+        stems = pc.utf8_lower(bare).dictionary_encode()
+        names = _strings(stems.dictionary)
+        ids = list(map(self.stems.get, names))
+        new = [k for k, x in enumerate(ids) if x is None]
+        if new:
+            if len(self.stems) > REMEMBERED // 2:
+                self.stems = {}
+            got = self._words([names[k] for k in new])
+            for k, x in zip(new, got, strict=True):
+                ids[k] = x
+            self.stems.update(zip([names[k] for k in new], got, strict=True))
+        tails: dict[str, bytes] = {"": b""}
+        for k, stem, n in zip(np.flatnonzero(plain.to_numpy(zero_copy_only=False)).tolist(), stems.indices.to_pylist(), cut, strict=True):
+            tail = chunks[k][n:]
+            if tail not in tails:
+                tails[tail] = self._each([tail])[0]
+            out[k] = ids[stem] + tails[tail]
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [_chunks(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        known = self.known
-        fresh = {c for chunks in split for c in chunks} - known.keys()
-        # An ASCII word with points or commas after it is that word, lower-cased, and then those: the
-        # vocabulary lower-cases, and its pre-tokeniser cuts between letters and points.
-        plain = {c: m.groups() for c in fresh if (m := _plain(c))}
-        need = (fresh - plain.keys()) | {x for w, tail in plain.values() for x in (w.lower(), tail) if x not in known}
-        got: dict[str, bytes] = {}
-        todo = list(need)
-        for at in range(0, len(todo), 4096):
-            part = todo[at : at + 4096]
-            got |= zip(part, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)], strict=True)
-        lookup = lambda x: got[x] if x in got else known[x]
-        got |= {c: lookup(w.lower()) + lookup(tail) for c, (w, tail) in plain.items()}
-        known.update(got)
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        for c in got:
-            if len(c) > REMEMBERED_CHARS:
-                del known[c]
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of small letters: many in one text, cut where a token ends its word."""
+        out: list[bytes] = []
+        lots = [words[at : at + 100] for at in range(0, len(words), 100)]
+        for lot, enc in zip(lots, self.tokenizer.encode_batch_fast([" ".join(lot) for lot in lots], add_special_tokens=False), strict=True):
+            ids = np.array(enc.ids, np.uint32)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            blob = ids.tobytes()
+            # a vocabulary without marked word ends, or one that cuts words, is asked word by word
+            out += [blob[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(lot) else self._each(lot)
         return out
 
 
@@ -93,17 +161,20 @@ def default_path() -> str:
 def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> None:
     """Writes ``(doc_id, shard, ids)`` to ORC files in ``folder``, ascending by doc_id over the files."""
     path = path or default_path()
-    tail = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                blobs = [ids + tail for ids in e.encode([t.as_py() or "" for t in part.column(1)])]
-                ends = np.cumsum([0, *(len(b) // 4 for b in blobs)], dtype=np.int32)
-                ids = pa.array(np.frombuffer(b"".join(blobs), np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, ids)], ["doc_id", "ids"])
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
+            at = 0
+            while at < batch.num_rows:  # pieces of bounded size
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PIECE_BYTES, side="right")))
+                part = batch.slice(at, to - at)
+                ids, ends = e.encode(part.column(1))
+                ids = np.insert(ids, ends[1:], end_id).astype(np.int32)
+                ends = (ends + np.arange(len(ends))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(ids))], ["doc_id", "ids"])
+                at = to
 
     (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
