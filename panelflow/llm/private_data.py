@@ -4,8 +4,8 @@ Base spans are found by pattern, per kind, leftmost and without overlaps. The me
 which other terms disclose a protected entity (a value found by a pattern): over the lines of the
 corpus, ``PMI(entity; term) / IC(entity)`` is the share of the entity's information that the term
 reveals, with PMI and information content from co-occurrence counts. Terms above ``GENERALISE``
-are generalised, terms above ``REMOVE`` are removed, wherever they stand; a pair must be seen in
-``SUPPORT`` different lines, so that copies of one line prove nothing.
+are generalised, terms above ``REMOVE`` are removed, in the documents that hold the entity; a pair
+must be seen in ``SUPPORT`` different lines, so that copies of one line prove nothing.
 
 Positions: the pieces between matches (``split``) and the matches (``regexp_extract_all``) take
 turns, so running sums of their lengths are the offsets, in code points. The patterns are written
@@ -79,12 +79,16 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+#: How a span names its entity.
+_ENTITY = "f -> concat(f.kind, ':', lower(f.value))"
+
+
 def _terms(line: str) -> str:
     return f"array_distinct(filter(split(lower({line}), '[^\\\\p{{L}}]+'), t -> length(t) >= {TERM_CHARS}))"
 
 
 def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """``term, disclosed``: terms that reveal at least ``generalise`` of some entity's information."""
+    """``entity, term, disclosed``: terms that reveal at least ``generalise`` of an entity's information."""
     texts = _texts(docs)
     lines = texts.select(F.explode(F.split("text", "\n")).alias("line"))
     n = texts.agg(F.sum(F.size(F.split("text", "\n")))).first()[0] or 0
@@ -93,7 +97,7 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float
         lines.where(F.expr("contains(line, '@') or line rlike '[0-9][^A-Za-z]{0,2}[0-9]'"))
         .withColumn("found", base_spans("line"))
         .where("size(found) > 0")
-        .select(F.xxhash64("line").alias("at"), F.expr("array_distinct(transform(found, f -> concat(f.kind, ':', lower(f.value))))").alias("entities"), F.expr(_terms(masked)).alias("terms"))
+        .select(F.xxhash64("line").alias("at"), F.expr(f"array_distinct(transform(found, {_ENTITY}))").alias("entities"), F.expr(_terms(masked)).alias("terms"))
     )
     held = Stored(held, "entity_lines").df
     entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("c_e"))
@@ -103,11 +107,11 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float
     joint = Stored(joint.where(F.col("lines") >= support), "joint")
     wanted = Stored(joint.df.select("term").distinct(), "terms")
     if joint.df.isEmpty():
-        return joint.df.select("term", F.lit(1.0).alias("disclosed"))
+        return joint.df.select("entity", "term", F.lit(1.0).alias("disclosed"))
     seen = lines.select(F.explode(F.expr(_terms("line"))).alias("term")).join(wanted.small(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("c_t"))
     share = F.log2(F.lit(float(n)) * F.col("c_et") / (F.col("c_e") * F.col("c_t"))) / F.log2(F.lit(float(n)) / F.col("c_e"))
     scored = joint.df.join(seen, "term").where(F.col("c_e") < n).withColumn("disclosed", share)
-    return scored.groupBy("term").agg(F.max("disclosed").alias("disclosed")).where(F.col("disclosed") >= generalise)
+    return scored.where(F.col("disclosed") >= generalise).select("entity", "term", "disclosed")
 
 
 def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -120,13 +124,15 @@ def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE
     none = F.expr("cast(array() as array<struct<kind:string,s:int,e:int,value:string>>)")
     if terms.df.isEmpty():
         return texts.withColumn("added", none)
-    words = _texts(docs).select("doc_id", F.explode(F.expr(_terms("text"))).alias("term")).join(terms.small(), "term")
-    hits = words.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("term", "disclosed"))).alias("terms")).withColumnRenamed("doc_id", "_id")
+    entities = texts.where("size(base) > 0").select("doc_id", F.explode(F.expr(f"array_distinct(transform(base, {_ENTITY}))")).alias("entity"))
+    risks = entities.join(terms.small(), "entity").groupBy(F.col("doc_id").alias("_id"), "term").agg(F.max("disclosed").alias("disclosed"))
+    hits = risks.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosed"))).alias("terms"))
     hits = Stored(hits, "disclosing_by_document")
     located = texts.join(hits.small(), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    tokens = spans_of("text", "term", r"\p{L}+", f"length(x.hits) >= {TERM_CHARS}")
+    # only the few listed terms are gathered, so the fold over all words stays linear
+    tokens = spans_of("text", "term", r"\p{L}+", f"length(x.hits) >= {TERM_CHARS} and map_contains_key(terms, lower(x.hits))")
     chosen = F.expr(
-        f"transform(filter(_tokens, t -> map_contains_key(terms, lower(t.value)) and not exists(base, b -> t.s < b.e and t.e > b.s)), "
+        f"transform(filter(_tokens, t -> not exists(base, b -> t.s < b.e and t.e > b.s)), "
         f"t -> named_struct('kind', if(terms[lower(t.value)] >= {remove}, 'term', 'general'), 's', t.s, 'e', t.e, 'value', t.value))"
     )
     return located.withColumn("_tokens", F.when(F.col("terms").isNotNull(), tokens).otherwise(none)).withColumn("added", F.when(F.col("terms").isNotNull(), chosen).otherwise(none)).drop("_tokens", "terms", "_id")

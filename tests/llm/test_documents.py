@@ -192,6 +192,10 @@ def test_disclosing_terms(spark):
     found = private_data.find(df)
     clean = {r.doc_id: r.text for r in private_data.sanitised(found).collect()}
     assert clean[0] == "[REMOVED] to [EMAIL] [REMOVED] [REMOVED] [REMOVED] 0 via common road" and clean[12] == rows[8][1]
+    # a document without the entity is left alone
+    more = df.unionByName(spark.createDataFrame([(99, "zanzibar stands alone here")], "doc_id long, text string"))
+    assert "zanzibar" in {r.term for r in private_data.disclosing_terms(more).collect()}
+    assert [r.spans for r in private_data.digests(more).collect() if r.doc_id == 99] == [""]
     # copies of one line prove nothing
     same = spark.createDataFrame([(i, rows[0][1]) for i in range(9)] + rows[6:], "doc_id long, text string")
     assert private_data.disclosing_terms(same).count() == 0
