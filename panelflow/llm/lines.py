@@ -2,8 +2,8 @@
 
 Equal lines are collapsed by digest. Every distinct line gets a signature of minima of hashed
 character shingles (``WIDTH`` characters); bands of the signature deal it to buckets. In a bucket
-every line is compared with the bucket's first one; buckets where that leaves open pairs are
-compared in blocks of ``BLOCK`` lines, skipping pairs that are connected by then, which changes no
+every line is compared with the bucket's first one; buckets whose lines are not all connected by
+then are compared in blocks of ``BLOCK`` lines, skipping pairs that are connected by then, which changes no
 component. A pair counts only with a Jaccard similarity of at least ``THRESHOLD`` over the exact
 shingle sets. Distributed union-find joins the pairs, and of each component the line that stands
 first (by doc_id, then line number) stays.
@@ -20,19 +20,19 @@ table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, by_group, components
 
 WIDTH, BANDS, ROWS, THRESHOLD = 8, 10, 5, 0.8
-#: Lines compared at once with a bucket's first line, and with one another.
-CHUNK, BLOCK = 256, 64
+#: Lines compared at once with a first line, and with one another; lines of a bucket whose pairs are listed.
+CHUNK, BLOCK, SMALL = 256, 256, 16
 SEED = 29
 BLANK = " \t\r\f\v"
 _NOT_BLANK = r"[^ \t\r\f\x0B]"
@@ -80,8 +80,24 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: i
     return out
 
 
+#: A line's place as one number, doc_id before line number and null before all ids.
+_PLACES = 1 << 31
+
+
+def _place() -> F.Column:
+    return F.expr(f"(coalesce(cast(doc_id as decimal(20,0)), -9223372036854775809) * {_PLACES} + line_no)").cast("decimal(38,0)")
+
+
+def _from_place(place: str) -> list[F.Column]:
+    whole = f"(({place} - pmod({place}, {_PLACES})) / {_PLACES})"
+    return [F.expr(f"if({whole} < -9223372036854775808, null, cast({whole} as bigint))"), F.expr(f"cast(pmod({place}, {_PLACES}) as int)")]
+
+
 def sign(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, key`` (digest) ``, bands`` (packed, null for lines without) of the lines that are not blank."""
+    """``doc_id, line_no, k1, k2`` (digest) ``, b0, b1, ..`` (band keys, null for lines without) of
+    the lines that are not blank."""
+    bands = [f"b{b}" for b in range(BANDS)]
+    names = ["doc_id", "line_no", "k1", "k2", *bands]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,30 +120,25 @@ def sign(docs: DataFrame) -> DataFrame:
                     ids.append(doc_id)
                     numbers.append(no)
                     lines.append(line)
-        keys = [hashlib.md5(line.encode()).digest() for line in lines]
-        sizes = np.array([len(line) for line in lines], np.int64)
+        raw = [line.encode() for line in lines]
+        keys = [[xxhash.xxh64_intdigest(mark + r, 42) for r in raw] for mark in (b"", b"\x01")]
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
         ends = np.cumsum(sizes)
         codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
-        long = np.flatnonzero(sizes >= WIDTH)
-        bands: list = [None] * len(lines)
-        if len(long):
-            got = band_keys(shingle_hashes(codes), (ends - sizes)[long], ends[long] - WIDTH + 1)
-            for i, row in zip(long.tolist(), got, strict=True):
-                bands[i] = row.tobytes()
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), pa.array(bands, pa.binary())], ["doc_id", "line_no", "key", "bands"])
+        long = sizes >= WIDTH
+        got = np.zeros((len(lines), BANDS), np.int64)
+        if long.any():
+            got[long] = band_keys(shingle_hashes(codes), (ends - sizes)[long], ends[long] - WIDTH + 1).view(np.int64)
+        columns = [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), *(pa.array(np.array(k, np.uint64).view(np.int64)) for k in keys)]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(got[:, b], mask=~long) for b in range(BANDS))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, line_no int, key binary, bands binary")
+    schema = "doc_id long, line_no int, " + ", ".join(f"{n} long" for n in names[2:])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def spread(signed: DataFrame) -> DataFrame:
+def spread(distinct: DataFrame) -> DataFrame:
     """``(bucket, uid)`` for each band of each line."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "uid"])
-
-    return signed.where("bands is not null").select("uid", "bands").mapInArrow(run, "bucket long, uid long")
+    return distinct.where("b0 is not null").select("uid", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("bucket"))
 
 
 def shingles(line: str) -> frozenset:
@@ -186,49 +197,59 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("line_no", "line"))
 
 
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs ``(first, uid)`` that are similar, ``CHUNK`` lines at once with a first one."""
+    sized = pairs.groupBy("first").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    dealt = pairs.join(sized, "first").select("first", F.expr("pmod(xxhash64(uid), chunks)").alias("chunk"), "uid")
+    leads = sized.select("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("first").alias("uid"))
+    return by_group(dealt.unionByName(leads).join(texts, "uid"), ["first", "chunk"], _compare_first, "a long, b long")
+
+
 def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Verified pairs ``(a, b)`` of distinct lines that hold the components together."""
     buckets = spread(distinct)
     shared = buckets.groupBy("bucket").agg(F.min("uid").alias("first"), F.count("*").alias("n")).where("n > 1")
     members = Stored(buckets.join(shared, "bucket"), "members").df
     pairs = members.where("uid <> first").select("uid", "first").distinct()
-    wanted = members.select("uid").distinct().join(distinct.select("uid", F.col("at.doc_id").alias("w_id"), F.col("at.line_no").alias("w_no")), "uid")
+    wanted = members.select("uid").distinct().join(distinct.select("uid", "place"), "uid").select("uid", *[c.alias(n) for c, n in zip(_from_place("place"), ("w_id", "w_no"), strict=True)])
     wanted = Stored(wanted, "wanted_lines")
     source = _lines(docs).join(wanted.small(), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("line_no") == F.col("w_no")))
     texts = Stored(source.select("uid", "line").dropDuplicates(["uid"]), "line_texts").df
 
-    sized = pairs.groupBy("first").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    dealt = pairs.join(sized, "first").select("first", F.expr("pmod(xxhash64(uid), chunks)").alias("chunk"), "uid")
-    leads = sized.select("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("first").alias("uid"))
-    near = by_group(dealt.unionByName(leads).join(texts, "uid"), ["first", "chunk"], _compare_first, "a long, b long")
+    near = _verified(pairs, texts)
     near = Stored(near, "near_first").df
 
-    # buckets with a pair that is still open; of those with the same lines, one
-    known = near.select(F.col("a").alias("uid"), F.col("b").alias("first"), F.lit(True).alias("linked"))
-    state = members.join(known, ["uid", "first"], "left").withColumn("linked", F.coalesce("linked", F.col("uid") == F.col("first")))
-    open_ = state.groupBy("bucket").agg(F.bool_and("linked").alias("done"), F.count("*").alias("n"), F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("mark"), F.sum(F.hash("uid").cast("long")).alias("mark2"))
-    open_ = open_.where("not done").groupBy("n", "mark", "mark2").agg(F.min("bucket").alias("bucket"))
-    blocks = open_.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rows = state.join(blocks, "bucket").select("bucket", "blocks", "uid", F.when(F.col("linked"), F.col("first")).otherwise(F.col("uid")).alias("root"), F.expr("pmod(xxhash64(uid, 3), blocks)").alias("own"))
+    # buckets whose lines are not all connected by then; of those with the same lines, one
+    labels = components(near).withColumnRenamed("node", "uid").withColumnRenamed("component", "root")
+    state = members.select("bucket", "uid").join(labels, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    open_ = state.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("mark"), F.sum(F.hash("uid").cast("long")).alias("mark2"))
+    open_ = open_.where("low <> high").groupBy("n", "mark", "mark2").agg(F.min("bucket").alias("bucket"))
+    # small buckets: their pairs, each once however many buckets share it
+    few = state.join(open_.where(F.col("n") <= SMALL).select("bucket"), "bucket")
+    pairs = few.select("bucket", F.col("uid").alias("first"), F.col("root").alias("_root")).join(few, "bucket").where("first < uid and root <> _root").select("first", "uid").distinct()
+    close = _verified(pairs, texts)
+    # large ones: in blocks
+    blocks = open_.where(F.col("n") > SMALL).select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    rows = state.join(blocks, "bucket").select("bucket", "blocks", "uid", "root", F.expr("pmod(xxhash64(uid, 3), blocks)").alias("own"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "uid", "root").join(texts, "uid")
     rest = by_group(rows, ["bucket", "i", "j"], _compare_block, "a long, b long")
-    return near.unionByName(rest)
+    return near.unionByName(close).unionByName(rest)
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no, rep_doc_id, rep_line_no, kept`` of every line; blank lines represent themselves."""
-    first = F.min(F.struct("doc_id", "line_no")).alias("at")
-    distinct = sign(docs).groupBy("key").agg(first, F.first("bands").alias("bands"))
+    distinct = sign(docs).withColumn("place", _place()).groupBy("k1", "k2").agg(F.min("place").alias("place"), *[F.first(f"b{b}").alias(f"b{b}") for b in range(BANDS)])
     distinct = Stored(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct_lines").df
     labels = components(_links(docs, distinct))
-    classed = labels.withColumnRenamed("node", "uid").join(distinct.select("uid", "key", "at"), "uid")
-    heads = classed.groupBy("component").agg(F.min("at").alias("head"))
-    heads = Stored(classed.join(heads, "component").select("key", "head"), "line_heads").df
-    named = distinct.select("key", "at").join(heads, "key", "left").select("key", F.coalesce("head", "at").alias("rep"))
-    lines = _lines(docs).withColumn("key", F.when(F.col("line").rlike(_NOT_BLANK), F.unhex(F.md5(F.col("line").cast("binary"))))).drop("line")
-    joined = lines.where("key is not null").join(named, "key").select("doc_id", "line_no", F.col("rep.doc_id").alias("rep_doc_id"), F.col("rep.line_no").alias("rep_line_no"))
-    blank = lines.where("key is null").select("doc_id", "line_no", F.col("doc_id").alias("rep_doc_id"), F.col("line_no").alias("rep_line_no"))
+    classed = labels.withColumnRenamed("node", "uid").join(distinct.select("uid", "k1", "k2", "place"), "uid")
+    heads = classed.groupBy("component").agg(F.min("place").alias("head"))
+    heads = Stored(classed.join(heads, "component").select("k1", "k2", "head"), "line_heads").df
+    named = distinct.select("k1", "k2", "place").join(heads, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("head", "place").alias("head"))
+    digest = [F.xxhash64("line").alias("k1"), F.xxhash64(F.concat(F.lit("\u0001"), F.col("line"))).alias("k2")]
+    lines = _lines(docs).select("doc_id", "line_no", *[F.when(F.col("line").rlike(_NOT_BLANK), d).alias(n) for d, n in zip(digest, ("k1", "k2"), strict=True)])
+    joined = lines.where("k1 is not null").join(named, ["k1", "k2"]).select("doc_id", "line_no", *[c.alias(n) for c, n in zip(_from_place("head"), ("rep_doc_id", "rep_line_no"), strict=True)])
+    blank = lines.where("k1 is null").select("doc_id", "line_no", F.col("doc_id").alias("rep_doc_id"), F.col("line_no").alias("rep_line_no"))
     kept = F.col("doc_id").eqNullSafe(F.col("rep_doc_id")) & (F.col("line_no") == F.col("rep_line_no"))
     return joined.unionByName(blank).withColumn("kept", kept)
 
