@@ -3,8 +3,8 @@
 Candidates are dealt to shards. A shard keeps, for every dimension, a list of its candidates sorted
 by that component. For a query the lists are read in step from the end that its weight favours; a
 candidate's score lies between what was read of it plus the worst rest and plus the best rest of
-the lists it was not seen in. Reading stops when hardly more candidates than asked for can still
-reach the k-th best lower bound; their final scores are then resolved. The shards' winners meet in
+the lists it was not seen in. At each stop the leaders' scores are resolved; reading ends when few
+candidates can still reach the k-th best of them, and their final scores are then resolved. The shards' winners meet in
 one ranking per query.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without an
@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_ROWS, QUERY_ROWS = 4096, 2048
-#: Entries first read of each list; candidates whose scores may be resolved once the others are out.
-FIRST_READ, RESOLVE = 128, 64
+#: Shares of a list that are read first and then at a time; candidates whose scores may be resolved once the others are out.
+FIRST_SHARE, STEP_SHARE, RESOLVE = 4, 16, 512
 
 
 class Lists:
@@ -32,8 +32,9 @@ class Lists:
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[by_id], vectors[by_id].astype(np.float64)
         self.exact = vectors[by_id]
-        self.order = np.argsort(self.vectors, axis=0, kind="stable").T.copy()  # ascending
-        self.sorted = np.take_along_axis(self.vectors.T, self.order, axis=1)
+        up = np.argsort(self.vectors, axis=0, kind="stable").T
+        self.order = np.stack([up, up[:, ::-1]])  # of each dimension the list from below and from above
+        self.sorted = np.take_along_axis(self.vectors.T[None], self.order, axis=2)
 
     def top(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         """The k best ``(id, score)`` without rows of id ``own``; ties to smaller ids."""
@@ -41,26 +42,30 @@ class Lists:
         dims = np.flatnonzero(query)
         mine = self.ids == own
         contenders = np.flatnonzero(~mine)
-        if len(dims) and n > RESOLVE:
+        if len(dims) and n > 64:
             w = query[dims].astype(np.float64)
-            up = w > 0
-            order, values = self.order[dims], self.sorted[dims] * w[:, None]
-            order[up], values[up] = order[up, ::-1], values[up, ::-1]  # best contribution first
-            least = values[:, -1]
-            total, unseen = np.zeros(n), np.ones((n, len(dims)))
-            at, step = 0, FIRST_READ
-            while at < n:
-                to = min(n, at + step)
-                seen = order[:, at:to]
-                total += np.bincount(seen.ravel(), values[:, at:to].ravel(), n)
-                unseen[seen.ravel(), np.repeat(np.arange(len(dims)), to - at)] = 0
-                lower, upper = total + unseen @ least, total + unseen @ values[:, to - 1]
+            side = (w > 0).astype(np.int64)  # the end that holds the best contributions
+            least = self.sorted[side, dims, -1] * w
+            total, unseen = np.zeros(n), np.ones((len(dims), n))
+            at, to = 0, max(1, n // FIRST_SHARE)
+            while True:
+                seen = self.order[side, dims, at:to]
+                values = self.sorted[side, dims, at:to] * w[:, None]
+                total += np.bincount(seen.ravel(), values.ravel(), n)
+                np.put_along_axis(unseen, seen, 0, axis=1)
+                lower, upper = np.stack([least, values[:, -1]]) @ unseen + total
                 lower[mine] = upper[mine] = -np.inf
-                bar = np.partition(lower, n - k)[n - k] if n > k else -np.inf
+                lead = np.argpartition(lower + upper, n - min(n, 4 * k))[n - min(n, 4 * k) :]
+                lead = lead[~mine[lead]]
+                if len(lead) >= k:  # the leaders' scores are resolved, which lifts the bar
+                    sure = self.exact[lead] @ query
+                    bar = np.partition(sure, len(lead) - k)[len(lead) - k]
+                else:
+                    bar = -np.inf
                 contenders = np.flatnonzero((upper >= bar) & ~mine)
-                if len(contenders) <= max(RESOLVE, k):
+                if len(contenders) <= max(min(RESOLVE, n // 8), k) or to == n:
                     break
-                at, step = to, step * 2
+                at, to = to, min(n, to + max(1, n // STEP_SHARE))
         scores = self.exact[contenders] @ query
         best = np.lexsort((self.ids[contenders], -scores))[:k]
         return [(int(self.ids[contenders[i]]), int(scores[i])) for i in best]
