@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 WIDTH = 4096
 
 
-def fill(boxes: DataFrame, every: int = 8) -> DataFrame:
+def fill(boxes: DataFrame, every: int = 16) -> DataFrame:
     """Pixel ids of the boxes on a grid of ``every`` pixels."""
     xs = boxes.withColumn("px", F.explode(F.expr(f"sequence(x div {every}, (x + w - 1) div {every})")))
     return xs.withColumn("py", F.explode(F.expr(f"sequence(y div {every}, (y + h - 1) div {every})"))).select("page_id", "rn", (F.col("py") * WIDTH + F.col("px")).alias("pixel"))
@@ -36,3 +36,18 @@ def dilate(pixels: DataFrame, radius: int = 1) -> DataFrame:
 def bounds(pixels: DataFrame) -> DataFrame:
     px, py = F.col("pixel") % WIDTH, F.floor(F.col("pixel") / WIDTH)
     return pixels.groupBy("page_id").agg(F.min(px).alias("x0"), F.min(py).alias("y0"), F.max(px).alias("x1"), F.max(py).alias("y1"), F.count("*").alias("pixels"))
+
+
+def rows(boxes: DataFrame, every: int = 16) -> DataFrame:
+    """The same masks as runs: one row for each grid line of a box, with its first and last pixel."""
+    return boxes.withColumn("py", F.explode(F.expr(f"sequence(y div {every}, (y + h - 1) div {every})"))).select("page_id", "rn", "py", F.expr(f"x div {every}").alias("x0"), F.expr(f"(x + w - 1) div {every}").alias("x1"))
+
+
+def run_overlaps(runs: DataFrame) -> DataFrame:
+    """``overlaps`` for masks given as runs that are disjoint within a mask: a join of lines, not of pixels."""
+    size = runs.groupBy("page_id", "rn").agg(F.sum(F.expr("x1 - x0 + 1")).alias("n"))
+    a, b = runs.alias("a"), runs.alias("b")
+    shared = F.expr("a.page_id = b.page_id and a.py = b.py and a.rn < b.rn and a.x0 <= b.x1 and b.x0 <= a.x1")
+    both = a.join(b, shared).groupBy(F.col("a.page_id").alias("page_id"), F.col("a.rn").alias("i"), F.col("b.rn").alias("j")).agg(F.sum(F.expr("least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1")).alias("both"))
+    sized = both.join(size.toDF("page_id", "i", "ni"), ["page_id", "i"]).join(size.toDF("page_id", "j", "nj"), ["page_id", "j"])
+    return sized.select("page_id", "i", "j", F.round(F.expr("both / (ni + nj - both)"), 6).alias("iou"), F.round(F.expr("both / least(ni, nj)"), 6).alias("contained"))
