@@ -176,18 +176,20 @@ def _compare_block(t: pa.Table) -> dict | None:
 
     for x, r in zip(ids, roots, strict=True):
         up[root(x)] = root(r)
-    sets: dict[int, frozenset] = {}
-    found = []
     left = [k for k, b in enumerate(own) if b == i]
-    right = [k for k, b in enumerate(own) if b == j]
+    right = np.array([k for k, b in enumerate(own) if b == j])
+    if len({root(x) for x in ids}) == 1 or not len(right):
+        return None
+    sets = [shingles(line) for line in lines]
+    sizes = np.array([len(x) for x in sets])
+    # shingles counted by 512 hash classes: no two sets can share more than the classes' smaller counts
+    counts = np.stack([np.bincount(np.fromiter((hash(s) & 511 for s in x), np.int64, len(x)), minlength=512) for x in sets]).astype(np.uint16)
+    rights = counts[right]
+    found = []
     for p in left:
-        for q in right:
-            if p == q or root(ids[p]) == root(ids[q]):
-                continue
-            for k in (p, q):
-                if k not in sets:
-                    sets[k] = shingles(lines[k])
-            if similar(sets[p], sets[q]):
+        most = np.minimum(counts[p], rights).sum(axis=1, dtype=np.int64)
+        for q in right[most >= THRESHOLD * (sizes[p] + sizes[right] - most)].tolist():
+            if p != q and root(ids[p]) != root(ids[q]) and similar(sets[p], sets[q]):
                 up[root(ids[p])] = root(ids[q])
                 found.append((ids[p], ids[q]))
     return {"a": np.array([a for a, _ in found], np.int64), "b": np.array([b for _, b in found], np.int64)}
