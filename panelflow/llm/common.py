@@ -124,11 +124,12 @@ def components(edges: DataFrame) -> DataFrame:
 # --- groups in Arrow ---------------------------------------------------------
 
 
-def by_group(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+def by_group(df: DataFrame, keys: list[str], fn, schema: str, lists: bool = False) -> DataFrame:
     """Applies ``fn(table) -> dict of columns`` to each group of rows equal in ``keys``.
 
     The rows are dealt and sorted by the keys and streamed, so many small groups share a batch;
-    callers keep each group within a bound of their own.
+    callers keep each group within a bound of their own. With ``lists`` a group is a dict of lists,
+    which is cheaper for groups of a few rows.
     """
     import numpy as np
     import pyarrow as pa
@@ -149,7 +150,11 @@ def by_group(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
                 v = t[k].to_numpy()
                 change[1:] |= v[1:] != v[:-1]
             at = [*np.flatnonzero(change).tolist(), t.num_rows]
-            made = [fn(t.slice(a, b - a)) for a, b in zip(at, at[1:])]
+            if lists:
+                whole = {c: t[c].to_pylist() for c in t.column_names}
+                made = [fn({c: v[a:b] for c, v in whole.items()}) for a, b in zip(at, at[1:])]
+            else:
+                made = [fn(t.slice(a, b - a)) for a, b in zip(at, at[1:])]
             made = [m for m in made if m is not None]
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.asarray(m[f.name]) for m in made]), f.type) for f in out], schema=out)

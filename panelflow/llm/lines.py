@@ -153,19 +153,18 @@ def similar(a: frozenset, b: frozenset, threshold: float = THRESHOLD) -> bool:
     return both >= threshold * (len(a) + len(b) - both)
 
 
-def _compare_first(t: pa.Table) -> dict | None:
-    ids, first = t["uid"].to_pylist(), t["first"][0].as_py()
-    lines = t["line"].to_pylist()
+def _compare_first(t: dict[str, list]) -> dict | None:
+    ids, first, lines = t["uid"], t["first"][0], t["line"]
     if first not in ids or len(ids) < 2:
         return None
     lead = shingles(lines[ids.index(first)])
     found = [i for i, line in zip(ids, lines, strict=True) if i != first and similar(shingles(line), lead)]
-    return {"a": np.array(found, np.int64), "b": np.full(len(found), first, np.int64)}
+    return {"a": found, "b": [first] * len(found)} if found else None
 
 
-def _compare_block(t: pa.Table) -> dict | None:
-    ids, roots, own, lines = (t[c].to_pylist() for c in ("uid", "root", "own", "line"))
-    i, j = t["i"][0].as_py(), t["j"][0].as_py()
+def _compare_block(t: dict[str, list]) -> dict | None:
+    ids, roots, own, lines = (t[c] for c in ("uid", "root", "own", "line"))
+    i, j = t["i"][0], t["j"][0]
     up: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -192,7 +191,7 @@ def _compare_block(t: pa.Table) -> dict | None:
             if p != q and root(ids[p]) != root(ids[q]) and similar(sets[p], sets[q]):
                 up[root(ids[p])] = root(ids[q])
                 found.append((ids[p], ids[q]))
-    return {"a": np.array([a for a, _ in found], np.int64), "b": np.array([b for _, b in found], np.int64)}
+    return {"a": [a for a, _ in found], "b": [b for _, b in found]} if found else None
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -204,7 +203,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     sized = pairs.groupBy("first").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     dealt = pairs.join(sized, "first").select("first", F.expr("pmod(xxhash64(uid), chunks)").alias("chunk"), "uid")
     leads = sized.select("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("first").alias("uid"))
-    return by_group(dealt.unionByName(leads).join(texts, "uid"), ["first", "chunk"], _compare_first, "a long, b long")
+    return by_group(dealt.unionByName(leads).join(texts, "uid"), ["first", "chunk"], _compare_first, "a long, b long", lists=True)
 
 
 def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -235,7 +234,7 @@ def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     rows = state.join(blocks, "bucket").select("bucket", "blocks", "uid", "root", F.expr("pmod(xxhash64(uid, 3), blocks)").alias("own"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "uid", "root").join(texts, "uid")
-    rest = by_group(rows, ["bucket", "i", "j"], _compare_block, "a long, b long")
+    rest = by_group(rows, ["bucket", "i", "j"], _compare_block, "a long, b long", lists=True)
     return near.unionByName(close).unionByName(rest)
 
 
