@@ -85,12 +85,18 @@ _PLACES = 1 << 31
 
 
 def _place() -> F.Column:
-    return F.expr(f"(coalesce(cast(doc_id as decimal(20,0)), -9223372036854775809) * {_PLACES} + line_no)").cast("decimal(38,0)")
+    # long arithmetic wherever it holds the number, which is far cheaper; the decimal says the same
+    wide = f"(coalesce(cast(doc_id as decimal(20,0)), -9223372036854775809) * {_PLACES} + line_no)"
+    return F.expr(f"if(doc_id between {-_PLACES} and {_PLACES - 1}, cast(doc_id * {_PLACES}L + line_no as decimal(38,0)), cast({wide} as decimal(38,0)))")
 
 
 def _from_place(place: str) -> list[F.Column]:
+    fits = f"{place} between {-(_PLACES**2)} and {_PLACES**2 - 1}"
     whole = f"(({place} - pmod({place}, {_PLACES})) / {_PLACES})"
-    return [F.expr(f"if({whole} < -9223372036854775808, null, cast({whole} as bigint))"), F.expr(f"cast(pmod({place}, {_PLACES}) as int)")]
+    return [
+        F.expr(f"if({fits}, shiftright(cast({place} as bigint), 31), if({whole} < -9223372036854775808, null, cast({whole} as bigint)))"),
+        F.expr(f"if({fits}, cast(cast({place} as bigint) & {_PLACES - 1} as int), cast(pmod({place}, {_PLACES}) as int))"),
+    ]
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -247,9 +253,10 @@ def classes(docs: DataFrame) -> DataFrame:
     heads = classed.groupBy("component").agg(F.min("place").alias("head"))
     heads = Stored(classed.join(heads, "component").select("k1", "k2", "head"), "line_heads").df
     named = distinct.select("k1", "k2", "place").join(heads, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("head", "place").alias("head"))
+    named = named.select("k1", "k2", *[c.alias(n) for c, n in zip(_from_place("head"), ("rep_doc_id", "rep_line_no"), strict=True)])
     digest = [F.xxhash64("line").alias("k1"), F.xxhash64(F.concat(F.lit("\u0001"), F.col("line"))).alias("k2")]
     lines = _lines(docs).select("doc_id", "line_no", *[F.when(F.col("line").rlike(_NOT_BLANK), d).alias(n) for d, n in zip(digest, ("k1", "k2"), strict=True)])
-    joined = lines.where("k1 is not null").join(named, ["k1", "k2"]).select("doc_id", "line_no", *[c.alias(n) for c, n in zip(_from_place("head"), ("rep_doc_id", "rep_line_no"), strict=True)])
+    joined = lines.where("k1 is not null").join(named, ["k1", "k2"]).select("doc_id", "line_no", "rep_doc_id", "rep_line_no")
     blank = lines.where("k1 is null").select("doc_id", "line_no", F.col("doc_id").alias("rep_doc_id"), F.col("line_no").alias("rep_line_no"))
     kept = F.col("doc_id").eqNullSafe(F.col("rep_doc_id")) & (F.col("line_no") == F.col("rep_line_no"))
     return joined.unionByName(blank).withColumn("kept", kept)
