@@ -58,16 +58,20 @@ def shingle_hashes(codes: np.ndarray) -> np.ndarray:
 def band_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 16) -> np.ndarray:
     """``BANDS`` keys for each run ``starts[i]:ends[i]`` of hashes; runs are disjoint and in order."""
     mins = np.empty((BANDS * ROWS, len(starts)), np.uint32)
-    at = 0
+    room, at = np.empty(0, np.uint32), 0
     while at < len(starts):  # blocks that fit the cache
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + block, side="right")))
         lo, hi = starts[at], ends[to - 1]
         piece = hashes[lo:hi]
+        room = room if len(room) >= len(piece) else np.empty(len(piece), np.uint32)
+        mixed = room[: len(piece)]
         cuts = np.empty(2 * (to - at), np.int64)
         cuts[::2], cuts[1::2] = starts[at:to] - lo, ends[at:to] - lo
         cuts = cuts[:-1]  # the last run ends with the piece
         for k in range(len(_A)):
-            mins[k, at:to] = np.minimum.reduceat(piece * _A[k] + _B[k], cuts)[::2]
+            np.multiply(piece, _A[k], out=mixed)
+            np.add(mixed, _B[k], out=mixed)
+            mins[k, at:to] = np.minimum.reduceat(mixed, cuts)[::2]
         at = to
     out = np.empty((len(starts), BANDS), np.uint64)
     with np.errstate(over="ignore"):
