@@ -80,3 +80,16 @@ def render_conflict(a: str = "a.", b: str = "b.") -> str:
     """Whether two groups would be drawn over one another (box terms)."""
     c, r = max_containment(a, b), area_ratio(a, b)
     return f"(({iom(a, b)} >= 0.78 AND {r} >= 0.50) OR ({c} >= 0.88 AND {r} >= 0.55) OR ({a}vertical = {b}vertical AND {c} >= 0.92 AND {r} >= 0.08))"
+
+
+def signed_overlap(a: str = "a.", b: str = "b.") -> str:
+    """Overlap area where touching boxes give 0 and boxes apart give -1."""
+    dx = f"(least({a}x + {a}w, {b}x + {b}w) - greatest({a}x, {b}x))"
+    dy = f"(least({a}y + {a}h, {b}y + {b}h) - greatest({a}y, {b}y))"
+    return f"(CASE WHEN {dx} < 0 OR {dy} < 0 THEN -1 ELSE {dx} * {dy} END)"
+
+
+def reading_pad(ratio: str, least: str, p: str = "") -> str:
+    """Margin of a box for recognition; halves go to the even number."""
+    side = f"greatest({p}w, {p}h)"
+    return f"greatest({least}, CAST(round_even({side} * {ratio}, 0) AS BIGINT))"

@@ -46,10 +46,21 @@ def vertical_plans(groups: DataFrame) -> DataFrame:
     return plan.withColumn("cost", F.expr("4.4D * abs(ln(size / p)) + 1.15D * abs(ln(bw / w)) + 1.45D * abs(ln(bh / h)) + 0.32D * abs(columns - expected)"))
 
 
-def choose(plans: DataFrame, key: list[str]) -> DataFrame:
+def horizontal_plans(groups: DataFrame, advance: float = 1.0, tracking: float = 1.0) -> DataFrame:
+    """Every size whose greedily wrapped lines fit ``w, h`` with ``n`` characters of equal ``advance``."""
+    low, high = font_bounds("p")
+    sized = groups.withColumns({"low": low, "high": high}).withColumn("size", F.explode(F.sequence("low", "high")))
+    # a line holds at least one character, however narrow the box
+    wrapped = sized.withColumn("per_line", F.expr(f"greatest(1L, cast(floor(w / (size * {advance}D * {tracking}D)) as bigint))"))
+    lined = wrapped.withColumn("lines", F.expr("cast(ceil(n / cast(per_line as double)) as bigint)"))
+    plan = lined.withColumns({"bw": F.expr(f"least(n, per_line) * size * {advance}D * {tracking}D"), "bh": F.expr("lines * size * 1.18D")}).where("bw <= w and bh <= h")
+    return plan.withColumn("cost", F.expr(f"4.8D * abs(ln(size / p)) + 1.55D * abs(ln(bw / w)) + 1.75D * abs(ln(bh / h)) + 0.08D * abs(ln({tracking}D))"))
+
+
+def choose(plans: DataFrame, key: list[str], last: str = "columns") -> DataFrame:
     """The cheapest plan, among those near the estimate if there are any; larger size on ties."""
     near = F.col("size") >= F.greatest(F.lit(float(MIN_FONT)), 0.92 * F.col("p"))
-    w = Window.partitionBy(*key).orderBy(~near, F.round("cost", 9), F.round(F.abs(F.log(F.col("size") / F.col("p"))), 9), F.desc("size"), "columns")
+    w = Window.partitionBy(*key).orderBy(~near, F.round("cost", 9), F.round(F.abs(F.log(F.col("size") / F.col("p"))), 9), F.desc("size"), last)
     return plans.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 

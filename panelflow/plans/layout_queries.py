@@ -64,6 +64,25 @@ def layout_search_vertical(spark, sf):
     return layout.vertical_plans(groups(spark, sf)).groupBy("page_id", "rn").agg(F.count("*").alias("plans"), F.round(F.min("cost"), 6).alias("best"))
 
 
+@query("layout_search_horizontal", f"""WITH {REGIONS}, e AS (SELECT *, least(w, h) / 3.0::DOUBLE AS p, 4 + rn AS n FROM regions), f AS (SELECT *, least(180, greatest(10, ceil(1.15 * p)))::BIGINT AS high FROM e),
+s AS (SELECT *, unnest(range(least(high, greatest(10, floor(0.85 * p)))::BIGINT, high + 1)) AS size FROM f), c AS (SELECT *, greatest(1, w // size) AS k FROM s),
+r AS (SELECT *, least(n, k) * size AS bw, ceil(n / k::DOUBLE) * size * 1.18::DOUBLE AS bh FROM c),
+q AS (SELECT *, 4.8 * abs(ln(size / p)) + 1.55 * abs(ln(bw / w::DOUBLE)) + 1.75 * abs(ln(bh / h)) AS cost FROM r WHERE bw <= w AND bh <= h)
+SELECT page_id, rn, count(*) AS plans, round(min(cost), 6)::DOUBLE AS best FROM q GROUP BY page_id, rn""")
+def layout_search_horizontal(spark, sf):
+    return layout.horizontal_plans(groups(spark, sf)).groupBy("page_id", "rn").agg(F.count("*").alias("plans"), F.round(F.min("cost"), 6).alias("best"))
+
+
+@query("signed_overlap", f"WITH {REGIONS} SELECT a.page_id, a.rn AS i, b.rn AS j, {metrics.g.signed_overlap()}::BIGINT AS overlap FROM regions a JOIN regions b ON a.page_id = b.page_id AND a.rn < b.rn")
+def signed_overlap(spark, sf):
+    return pages.pairs(regions(spark, sf), "true").select("a.page_id", F.col("a.rn").alias("i"), F.col("b.rn").alias("j"), F.expr(metrics.g.signed_overlap()).cast("long").alias("overlap"))
+
+
+@query("reading_pad", f"WITH {REGIONS} SELECT page_id, rn, {metrics.g.reading_pad('0.125', '4')} AS pad FROM regions")
+def reading_pad(spark, sf):
+    return regions(spark, sf).select("page_id", "rn", F.expr(metrics.g.reading_pad("0.125", "4").replace("round_even", "bround")).alias("pad"))
+
+
 @query("layout_choose", PLANS + """, k AS (SELECT *, row_number() OVER (PARTITION BY page_id, rn ORDER BY NOT (size >= greatest(10.0, 0.92 * p)), round(cost, 9), round(abs(ln(size / p)), 9), size DESC, columns) AS pick FROM q)
 SELECT page_id, rn, size, columns FROM k WHERE pick = 1""")
 def layout_choose(spark, sf):

@@ -167,3 +167,13 @@ def sanitize_text(spark, sf):
 @query("repeat_detect")
 def repeat_detect(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.col("text").rlike("(.{12,60})\\1").alias("repeats"))
+
+
+@query("translation_duplicates")
+def translation_duplicates(spark, sf):
+    from ..operators import merging
+
+    c = load(spark, sf, "conversations")
+    # turns of a conversation stand as boxes of a page, each half over the next
+    boxes = c.select(F.col("conv_id").alias("page_id"), F.col("turn").cast("long").alias("ordinal"), F.lit(10).cast("long").alias("x"), (F.col("turn") * 10).cast("long").alias("y"), F.lit(100).cast("long").alias("w"), F.lit(100).cast("long").alias("h"), F.col("role").alias("source"), F.expr("substr(text, 1, 60)").alias("target"), F.lit(0.9).alias("confidence"))
+    return merging.translation_duplicates(boxes)

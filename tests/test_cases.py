@@ -75,6 +75,18 @@ def test_merge_keeps_lineage(spark):
     assert {(r.page_id, r.ordinal): r.into for r in got} == {(1, 0): 0, (1, 1): 0, (2, 0): 0, (2, 1): 1}
 
 
+def test_translation_duplicates(spark):
+    rows = [(1, 0, 10, 10, 80, 120, "どうした", "你怎麼了呢", 0.9), (1, 1, 14, 14, 76, 116, "どうしたの", "你怎麼了呢", 0.8), (1, 2, 500, 10, 80, 120, "どうした", "你怎麼了呢", 0.9), (2, 0, 0, 0, 50, 50, "うん", "嗯", 0.9), (2, 1, 1, 1, 50, 50, "いや", "嗯", 0.9), (3, 0, 0, 0, 50, 50, None, None, 0.9)]
+    got = merging.translation_duplicates(spark.createDataFrame(rows, "page_id long, ordinal long, x long, y long, w long, h long, source string, target string, confidence double")).collect()
+    assert {(r.page_id, r.ordinal): r.into for r in got} == {(1, 0): 0, (1, 1): 0, (1, 2): 2, (2, 0): 0, (2, 1): 1, (3, 0): 0}
+
+
+def test_horizontal_plans(spark):
+    one = spark.createDataFrame([(1, 200, 30, 5, 20.0), (2, 5, 400, 3, 20.0)], "k long, w long, h long, n long, p double")
+    got = {r.k: (r.size, r.lines) for r in layout.choose(layout.horizontal_plans(one), ["k"], "lines").collect()}
+    assert got == {1: (20, 1)}  # a box narrower than a character takes no plan
+
+
 def test_best_candidate(spark):
     rows = [("g", 0, "a", "今日は", 0.82), ("g", 1, "b", "今日はどうしたの", 0.79), ("g", 2, "c", "今日はどうした", 0.80)]
     assert [r.normalized for r in texts.best_candidate(spark.createDataFrame(rows, "group_id string, ordinal int, source string, normalized string, quality double")).collect()] == ["今日はどうしたの"]
