@@ -330,3 +330,12 @@ def test_quality_odd(spark, odd, nothing):
     assert len(got) == 11 and len({r.score for r in got if r.doc_id in (1, 2, 8)}) == 1
     assert quality.classify(nothing, labels.limit(0)).count() == 0
     assert quality.keep(odd, quality.fit([], [])).columns == odd.columns
+
+
+def test_line_places_of_any_id(spark):
+    ids = [None, -(1 << 63), -(1 << 40), -(1 << 31) - 1, -(1 << 31), -1, 0, (1 << 31) - 1, 1 << 31, (1 << 63) - 1]
+    rows = [(i, n, n) for i in ids for n in (0, 7, (1 << 31) - 1)]
+    df = spark.createDataFrame(rows, "doc_id long, line_no int, same int").withColumn("place", lines._place())
+    back = df.select("doc_id", "line_no", "place", *[c.alias(n) for c, n in zip(lines._from_place("place"), ("d", "l"), strict=True)]).collect()
+    assert all((r.doc_id, r.line_no) == (r.d, r.l) for r in back)
+    assert [(r.doc_id, r.line_no) for r in sorted(back, key=lambda r: r.place)] == [r[:2] for r in rows]
