@@ -3,10 +3,11 @@
 Equal vectors are collapsed first. The others start with neighbours that fall on the same side of
 a few random planes, and with arbitrary ones. Each round gathers, at every vector, those that list
 it or that it lists, compares them with one another (neighbours of neighbours), and keeps the best
-``k`` of each. Pairs at the threshold or above are links. A list whose entries are all links is
-saturated: it is enlarged to all of its component, which is compared in exact blocks, so that
-links are counted in full. The result is audited against brute force for a bounded sample of
-vectors; below ``audit_recall`` the lists are doubled and the rounds go on.
+``k`` of each. Pairs at the threshold or above are links, and join vectors into components. Lists
+of ``k`` cannot hold every link, so a sweep then compares all pairs of one label in exact blocks: it
+counts the links of each vector in full and joins the components that the lists held apart. Its
+work grows with the square of a label's distinct vectors. The result is audited against brute force
+for a bounded sample of vectors; below ``audit_recall`` the lists are doubled and the rounds go on.
 
 Defined cases: vectors that are null, empty, all zero or hold null or non-finite components, and
 rows with a null label, link with nothing (their component is their own id); only vectors of equal
@@ -25,8 +26,10 @@ from .common import Stored, by_group, components
 
 K, TABLES, PLANES, LEADS = 8, 6, 10, 2
 ROUNDS, AUDITED, AUDIT_RECALL = 3, 256, 0.98
-#: Members of one vector's neighbourhood, and of a component, that are compared in one block.
-CHUNK, BLOCK = 48, 512
+#: Members of one vector's neighbourhood that are compared in one block.
+CHUNK = 48
+#: Values of a block of the sweep at most, its rows while a label has under SPLIT blocks, and similarities held at once.
+BLOCK_VALUES, BLOCK, SPLIT, TILE = 4_000_000, 1024, 6, 4_000_000
 
 
 def _matrix(column) -> np.ndarray:
@@ -129,31 +132,51 @@ def _measure(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
 
 
-def _count_links(reps: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Copies linked to each vector of a component, by exact blocks: ``(rep, linked)``."""
-    sized = classes.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    own = classes.join(sized, "component").select("component", F.col("node").alias("rep"), "blocks", F.expr("pmod(xxhash64(node), blocks)").alias("own"))
-    dealt = (
-        own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep")
-        .join(reps.select("rep", "copies", "embedding"), "rep")
+def _sweep(reps: DataFrame, classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Every pair of vectors of one label and length, compared in exact blocks.
+
+    Gives the copies linked to each vector, ``(rep, linked)``, and the pairs of components that a
+    link joins, ``(a, b)``: one row a block and pair of components, however many links there are.
+    """
+    parts = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+    # a block holds a bounded number of values; small labels are cut as well, for parallel work
+    sized = reps.groupBy("label", "dims").agg(F.expr(f"greatest(ceil(count(*) * dims / {BLOCK_VALUES}), least(ceil(count(*) / {BLOCK}), {SPLIT}))").alias("blocks"))
+    own = parts.join(F.broadcast(sized), ["label", "dims"]).withColumn("own", F.expr("pmod(xxhash64(rep), blocks)"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "label", "dims", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "part", "copies", "embedding"
     )
 
-    def count(t: pa.Table) -> dict:
-        ids, unit, copies, own_ = t["rep"].to_numpy(), _unit(t["embedding"]), t["copies"].to_numpy(), t["own"].to_numpy()
+    def compare(t: pa.Table) -> dict:
+        ids, part, copies, own_ = (t[c].to_numpy() for c in ("rep", "part", "copies", "own"))
+        unit = _unit(t["embedding"])
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        a, b = np.flatnonzero(own_ == i), np.flatnonzero(own_ == j)
         linked = np.zeros(len(ids), np.int64)
-        if i == j:
-            near = unit @ unit.T >= threshold
-            np.fill_diagonal(near, False)
-            linked = near @ copies
-        else:
-            a, b = np.flatnonzero(own_ == i), np.flatnonzero(own_ == j)
-            near = unit[a] @ unit[b].T >= threshold
-            linked[a], linked[b] = near @ copies[b], near.T @ copies[a]
-        return {"rep": ids, "linked": linked}
-
-    return by_group(dealt, ["component", "i", "j"], count, "rep long, linked long").groupBy("rep").agg(F.sum("linked").alias("linked"))
+        joined = [np.zeros((0, 2), np.int64)]
+        right = unit[b].T
+        step = max(1, TILE // max(1, len(b)))
+        for at in range(0, len(a), step):
+            rows = a[at : at + step]
+            near = unit[rows] @ right >= threshold
+            if i == j:
+                near[np.arange(len(rows)), np.arange(at, at + len(rows))] = False
+            x, y = np.nonzero(near)
+            linked[rows] += np.bincount(x, copies[b[y]], len(rows)).astype(np.int64)
+            if i != j:
+                linked[b] += np.bincount(y, copies[rows[x]], len(b)).astype(np.int64)
+            ends = np.stack([part[rows[x]], part[b[y]]], axis=1)
+            joined.append(np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0))
+        ends = np.unique(np.concatenate(joined), axis=0)
+        some = linked > 0
+        return {
+            "a": np.concatenate([ids[some], ends[:, 0]]),
+            "b": np.concatenate([np.full(some.sum(), -1), ends[:, 1]]),
+            "linked": np.concatenate([linked[some], np.zeros(len(ends), np.int64)]),
+        }
+
+    found = Stored(by_group(dealt, ["label", "dims", "i", "j"], compare, "a long, b long, linked long"), "links").df
+    counts = found.where("b < 0").groupBy(F.col("a").alias("rep")).agg(F.sum("linked").alias("linked"))
+    return counts, found.where("b >= 0").select("a", "b")
 
 
 def _audit(reps: DataFrame, counts: DataFrame, threshold: float) -> float:
@@ -204,11 +227,14 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, k: int = K,
             graph = Stored(_round(graph, reps, k, turn), "graph").df
         edges = graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
         classes = components(edges)
-        counts = Stored(_count_links(reps, classes, threshold), "links").df
+        counts, joined = _sweep(reps, classes, threshold)
         if attempt == most_passes - 1 or _audit(reps, counts, threshold) >= audit_recall:
             break
         k *= 2
-    named = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # components that the graph holds apart although a link joins them become one
+    whole = components(joined).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    named = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+    named = named.join(whole, "part", "left").withColumn("component", F.coalesce("whole", "part"))
     first = named.groupBy("component").agg(F.min("first").alias("component_id"))
     known = named.join(first, "component").join(counts, "rep", "left").select("label", "embedding", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     linked = usable.join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")

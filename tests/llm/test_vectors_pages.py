@@ -43,6 +43,26 @@ def test_saturated_lists_are_enlarged(spark):
     assert {r.n_links for r in got if r.vec_id < 700} == {699} and {r.component_id for r in got if r.vec_id < 700} == {0}
 
 
+def _turned(rng, x, cosine):
+    """A unit vector at the given cosine to the unit vector ``x``."""
+    y = rng.normal(size=len(x))
+    y -= (y @ x) * x
+    return cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y)
+
+
+def test_links_between_tight_groups(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in range(20):
+        x = rng.normal(size=64)
+        x /= np.linalg.norm(x)
+        for centre in (x, _turned(rng, x, 0.985)):
+            rows += [(len(rows) + i, [float(v) for v in _turned(rng, centre, 0.99995)], 1) for i in range(12)]
+    got = {r.vec_id: r for r in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert {r.n_links for r in got.values()} == {23}
+    assert all(r.component_id == r.vec_id // 24 * 24 for r in got.values())
+
+
 def test_vectors_odd(spark, odd_vectors):
     got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in neighbours.near_duplicates(odd_vectors).collect()}
     assert {(0, 3, 0, True), (1, 3, 0, False), (50, 3, 0, False), (2, 0, 2, True), (8, 0, 8, True), (9, 0, 9, True), (6, 0, 6, True), (None, 0, None, True)} <= got
