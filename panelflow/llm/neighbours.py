@@ -5,9 +5,9 @@ a few random planes, and with arbitrary ones. Each round gathers, at every vecto
 it or that it lists, compares them with one another (neighbours of neighbours), and keeps the best
 ``k`` of each. Pairs at the threshold or above are links, and join vectors into components. Lists
 of ``k`` cannot hold every link, so a sweep then compares all pairs of one label in exact blocks: it
-counts the links of each vector in full and joins the components that the lists held apart. Its
-work grows with the square of a label's distinct vectors. The result is audited against brute force
-for a bounded sample of vectors; below ``audit_recall`` the lists are doubled and the rounds go on.
+counts the links of each vector in full and joins the components that the lists held apart. No
+link is missed, whatever the rounds found; they only keep the joins that the sweep hands on few. Its
+work grows with the square of a label's distinct vectors.
 
 Defined cases: vectors that are null, empty, all zero or hold null or non-finite components, and
 rows with a null label, link with nothing (their component is their own id); only vectors of equal
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Stored, by_group, components
 
 K, TABLES, PLANES, LEADS = 8, 6, 10, 2
-ROUNDS, AUDITED, AUDIT_RECALL = 3, 256, 0.98
+ROUNDS = 3
 #: Members of one vector's neighbourhood that are compared in one block.
 CHUNK = 48
 #: Values of a block of the sweep at most, its rows while a label has under SPLIT blocks, and similarities held at once.
@@ -179,36 +179,7 @@ def _sweep(reps: DataFrame, classes: DataFrame, threshold: float) -> tuple[DataF
     return counts, found.where("b >= 0").select("a", "b")
 
 
-def _audit(reps: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Share of the true links of a bounded sample that ``counts`` holds."""
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(AUDITED).select("rep", "label", "dims", "embedding").collect()
-    if not sample:
-        return 1.0
-    ids, labels, dims = (np.array([r[c] for r in sample]) for c in ("rep", "label", "dims"))
-    vectors = [np.array(r["embedding"], np.float64) for r in sample]
-    vectors = [v / np.abs(v).max() for v in vectors]
-    vectors = [v / np.linalg.norm(v) for v in vectors]
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rep, label, d, copies = (batch.column(i).to_numpy() for i in (0, 1, 2, 3))
-            got = np.zeros(len(ids), np.int64)
-            for k in np.unique(d):
-                at, q = d == k, np.flatnonzero(dims == k)
-                if len(q):
-                    unit = _unit(batch.column(4).filter(pa.array(at)))
-                    near = (unit @ np.stack([vectors[i] for i in q]).T >= threshold) & (label[at][:, None] == labels[q][None, :]) & (rep[at][:, None] != ids[q][None, :])
-                    got[q] += copies[at] @ near
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(got)], ["rep", "true"])
-
-    true = reps.select("rep", "label", "dims", "copies", "embedding").mapInArrow(run, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true"))
-    r = true.join(counts, "rep", "left").agg(F.sum("true").alias("t"), F.sum(F.coalesce("linked", F.lit(0))).alias("f")).first()
-    return 1.0 if not r.t else r.f / r.t
-
-
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, k: int = K, rounds: int = ROUNDS, audit_recall: float = AUDIT_RECALL, most_passes: int = 4) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, k: int = K, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``embeddings``: ``vec_id, n_links, component_id, kept``."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = Stored(rows.withColumn("usable", _usable()), "vectors").df
@@ -220,17 +191,11 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, k: int = K,
         "distinct_vectors",
     ).df
     graph = Stored(_best(_measure(_start(reps, TABLES, PLANES), reps), k), "graph").df
-    turn = 0
-    for attempt in range(most_passes):
-        for _ in range(rounds):
-            turn += 1
-            graph = Stored(_round(graph, reps, k, turn), "graph").df
-        edges = graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        classes = components(edges)
-        counts, joined = _sweep(reps, classes, threshold)
-        if attempt == most_passes - 1 or _audit(reps, counts, threshold) >= audit_recall:
-            break
-        k *= 2
+    for turn in range(1, rounds + 1):
+        graph = Stored(_round(graph, reps, k, turn), "graph").df
+    edges = graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    classes = components(edges)
+    counts, joined = _sweep(reps, classes, threshold)
     # components that the graph holds apart although a link joins them become one
     whole = components(joined).select(F.col("node").alias("part"), F.col("component").alias("whole"))
     named = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))

@@ -63,6 +63,19 @@ def test_links_between_tight_groups(spark):
     assert all(r.component_id == r.vec_id // 24 * 24 for r in got.values())
 
 
+def test_isolated_pairs_of_a_large_label(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(40000, 64))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    for i in range(0, 20, 2):
+        m[i + 1] = _turned(rng, m[i], 0.985)
+    rows = pa.table({"vec_id": np.arange(40000), "label": np.ones(40000, np.int32), "embedding": pa.ListArray.from_arrays(np.arange(0, m.size + 1, 64, dtype=np.int32), m.ravel())})
+    got = neighbours.near_duplicates(spark.createDataFrame(rows)).where("n_links > 0").collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(i, 1, i // 2 * 2) for i in range(20)}
+
+
 def test_vectors_odd(spark, odd_vectors):
     got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in neighbours.near_duplicates(odd_vectors).collect()}
     assert {(0, 3, 0, True), (1, 3, 0, False), (50, 3, 0, False), (2, 0, 2, True), (8, 0, 8, True), (9, 0, 9, True), (6, 0, 6, True), (None, 0, None, True)} <= got
