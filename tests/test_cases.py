@@ -165,3 +165,8 @@ def test_stream(spark, sf, tmp_path):
     q.stop()
     want = spark.read.parquet(str(folder)).select("event_type").distinct().count()
     assert spark.table("seen").select("event_type").distinct().count() == want
+
+
+def test_plans_of_many_columns(spark):
+    groups = spark.createDataFrame([(1, 220, 100, 10.0, 100, 2)], "page_id long, w long, h long, p double, n long, expected long")
+    assert sorted(r.columns for r in layout.vertical_plans(groups).where("size = 10").collect()) == list(range(10, 21))
