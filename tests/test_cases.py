@@ -170,3 +170,19 @@ def test_stream(spark, sf, tmp_path):
 def test_plans_of_many_columns(spark):
     groups = spark.createDataFrame([(1, 220, 100, 10.0, 100, 2)], "page_id long, w long, h long, p double, n long, expected long")
     assert sorted(r.columns for r in layout.vertical_plans(groups).where("size = 10").collect()) == list(range(10, 21))
+
+
+def test_near_boxes_of_one_text():
+    from types import SimpleNamespace
+
+    def box(x, y, w, h, text, vertical=True):
+        return SimpleNamespace(x=x, y=y, w=w, h=h, text=text, vertical=vertical)
+
+    a = box(0, 0, 60, 100, "こんにちは")
+    assert merging.duplicate(a, box(65, 0, 60, 100, "こんにちは"))
+    assert merging.duplicate(box(0, 0, 100, 60, "hello", False), box(0, 65, 100, 60, "hello", False))
+    assert not merging.duplicate(a, box(70, 0, 60, 100, "こんにちは"))  # gap 0.10
+    assert not merging.duplicate(a, box(65, 50, 60, 100, "こんにちは"))  # overlap 0.50
+    assert not merging.duplicate(a, box(65, 0, 60, 100, "さようなら"))
+    assert not merging.duplicate(a, box(65, 0, 60, 100, "こんにちは", False))
+    assert not merging.duplicate(a, box(65, 0, 60, 50, "こんにちは"))  # area ratio 0.50
