@@ -48,9 +48,13 @@ q AS (SELECT *, 0.18 + 0.18 * least(1.0, useful) + least(0.10, 0.025 * log2(n +
 r AS (SELECT item_id, v, n, CASE WHEN n = 0 OR p = n THEN 0.0 ELSE greatest(0.0, least(1.0, (CASE WHEN l > 0 AND l / n::DOUBLE >= 0.6 THEN greatest(base, 0.38) ELSE base END) - CASE WHEN useful < 0.55 THEN 0.25 ELSE 0.0 END)) END AS quality FROM q)"""
 
 
-def scored(spark, sf):
+WHOLE_SCORED = SCORED.replace("substr(regexp_replace(text, '\\s', '', 'g'), 1, 40)", "regexp_replace(text, '\\s', '', 'g')")
+
+
+def scored(spark, sf, whole=False):
     # the first 40 visible characters stand for one recognised line
-    v = load(spark, sf, "benchmark").select("item_id", F.expr("substr(regexp_replace(text, '\\\\s', ''), 1, 40)").alias("v"))
+    visible = "regexp_replace(text, '\\\\s', '')"
+    v = load(spark, sf, "benchmark").select("item_id", F.expr(visible if whole else f"substr({visible}, 1, 40)").alias("v"))
     return v.withColumn("_run", t.max_run("v")).withColumn("quality", t.quality("v"))
 
 
@@ -59,10 +63,24 @@ def text_quality(spark, sf):
     return scored(spark, sf).select("item_id", F.round("quality", 6).alias("quality"))
 
 
+@query("text_quality_whole", "WITH " + WHOLE_SCORED + " SELECT item_id, round(quality, 6) AS quality FROM r")
+def text_quality_whole(spark, sf):
+    return scored(spark, sf, True).select("item_id", F.round("quality", 6).alias("quality"))
+
+
 @query("text_accept", "WITH " + SCORED + " SELECT CASE WHEN v = '' THEN 'empty_ocr' WHEN quality < 0.46 THEN 'low_ocr_quality' ELSE 'accepted' END AS verdict, count(*) AS texts FROM r GROUP BY 1")
 def text_accept(spark, sf):
+    return verdicts(scored(spark, sf))
+
+
+def verdicts(texts_scored):
     verdict = F.coalesce(F.split(t.reject_reason("v", "quality"), ":")[0], F.lit("accepted"))
-    return scored(spark, sf).groupBy(verdict.alias("verdict")).agg(F.count("*").alias("texts"))
+    return texts_scored.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("texts"))
+
+
+@query("text_accept_whole", "WITH " + WHOLE_SCORED + " SELECT CASE WHEN v = '' THEN 'empty_ocr' WHEN quality < 0.46 THEN 'low_ocr_quality' ELSE 'accepted' END AS verdict, count(*) AS texts FROM r GROUP BY 1")
+def text_accept_whole(spark, sf):
+    return verdicts(scored(spark, sf, True))
 
 
 @query("exact_dup_docs", "SELECT min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")
@@ -82,6 +100,15 @@ def candidate_dedup(spark, sf):
     return texts.best_per_key(candidates(spark, sf)).select("ordinal", "group_id", "source", "normalized")
 
 
+WHOLE_CANDIDATES = CANDIDATES.replace("lower(substr(text, 1, 3))", "lower(text)")
+
+
+@query("candidate_dedup_whole", f"SELECT ordinal, group_id, source, normalized FROM (SELECT *, row_number() OVER (PARTITION BY group_id, normalized, source ORDER BY quality DESC, ordinal) AS r FROM ({WHOLE_CANDIDATES}) WHERE normalized <> '') WHERE r = 1")
+def candidate_dedup_whole(spark, sf):
+    c = load(spark, sf, "documents").selectExpr("doc_id as ordinal", "lang as group_id", "source", "lower(text) as normalized", "round(n_chars / 50000.0D, 6) as quality")
+    return texts.best_per_key(c).select("ordinal", "group_id", "source", "normalized")
+
+
 @query("upper_median_length", "SELECT lang, list_sort(list(length(text)))[(count(*) // 2)::INT + 1] AS length FROM documents GROUP BY lang")
 def upper_median_length(spark, sf):
     return load(spark, sf, "documents").groupBy("lang").agg(F.expr("cast(array_sort(collect_list(char_length(text)))[cast(count(*) div 2 as int)] as bigint)").alias("length"))
@@ -91,7 +118,7 @@ def upper_median_length(spark, sf):
 def best_candidate(spark, sf):
     b = load(spark, sf, "benchmark")
     views = None
-    for i, (source, text, q) in enumerate((("raw", "substr(text, 1, 30)", 0.80), ("mask", "substr(text, 1, 24)", 0.82), ("contrast", "substr(text, 1, 27)", 0.79))):
+    for i, (source, text, q) in enumerate((("raw", "text", 0.80), ("mask", "text", 0.82), ("contrast", "text", 0.79))):
         v = b.selectExpr("item_id as group_id", f"{i} as ordinal", f"'{source}' as source", f"{text} as normalized", f"{q}D as quality")
         views = v if views is None else views.unionByName(v)
     return texts.best_candidate(views).select("group_id", "ordinal", F.round("score", 6).alias("score"))
@@ -125,6 +152,12 @@ def glossary_terms(spark, sf):
     return texts.glossary_terms(load(spark, sf, "conversations"), glossary)
 
 
+@query("glossary_terms_whole", "SELECT DISTINCT text AS term, upper(text) AS target FROM benchmark g WHERE EXISTS (SELECT 1 FROM conversations c WHERE contains(c.text, g.text))")
+def glossary_terms_whole(spark, sf):
+    glossary = load(spark, sf, "benchmark").selectExpr("text as term").distinct().withColumn("target", F.upper("term"))
+    return texts.glossary_terms(load(spark, sf, "conversations"), glossary)
+
+
 RESPONSES = "SELECT conv_id AS request, '```json' || chr(10) || '{\"translations\": ' || to_json(list({id: printf('T%04d', turn), text: text} ORDER BY turn))::VARCHAR || '}' || chr(10) || '```' AS response FROM conversations GROUP BY conv_id"
 
 

@@ -186,3 +186,13 @@ def test_near_boxes_of_one_text():
     assert not merging.duplicate(a, box(65, 0, 60, 100, "さようなら"))
     assert not merging.duplicate(a, box(65, 0, 60, 100, "こんにちは", False))
     assert not merging.duplicate(a, box(65, 0, 60, 50, "こんにちは"))  # area ratio 0.50
+
+
+def test_candidate_views_are_whole_texts(spark, sf, monkeypatch):
+    from panelflow.plans import text_queries
+
+    seen = []
+    monkeypatch.setattr(text_queries.texts, "best_candidate", lambda views: seen.append(views) or views.withColumn("score", F.lit(1.0)))
+    text_queries.best_candidate(spark, sf)
+    whole = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+    assert seen[0].join(whole, F.expr("group_id = item_id and normalized = text"), "left_anti").count() == 0
