@@ -18,6 +18,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -179,6 +180,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     before = 0
     rows = []
     above: list[tuple] = [()] * n
+    kinds = [Counter(nodes[j].tag for j in node.children) for node in nodes]
     for i, node in enumerate(nodes):
         p = node.parent
         own_main, own_side = len(node.words & _main), len(node.words & _side)
@@ -188,7 +190,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         before += sum(len(t.strip()) for _, t in node.texts)
         kin = nodes[p].children if p >= 0 else [i]
         k = len(kin)
-        alike = sum(nodes[j].tag == node.tag for j in kin) if k < 64 else k
+        alike = kinds[p][node.tag] if p >= 0 else 1
         c = chars[i]
         own = sum(len(t.strip()) for _, t in node.texts)
         parent_chars = chars[p] if p >= 0 else c

@@ -145,3 +145,9 @@ def test_pipeline(spark, sf):
         assert docs.join(before.select("doc_id").distinct(), "doc_id", "left_anti").count() == 0
     last = cp.STAGES[-1][1](spark, docs, sf)
     assert last.count() == docs.count() and last.where(F.col("n_tokens") < 0).count() == 0
+
+
+def test_share_of_like_siblings_in_long_parents():
+    nodes = html_text.parse("<body>" + "<p>text</p>" * 64 + "<div>advert</div></body>")
+    at = next(i for i, n in enumerate(nodes) if n.tag == "div")
+    assert html_text.features(nodes)[at, 3] == np.float32(1 / 65)
