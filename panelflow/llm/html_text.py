@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 # Element classes of HTML, and words that authors put into class, id and role.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "option", "button", "canvas", "audio", "video"}
+#: Elements whose content is text up to the end tag, or to the end of the page without one.
+RAW_TEXT = {"script", "style", "textarea", "title", "iframe", "noscript"}
 UNSEEN = {"script", "style", "title", "head", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "select", "option", "button", "canvas", "audio", "video"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -133,11 +135,12 @@ def parse(source: str) -> list[Node]:
         if tag == "br" or tag == "hr":
             order += 1
             nodes[-1].texts.append((order, " "))
-        if tag in VOID or m["attrs"].endswith("/") and tag in ("path", "rect", "circle"):
+        if tag in VOID or m["attrs"].endswith("/") and tag in ("path", "rect", "circle", "svg", "math"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
-            at = end.end() if end else size
+            # without an end tag, the others end at once and the page goes on
+            at = end.end() if end else size if tag in RAW_TEXT else at
             continue
         stack.append(len(nodes) - 1)
     return nodes

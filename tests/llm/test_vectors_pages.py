@@ -151,3 +151,9 @@ def test_share_of_like_siblings_in_long_parents():
     nodes = html_text.parse("<body>" + "<p>text</p>" * 64 + "<div>advert</div></body>")
     at = next(i for i, n in enumerate(nodes) if n.tag == "div")
     assert html_text.features(nodes)[at, 3] == np.float32(1 / 65)
+
+
+@pytest.mark.parametrize("tag", ["<svg width='1'/>", "<math/>", "<button>", "<video src='x'>"])
+def test_text_after_elements_without_an_end(tag):
+    nodes = html_text.parse(f"<body><p>before</p>{tag}<p>after</p></body>")
+    assert [t for n in nodes if n.tag == "p" for _, t in n.texts] == ["before", "after"]
