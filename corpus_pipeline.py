@@ -2,8 +2,8 @@
 
 Quality classifier, line dedup, SimHash near-dedup, mixing of sources, BPE. Every stage takes
 ``(spark, docs, sf_dir)`` and works on all rows that the stage before kept; all but the last
-return the columns of ``documents``. SQL cannot express the classifier, so ``ORACLE_SQL`` is None
-and the pipeline is tested against a brute-force version.
+return the columns of ``documents``. SQL cannot express the classifier, so ``ORACLE_SQL`` is None;
+its test looks at columns, rows and ids only, and no brute-force version of the whole exists.
 """
 
 from __future__ import annotations
