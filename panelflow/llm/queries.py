@@ -41,7 +41,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
-@query("op7_exact_top_k")
+@query("op7_exact_top_k", topk.oracle())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 

@@ -101,11 +101,37 @@ def test_top_k_shards_ties_and_odd(spark, odd_vectors):
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows.items()], "vec_id long, embedding array<float>")
     got = {tuple(r) for r in topk.top_k(df, shard_rows=100, query_rows=4).collect()}
     assert got == {(a, b, c, -d) for a, b, c, d in slow_top(rows)}
-    odd = topk.top_k(odd_vectors.where("vec_id is null or vec_id <> 100")).collect()
+    odd = topk.top_k(odd_vectors).collect()
     assert {(r.query_id, r.rank, r.vec_id) for r in odd if r.query_id == 0} == {(0, 1, 50), (0, 2, 50), (0, 3, 1), (0, 4, 2), (0, 5, 8)}
+    assert {(r.vec_id, r.score) for r in odd if r.query_id == 100 and r.rank == 1} == {(1, topk.MOST)}
     assert topk.top_k(odd_vectors.limit(0)).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    """Scores beyond double precision are whole, and those beyond a long are the nearest long."""
+    rows = {0: [1.0, 1.0, 3.0], 1: [-1.0, 1e30, 0.0], 2: [1.0, -1e30, 0.0], 3: [2.0**40, 1.0, -(2.0**40)], 4: [2.0**41 + 0.5, 1.25, -(2.0**40) - 0.25], 50: [1.0 / 256, 2.0**45, 5.0]}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    q = {i: [int(np.floor(x)) * 256 if abs(x) > 2**50 else int(np.floor(256 * x)) for x in v] for i, v in rows.items()}
+    want = set()
+    for i in (0, 50):
+        scores = sorted((-min(topk.MOST, max(topk.LEAST, sum(a * b for a, b in zip(q[i], q[j])))), j) for j in q if j != i)
+        want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(scores[:5])}
+    assert {tuple(r) for r in topk.top_k(df).collect()} == want
+
+
+def test_reading_stops_at_the_bounds_alone():
+    """No list is read on once outsiders are out, and the bounds hold at every depth."""
+    rng = np.random.default_rng(9)
+    v = np.floor(256 * rng.normal(size=(300, 6)))
+    lists = topk.Lists(np.arange(300), v)
+    q = np.floor(256 * rng.normal(size=(40, 6)))
+    split = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1)
+    for depth in (1, 75, 150, 299, 300):
+        values, slack = lists.read(depth)
+        lower, true = split @ values.T, q @ lists.vectors.T
+        assert (lower <= true).all() and (lower + split @ slack.T >= true).all()
+
+
 def test_pages_of_unseen_layouts():
     rng = random.Random(12345)
     pages = [html_text.generate(rng) for _ in range(200)]
