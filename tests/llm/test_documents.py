@@ -201,6 +201,30 @@ def test_disclosing_terms(spark):
     assert private_data.disclosing_terms(same).count() == 0
 
 
+def test_terms_are_generalised_or_removed(spark):
+    """Of two words that disclose less than all, the one with a stem of others gets that stem, the other goes."""
+    rows = [f"mail ada{i % 1}@site.org on zanzibar and quixote {i}" for i in range(10)] + [f"zanzibar with quixote {i}" for i in range(2)] + [f"zanzilla {i}" for i in range(30)] + [f"other words {i}" for i in range(958)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.term: r for r in private_data.disclosing_terms(df).collect()}
+    assert private_data.GENERALISE <= got["zanzibar"].disclosed < private_data.REMOVE and got["zanzibar"].general == "zanzi" and got["quixote"].general is None
+    clean = {r.doc_id: r.text for r in private_data.sanitised(private_data.find(df)).collect()}
+    assert clean[3] == "[REMOVED] [EMAIL] on zanzi* and [REMOVED] 3" and clean[10] == rows[10] and clean[12] == rows[12]
+    strict = private_data.sanitised(private_data.find(df, remove=0.9)).where("doc_id = 3").first().text
+    assert strict == "[REMOVED] [EMAIL] on [REMOVED] and [REMOVED] 3"
+
+
+def test_risk_is_of_the_text_not_of_the_id(spark):
+    rows = [(1, f"write to ada@site.org about zanzibar trip {i}") for i in range(6)] + [(1, "zanzibar stands alone here")] + [(9, f"common road {i}") for i in range(60)]
+    got = private_data.digests(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 1").collect()
+    assert sorted(r.spans.count("term:") for r in got) == [0] + [4] * 6
+
+
+def test_spaced_phones_and_far_words_count(spark):
+    rows = [(i, f"call +1   2   3   4   5   6   7   8 in zanzibar {i}" + " far" * 100 + " quixote") for i in range(4)] + [(9 + i, f"common road {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.term for r in private_data.disclosing_terms(df).collect()} == {"call", "zanzibar"}
+
+
 def test_private_data_odd(odd, nothing):
     got = private_data.digests(odd).collect()
     assert len(got) == 11 and [(r.n_email, r.n_ip, r.n_card, r.n_phone) for r in got if r.doc_id == 9] == [(1, 1, 1, 1)]
