@@ -1,8 +1,8 @@
 """Token ids in ORC files (operator 3).
 
-Texts are dealt by ranges of doc_id, sorted within each range, encoded, and written as one ORC
-file a range: integer run-length encoding (version 2) for the ids, a row index every
-``ROW_INDEX_STRIDE`` rows, and a Bloom filter on ``doc_id``. The stripe size lets readers take
+Texts are dealt by ranges of doc_id and a hash of the text, sorted within each range, encoded, and
+written as one ORC file a range: integer run-length encoding (version 2) for the ids, a row index
+every ``ROW_INDEX_STRIDE`` rows, and a Bloom filter on ``doc_id``. Each row has its number in the file. The stripe size lets readers take
 single stripes in parallel; the index and the filter let them skip all others for a given id.
 
 Each distinct chunk without white space that a worker meets goes through the tokenizers library once: the
@@ -10,7 +10,7 @@ vocabulary's normaliser and pre-tokeniser never look across white space, so the
 those of its chunks in turn.
 
 Defined cases: a null text counts as empty and has the end id only; rows that repeat a doc_id
-follow one another, ordered by text; a null doc_id comes first; other columns are not read; an
+follow one another, ordered by a hash of their text, and may fill several files; a null doc_id comes first; other columns are not read; an
 empty table writes no rows.
 """
 
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_root
+from .common import Stored, shared_root
 
 END_ID = 1
 STRIPE_BYTES, ROW_INDEX_STRIDE, BLOOM_FPP = 64 << 20, 1000, 0.01
@@ -37,6 +37,7 @@ REMEMBERED, REMEMBERED_CHARS = 600_000, 40
 #: Bytes of text that are encoded at once.
 PIECE_BYTES = 4 << 20
 
+
 def _strings(column: pa.Array) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()
 
@@ -159,11 +160,12 @@ def default_path() -> str:
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> None:
-    """Writes ``(doc_id, shard, ids)`` to ORC files in ``folder``, ascending by doc_id over the files."""
+    """Writes ``(doc_id, shard, row, ids)`` to ORC files in ``folder``, ascending by doc_id over the files."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
+        row = 0
         for batch in batches:
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
             at = 0
@@ -173,15 +175,16 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
                 ids, ends = e.encode(part.column(1))
                 ids = np.insert(ids, ends[1:], end_id).astype(np.int32)
                 ends = (ends + np.arange(len(ends))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(ids))], ["doc_id", "ids"])
-                at = to
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.arange(row, row + to - at)), pa.ListArray.from_arrays(ends, pa.array(ids))], ["doc_id", "row", "ids"])
+                row, at = row + to - at, to
 
     (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(run, "doc_id long, ids array<int>")
-        .select("doc_id", F.spark_partition_id().alias("shard"), "ids")
+        .withColumn("mark", F.xxhash64("text"))
+        .repartitionByRange("doc_id", "mark")
+        .sortWithinPartitions("doc_id", "mark")
+        .mapInArrow(run, "doc_id long, row long, ids array<int>")
+        .select("doc_id", F.spark_partition_id().alias("shard"), "row", "ids")
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", str(BLOOM_FPP))
         .option("orc.row.index.stride", str(ROW_INDEX_STRIDE))
@@ -194,7 +197,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
 
 def read(spark: SparkSession, folder: str, doc_id: int | None = None) -> DataFrame:
     """The rows of the files; with ``doc_id``, only stripes and row groups that may hold it."""
-    df = spark.read.schema("doc_id long, shard int, ids array<int>").orc(folder)
+    df = spark.read.schema("doc_id long, shard int, row long, ids array<int>").orc(folder)
     return df if doc_id is None else df.where(F.col("doc_id") == doc_id)
 
 
@@ -207,19 +210,17 @@ def index(tokens: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(2)
+            ids = batch.column(3)
             values, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
             n = np.diff(ends)
             crc = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "shard", "n_tokens", "ids_crc32"])
-
-    rows = tokens.select("doc_id", "shard", "ids").mapInArrow(run, "doc_id long, shard int, n_tokens long, ids_crc32 long")
-    from .common import Stored
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "shard", "row", "n_tokens", "ids_crc32"])
 
+    rows = tokens.select("doc_id", "shard", "row", "ids").mapInArrow(run, "doc_id long, shard int, row long, n_tokens long, ids_crc32 long")
     rows = Stored(rows, "token_rows").df
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total")).select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("shard").orderBy("doc_id", "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("shard").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("inner", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)))
         .join(totals, "shard")

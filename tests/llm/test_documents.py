@@ -140,6 +140,42 @@ def test_token_file_layout(spark, odd, nothing, tmp_path):
     assert token_files.round_trip(nothing).count() == 0
 
 
+def test_starts_of_repeated_ids_follow_the_files(spark, tmp_path):
+    rows = [(1, "one two three four"), (1, "five"), (1, "six seven"), (2, "eight"), (None, "nine ten"), (1, None)]
+    folder = str(tmp_path / "orc")
+    token_files.write(spark.createDataFrame(rows * 3, "doc_id long, text string"), folder)
+    files = token_files.read(spark, folder)
+    stream, at = [], {}
+    for r in files.orderBy("shard", "row").collect():
+        at[len(stream)] = (r.doc_id, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes()))
+        stream += r.ids
+    assert {r.start: (r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.index(files).collect()} == at and len(at) == 18
+    order = [-1 if d is None else d for d, _, _ in at.values()]
+    assert order == sorted(order)
+
+
+def test_orc_stripes_index_and_filter(spark, tmp_path):
+    """The files hold run-length streams, a row index and a Bloom filter on doc_id, in stripes."""
+    folder = tmp_path / "orc"
+    docs = spark.range(0, 5000, 1, 1).selectExpr("id * 7 as doc_id", "concat('word ', id) as text")
+    token_files.write(docs, str(folder))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    kinds, total = set(), 0
+    for file in folder.glob("*.orc"):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == token_files.ROW_INDEX_STRIDE
+        total += reader.getNumberOfRows()
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            kinds |= {(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()}
+            assert footer.getColumns(5).getKind().toString() == "DIRECT_V2"  # the ids: run-length encoding, version 2
+        rows.close()
+        reader.close()
+    assert total == 5000 and {(1, "ROW_INDEX"), (1, "BLOOM_FILTER_UTF8"), (5, "ROW_INDEX")} <= kinds and (5, "BLOOM_FILTER_UTF8") not in kinds
+    assert [r.doc_id for r in token_files.read(spark, str(folder), 700).collect()] == [700] and not token_files.read(spark, str(folder), 701).collect()
+
+
 def test_chunked_encoding_is_exact():
     from tokenizers import Tokenizer
 
