@@ -14,7 +14,7 @@ of all rows is spread over ``SLOTS`` windows.
 
 Defined cases: null or empty texts have no tokens and fit wherever they stand in the order; null
 domains, languages and sources form a leaf of their own named ``?``; repeated rows count each;
-rows with a null id are ordered by their empty id; weights below 1 exclude a node; an empty table
+rows with a null id are ordered by their empty id, rows that repeat an id by their tokens; weights below 1 exclude a node; an empty table
 gives no rows; columns of other names pass through untouched in ``mixed``.
 """
 
@@ -44,11 +44,11 @@ def tokens_of(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
-def leaves_of(docs: DataFrame) -> DataFrame:
-    """``domain, lang, source, doc_id, tokens`` of each row."""
+def leaves_of(docs: DataFrame, *more: Column) -> DataFrame:
+    """``domain, lang, source, doc_id, tokens`` of each row, and what else is asked for."""
     text, source = F.col("text").cast("string"), F.col("source").cast("string")
     return docs.select(
-        domain_of(source).alias("domain"), F.coalesce(F.col("lang").cast("string"), F.lit("?")).alias("lang"), F.coalesce(source, F.lit("?")).alias("source"), F.col("doc_id").cast("long").alias("doc_id"), tokens_of(text).alias("tokens")
+        domain_of(source).alias("domain"), F.coalesce(F.col("lang").cast("string"), F.lit("?")).alias("lang"), F.coalesce(source, F.lit("?")).alias("source"), F.col("doc_id").cast("long").alias("doc_id"), tokens_of(text).alias("tokens"), *more
     )
 
 
@@ -105,10 +105,8 @@ def budgets(leaves: DataFrame, weights: dict | None = None, budget: int | None =
     return level_rows.select(*LEVELS, "leaf_tokens", F.col("budget").alias("alloc"))
 
 
-def select(docs: DataFrame, weights: dict | None = None, budget: int | None = None, share: tuple[int, int] = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """``doc_id, domain, lang, source, tokens, copies`` of the rows chosen at least once."""
-    leaves = Stored(leaves_of(docs), "leaves").df
-    plan = Stored(budgets(leaves, weights, budget, share, max_epochs), "budgets").small()
+def _placed(leaves: DataFrame, plan: DataFrame, max_epochs: int, seed: int) -> DataFrame:
+    """The rows of ``leaves`` chosen at least once, with ``copies``; their other columns stay."""
     spread = leaves.join(plan, list(LEVELS))
     passes = F.when(F.col("leaf_tokens") > 0, F.expr("least(alloc div leaf_tokens, %d)" % max_epochs)).otherwise(F.lit(max_epochs))
     spread = spread.withColumn("passes", passes.cast("long")).withColumn("rest", F.col("alloc") - F.col("passes") * F.col("leaf_tokens"))
@@ -119,14 +117,25 @@ def select(docs: DataFrame, weights: dict | None = None, budget: int | None = No
     within = Window.partitionBy(*LEVELS, "slot").orderBy("key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
     placed = spread.withColumn("upto", F.sum("tokens").over(within)).join(starts, [*LEVELS, "slot"])
     more = ((F.col("passes") < max_epochs) & (F.col("start") + F.col("upto") <= F.col("rest"))).cast("long")
-    return placed.withColumn("copies", F.col("passes") + more).where("copies > 0").select("doc_id", *LEVELS, "tokens", "copies")
+    return placed.withColumn("copies", F.col("passes") + more).where("copies > 0")
+
+
+def select(docs: DataFrame, weights: dict | None = None, budget: int | None = None, share: tuple[int, int] = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """``doc_id, domain, lang, source, tokens, copies`` of the rows chosen at least once."""
+    leaves = Stored(leaves_of(docs), "leaves").df
+    plan = Stored(budgets(leaves, weights, budget, share, max_epochs), "budgets").small()
+    return _placed(leaves, plan, max_epochs, seed).select("doc_id", *LEVELS, "tokens", "copies")
+
 
+def mixed(docs: DataFrame, weights: dict | None = None, budget: int | None = None, share: tuple[int, int] = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` that were chosen, each as often as its epochs read it, all columns kept.
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that were chosen, each as often as its epochs read it, all columns kept."""
-    chosen = select(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    spread = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["_id"]))
-    return spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    Rows travel whole to their leaf's slots, once, so every row is placed for itself, whatever ids repeat.
+    """
+    plan = Stored(budgets(leaves_of(docs), weights, budget, share, max_epochs), "budgets").small()
+    rows = leaves_of(docs, F.struct("*").alias("_row"))
+    chosen = _placed(rows, plan, max_epochs, seed).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return chosen.select("_row.*")
 
 
 def _sql_level(i: int, weights: dict) -> str:
