@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, components
@@ -55,15 +55,19 @@ def majority(hashes: list[int]) -> int:
     return int(bits.view("<u8")[0])
 
 
+def _mark() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` for each row; ``fp`` holds the 64 bits as a signed long."""
+    """``(doc_id, fp, mark)`` for each row; ``fp`` holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64()), batch.column(2)], ["doc_id", "fp", "mark"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _mark().alias("mark")).mapInArrow(run, "doc_id long, fp long, mark long")
 
 
 # --- vantage-point tree ------------------------------------------------------
@@ -196,31 +200,36 @@ def links(fps: DataFrame, bits: int = 3, shard_rows: int = SHARD_ROWS) -> DataFr
     return fps.select("fp").mapInArrow(deal, "shard int, fp long, own boolean").groupBy("shard").applyInArrow(find, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, bits: int = 3, width: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, fingerprint`` (16 hex digits)``, component_id``."""
-    marks = stored_fingerprints(docs, width)
+def _classes(docs: DataFrame, bits: int, width: int, shard_rows: int) -> DataFrame:
+    """``doc_id, mark, fp, label, component_id`` of each row; ``mark`` is a digest of its text, ``label``
+    one number a component."""
+    marks = Stored(fingerprints(docs, width), "simhash").df
     firsts = Stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps").df
     labels = components(links(firsts.select("fp"), bits, shard_rows)).withColumnRenamed("node", "fp")
     named = firsts.join(labels, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_fp = Stored(named.join(least, "label").select("fp", "component_id"), "classes").df
-    return marks.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = Stored(named.join(least, "label").select("fp", "label", "component_id"), "classes").df
+    return marks.join(by_fp, "fp")
 
 
-def stored_fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    return Stored(fingerprints(docs, width), "simhash").df
+def near_duplicates(docs: DataFrame, bits: int = 3, width: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, fingerprint`` (16 hex digits)``, component_id``."""
+    return _classes(docs, bits, width, shard_rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest id.
+def representatives(docs: DataFrame, bits: int = 3, width: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component one row of the document with the smallest id.
 
-    Rows that repeat that id stay with it only if they belong to the same component's first text;
-    a null doc_id stays where its component has no other id.
+    Of different texts under that id the one with the least digest stays; of equal rows one; a null
+    doc_id stays where its component has no other id.
     """
-    keep = (
-        near_duplicates(docs, bits)
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("_keep"))
-        .distinct()
-    )
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+    first = _classes(docs, bits, width, shard_rows).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    texts = first.groupBy("label", F.col("doc_id").alias("_id"), "mark").agg(F.count("*").alias("_rows"))
+    heads = texts.groupBy("label").agg(F.min(F.struct("mark", "_id", "_rows")).alias("head")).select("head.*")
+    keep = Stored(heads.withColumnRenamed("mark", "_mark"), "kept")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc_id"), _mark().alias("_text_mark"))
+    stays = rows.join(keep.small(), F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_mark") == F.col("_mark")))
+    one = stays.where("_rows = 1").select("_row.*")
+    if keep.df.where("_rows > 1").isEmpty():
+        return one
+    return one.unionByName(stays.where("_rows > 1").groupBy("_id", "_mark").agg(F.first("_row").alias("_row")).select("_row.*"))

@@ -94,6 +94,15 @@ def test_simhash_odd(odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def test_representatives_of_repeated_ids(spark):
+    a, b = "some first text about ships and rivers", "quite another text on trains and hills"
+    rows = [(3, b), (5, a), (5, b), (7, a), (7, a), (8, a), (None, "alone " * 5), (None, "alone " * 5), (None, "other words here now")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, _rows int, label string")
+    got = simhash.representatives(df)
+    assert got.columns == df.columns
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter([(3, b), (5, a), (None, "alone " * 5), (None, "other words here now")])
+
+
 # --- operator 8
 
 
@@ -319,6 +328,19 @@ def test_mixing_odd(odd, nothing):
     assert mixing.select(nothing).count() == 0
 
 
+def test_mixed_rows_of_one_id_keep_to_the_budget(spark):
+    rows = [(1, "a", "en", "src0"), (1, "a b c d", "en", "src0"), (1, "a b", "en", "src0"), (None, "a b c", "en", "src0"), (2, "a b c d e", "en", "src0"), (1, "a", "en", "src0")]
+    df = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, lang string, source string, _copies int, _row string")
+    for budget in (1, 3, 5, 9, 16, 20, 40):
+        chosen = collections.Counter()
+        for r in mixing.select(df, budget=budget).collect():
+            chosen[r.doc_id, r.tokens] += r.copies
+        out = mixing.mixed(df, budget=budget)
+        assert out.columns == df.columns
+        assert collections.Counter((r.doc_id, len(r.text.split(" "))) for r in out.collect()) == chosen
+        assert sum(n * t for (_, t), n in chosen.items()) <= budget
+
+
 # --- operator 1
 
 
