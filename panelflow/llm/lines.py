@@ -12,8 +12,9 @@ first (by doc_id, then line number) stays.
 0.997, at 0.9 with more than 0.9999.
 
 Defined cases: blank lines (white space only) are never compared and stay; a line shorter than a
-shingle equals only its copies; a null text has one blank line; lines at the same place of rows
-that repeat a doc_id stay or go together; a null doc_id stands before all others; other columns
+shingle equals only its copies; a null text has one blank line; of rows
+that repeat a doc_id each keeps the lines that are its own, and equal lines at the same place of
+them stay or go together; a null doc_id stands before all others; other columns
 pass through ``deduplicated`` untouched but for ``n_chars``, which follows the text; an empty
 table gives no rows.
 """
@@ -204,8 +205,15 @@ def _compare_block(t: dict[str, list]) -> dict | None:
     return {"a": [a for a, _ in found], "b": [b for _, b in found]} if found else None
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("line_no", "line"))
+def _lines(docs: DataFrame, *more: F.Column) -> DataFrame:
+    """``doc_id, line_no, line, k1, k2`` of every line; the digests of blank lines are null."""
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("line_no", "line"))
+    digest = {"k1": F.xxhash64("line"), "k2": F.xxhash64(F.concat(F.lit("\u0001"), F.col("line")))}
+    return cut.withColumns({k: F.when(F.col("line").rlike(_NOT_BLANK), d) for k, d in digest.items()})
+
+
+def _mark() -> F.Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -222,9 +230,11 @@ def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     shared = buckets.groupBy("bucket").agg(F.min("uid").alias("first"), F.count("*").alias("n")).where("n > 1")
     members = Stored(buckets.join(shared, "bucket"), "members").df
     pairs = members.where("uid <> first").select("uid", "first").distinct()
-    wanted = members.select("uid").distinct().join(distinct.select("uid", "place"), "uid").select("uid", *[c.alias(n) for c, n in zip(_from_place("place"), ("w_id", "w_no"), strict=True)])
-    wanted = Stored(wanted, "wanted_lines")
-    source = _lines(docs).join(wanted.small(), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("line_no") == F.col("w_no")))
+    wanted = members.select("uid").distinct().join(distinct.select("uid", "place", "k1", "k2"), "uid")
+    wanted = Stored(wanted.select("uid", F.col("k1").alias("w1"), F.col("k2").alias("w2"), *[c.alias(n) for c, n in zip(_from_place("place"), ("w_id", "w_no"), strict=True)]), "wanted_lines")
+    # by place, which no line shares, and by digest, as rows that repeat an id share places
+    at = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("line_no") == F.col("w_no"))
+    source = _lines(docs).join(wanted.small(), at & (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")))
     texts = Stored(source.select("uid", "line").dropDuplicates(["uid"]), "line_texts").df
 
     near = _verified(pairs, texts)
@@ -248,30 +258,56 @@ def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return near.unionByName(close).unionByName(rest)
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, rep_doc_id, rep_line_no, kept`` of every line; blank lines represent themselves."""
-    distinct = sign(docs).withColumn("place", _place()).groupBy("k1", "k2").agg(F.min("place").alias("place"), *[F.first(f"b{b}").alias(f"b{b}") for b in range(BANDS)])
+#: A line that makes up more than this share of all lines is named from a broadcast list, which has no more entries than that.
+HOT_SHARE = 4096
+
+
+def _named(docs: DataFrame, *more: F.Column) -> DataFrame:
+    """``doc_id, line_no, rep_doc_id, rep_line_no, kept`` of every line, and what else is asked for."""
+    distinct = sign(docs).withColumn("place", _place()).groupBy("k1", "k2").agg(F.min("place").alias("place"), F.count("*").alias("n"), *[F.first(f"b{b}").alias(f"b{b}") for b in range(BANDS)])
     distinct = Stored(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct_lines").df
     labels = components(_links(docs, distinct))
     classed = labels.withColumnRenamed("node", "uid").join(distinct.select("uid", "k1", "k2", "place"), "uid")
-    heads = classed.groupBy("component").agg(F.min("place").alias("head"))
+    heads = classed.groupBy("component").agg(F.min(F.struct("place", "k1", "k2")).alias("head"))
     heads = Stored(classed.join(heads, "component").select("k1", "k2", "head"), "line_heads").df
-    named = distinct.select("k1", "k2", "place").join(heads, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("head", "place").alias("head"))
-    named = named.select("k1", "k2", *[c.alias(n) for c, n in zip(_from_place("head"), ("rep_doc_id", "rep_line_no"), strict=True)])
-    digest = [F.xxhash64("line").alias("k1"), F.xxhash64(F.concat(F.lit("\u0001"), F.col("line"))).alias("k2")]
-    lines = _lines(docs).select("doc_id", "line_no", *[F.when(F.col("line").rlike(_NOT_BLANK), d).alias(n) for d, n in zip(digest, ("k1", "k2"), strict=True)])
-    joined = lines.where("k1 is not null").join(named, ["k1", "k2"]).select("doc_id", "line_no", "rep_doc_id", "rep_line_no")
-    blank = lines.where("k1 is null").select("doc_id", "line_no", F.col("doc_id").alias("rep_doc_id"), F.col("line_no").alias("rep_line_no"))
-    kept = F.col("doc_id").eqNullSafe(F.col("rep_doc_id")) & (F.col("line_no") == F.col("rep_line_no"))
-    return joined.unionByName(blank).withColumn("kept", kept)
+    known = distinct.select("k1", "k2", "place", "n").join(heads, ["k1", "k2"], "left")
+    named = known.select("k1", "k2", "n", F.coalesce("head.place", "place").alias("place"), (F.col("head").isNull() | ((F.col("head.k1") == F.col("k1")) & (F.col("head.k2") == F.col("k2")))).alias("heads"))
+    named = named.select("k1", "k2", "n", "heads", *[c.alias(n) for c, n in zip(_from_place("place"), ("rep_doc_id", "rep_line_no"), strict=True)])
+    named = Stored(named, "named_lines").df
+    total = named.agg(F.sum("n")).first()[0] or 0
+    # lines with a large share of all do not meet in one task: they and blank ones are dealt by their place
+    hot = F.broadcast(named.where(F.col("n") * HOT_SHARE > total).select("k1", "k2", F.struct("heads", "rep_doc_id", "rep_line_no").alias("hot")))
+    lines = _lines(docs, *more).drop("line").join(hot, ["k1", "k2"], "left")
+    dealt = F.col("hot").isNotNull() | F.col("k1").isNull()
+    lines = lines.withColumns({"j1": F.when(dealt, F.xxhash64("doc_id", "line_no")).otherwise(F.col("k1")), "j2": F.when(~dealt, F.col("k2"))})
+    cold = named.where(F.col("n") * HOT_SHARE <= total).select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), F.struct("heads", "rep_doc_id", "rep_line_no").alias("cold"))
+    joined = lines.join(cold, ["j1", "j2"], "left").withColumn("rep", F.coalesce("hot", "cold"))
+    blank = F.col("k1").isNull()
+    joined = joined.withColumns({"rep_doc_id": F.when(blank, F.col("doc_id")).otherwise(F.col("rep.rep_doc_id")), "rep_line_no": F.when(blank, F.col("line_no")).otherwise(F.col("rep.rep_line_no"))})
+    kept = blank | (F.col("rep.heads") & F.col("doc_id").eqNullSafe(F.col("rep_doc_id")) & (F.col("line_no") == F.col("rep_line_no")))
+    return joined.withColumn("kept", kept)
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """``doc_id, line_no, rep_doc_id, rep_line_no, kept`` of every line; blank lines represent themselves."""
+    return _named(docs).select("doc_id", "line_no", "rep_doc_id", "rep_line_no", "kept")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; rows that lose all their lines go."""
-    gone = classes(docs).where("not kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left")
-    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    out = joined.withColumn("_text", text).where(F.col("_gone").isNull() | F.col("_text").rlike(_NOT_BLANK.replace("\\t", "\\t\\n")))
-    columns = [F.col("_text").alias(c) if c == "text" else F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.length("_text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return out.select(*columns)
+    # a row is known by its id and its text
+    gone = _named(docs, _mark().alias("mark")).where("not kept").groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set("line_no").alias("_gone"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc_id"), _mark().alias("_text_mark"))
+    joined = rows.join(gone, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_mark") == F.col("_mark")), "left")
+    whole, names = F.col("_row.text"), docs.columns
+    left = F.filter(F.split(whole, "\n"), lambda line, i: ~F.array_contains("_gone", i))
+    out = joined.withColumn("_text", F.when(F.col("_gone").isNull(), whole).otherwise(F.array_join(left, "\n")))
+    out = out.where(F.col("_gone").isNull() | F.col("_text").rlike(_NOT_BLANK.replace("\\t", "\\t\\n")))
+
+    def column(c: str) -> F.Column:
+        old = F.col(f"_row.`{c}`")
+        if c == "text":
+            return F.col("_text").cast(docs.schema[c].dataType).alias(c)
+        return F.when(F.col("_gone").isNull(), old).otherwise(F.length("_text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else old.alias(c)
+
+    return out.select(*map(column, names))

@@ -395,6 +395,28 @@ def test_lines_odd(odd, nothing):
     assert lines.classes(nothing).count() == 0 and lines.deduplicated(nothing).count() == 0
 
 
+def test_lines_of_repeated_ids(spark):
+    a, b, c = LINE_A, LINE_B, "a third line that nothing else is like at all, and stays"
+    df = spark.createDataFrame([(i, t, 4, "x") for i, t in [(0, a), (1, a), (1, b), (2, b + " x"), (1, c + "\n" + a)]], "doc_id long, text string, _id int, _mark string")
+    reps = collections.Counter((r.doc_id, r.rep_doc_id, r.rep_line_no, r.kept) for r in lines.classes(df).collect())
+    assert reps == collections.Counter([(0, 0, 0, True), (1, 0, 0, False), (1, 1, 0, True), (2, 1, 0, False), (1, 1, 0, True), (1, 0, 0, False)])
+    out = lines.deduplicated(df)
+    assert out.columns == df.columns and sorted((r.doc_id, r.text) for r in out.collect()) == sorted([(0, a), (1, b), (1, c)])
+
+
+def test_hot_lines_are_named_like_others(spark, monkeypatch):
+    rows = [(i, "\n".join([LINE_A, f"own line {i} of this row {i * 7919}", ""])) for i in range(60)] + [(100, LINE_A + "!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = sorted(lines.classes(df).collect())
+    monkeypatch.setattr(lines, "HOT_SHARE", 0)
+    assert hot == sorted(lines.classes(df).collect())
+    assert {(r.rep_doc_id, r.rep_line_no) for r in hot if r.line_no == 0} == {(0, 0)} and sum(r.kept for r in hot if r.line_no == 0) == 1
+
+
+LINE_A = "the quick brown fox jumps over the lazy dog near the old stone bridge"
+LINE_B = "seven wizards boil tea while a small ship leaves the northern harbour at dawn"
+
+
 # --- operator 10
 
 
