@@ -18,15 +18,6 @@ def union(pixels: DataFrame) -> DataFrame:
     return pixels.select("page_id", "pixel").distinct()
 
 
-def overlaps(pixels: DataFrame) -> DataFrame:
-    """Intersection over union and over the smaller mask for pairs that share pixels."""
-    size = pixels.groupBy("page_id", "rn").agg(F.count("*").alias("n"))
-    a, b = pixels.alias("a"), pixels.alias("b")
-    both = a.join(b, F.expr("a.page_id = b.page_id and a.pixel = b.pixel and a.rn < b.rn")).groupBy(F.col("a.page_id").alias("page_id"), F.col("a.rn").alias("i"), F.col("b.rn").alias("j")).agg(F.count("*").alias("both"))
-    sized = both.join(size.toDF("page_id", "i", "ni"), ["page_id", "i"]).join(size.toDF("page_id", "j", "nj"), ["page_id", "j"])
-    return sized.select("page_id", "i", "j", F.round(F.expr("both / (ni + nj - both)"), 6).alias("iou"), F.round(F.expr("both / least(ni, nj)"), 6).alias("contained"))
-
-
 def dilate(pixels: DataFrame, radius: int = 1) -> DataFrame:
     """Pixels within a square radius."""
     steps = [dy * WIDTH + dx for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
@@ -44,10 +35,13 @@ def rows(boxes: DataFrame, every: int = 16) -> DataFrame:
 
 
 def run_overlaps(runs: DataFrame) -> DataFrame:
-    """``overlaps`` for masks given as runs that are disjoint within a mask: a join of lines, not of pixels."""
+    """Intersection over union and over the smaller mask for pairs that share pixels.
+
+    Masks are runs that are disjoint within a mask, so this is a join of lines, not of pixels.
+    """
     size = runs.groupBy("page_id", "rn").agg(F.sum(F.expr("x1 - x0 + 1")).alias("n"))
     a, b = runs.alias("a"), runs.alias("b")
     shared = F.expr("a.page_id = b.page_id and a.py = b.py and a.rn < b.rn and a.x0 <= b.x1 and b.x0 <= a.x1")
     both = a.join(b, shared).groupBy(F.col("a.page_id").alias("page_id"), F.col("a.rn").alias("i"), F.col("b.rn").alias("j")).agg(F.sum(F.expr("least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1")).alias("both"))
     sized = both.join(size.toDF("page_id", "i", "ni"), ["page_id", "i"]).join(size.toDF("page_id", "j", "nj"), ["page_id", "j"])
-    return sized.select("page_id", "i", "j", F.round(F.expr("both / (ni + nj - both)"), 6).alias("iou"), F.round(F.expr("both / least(ni, nj)"), 6).alias("contained"))
+    return sized.select("page_id", "i", "j", F.expr("both / (ni + nj - both)").alias("iou"), F.expr("both / least(ni, nj)").alias("contained"))

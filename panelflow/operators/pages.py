@@ -48,17 +48,23 @@ def duplicate_flags(boxes: DataFrame) -> DataFrame:
     return boxes.join(hit.withColumn("duplicate", F.lit(True)), ["page_id", "rn"], "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
 
 
-def components(boxes: DataFrame, predicate: str, label: str = "component") -> DataFrame:
-    """Boxes with the smallest ordinal they are connected to, folded from the page's sorted edges."""
-    edges = pairs(boxes, predicate).groupBy(F.col("a.page_id").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("a.rn").alias("i"), F.col("b.rn").alias("j")))).alias("edges"))
-    closed = edges.withColumn(
+def connected(nodes: DataFrame, edges: DataFrame, label: str = "component") -> DataFrame:
+    """``nodes(page_id, rn)`` with the smallest ordinal that ``edges(page_id, i, j)`` reach, folded from the page's sorted edges."""
+    listed = edges.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("edges"))
+    closed = listed.withColumn(
         "labels",
         F.expr(
             "aggregate(edges, map_from_entries(transform(array_distinct(flatten(transform(edges, e -> array(e.i, e.j)))), n -> struct(n, n))), "
-            "(m, e) -> transform_values(m, (k, v) -> if(v = greatest(m[e.i], m[e.j]), least(m[e.i], m[e.j]), v)))"
+            "(m, e) -> if(m[e.i] = m[e.j], m, transform_values(m, (k, v) -> if(v = greatest(m[e.i], m[e.j]), least(m[e.i], m[e.j]), v))))"
         ),
     ).select("page_id", "labels")
-    return boxes.join(closed, "page_id", "left").withColumn(label, F.coalesce(F.expr("labels[rn]"), F.col("rn"))).drop("labels")
+    return nodes.join(closed, "page_id", "left").withColumn(label, F.coalesce(F.expr("labels[rn]"), F.col("rn"))).drop("labels")
+
+
+def components(boxes: DataFrame, predicate: str, label: str = "component") -> DataFrame:
+    """Boxes with the smallest ordinal they are connected to by pairs that satisfy the predicate."""
+    edges = pairs(boxes, predicate).select(F.col("a.page_id").alias("page_id"), F.col("a.rn").alias("i"), F.col("b.rn").alias("j"))
+    return connected(boxes, edges, label)
 
 
 def grouped(boxes: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ def mask_union(spark, sf):
 @query("mask_iou", f"""WITH {PIXELS}, n AS (SELECT page_id, rn, count(*) AS n FROM pixels GROUP BY ALL), b AS (SELECT a.page_id, a.rn AS i, b.rn AS j, count(*) AS c FROM pixels a JOIN pixels b ON a.page_id = b.page_id AND a.pixel = b.pixel AND a.rn < b.rn GROUP BY ALL)
 SELECT b.page_id, i, j, round(c / (x.n + y.n - c)::DOUBLE, 6) AS iou, round(c / least(x.n, y.n)::DOUBLE, 6) AS contained FROM b JOIN n x ON x.page_id = b.page_id AND x.rn = i JOIN n y ON y.page_id = b.page_id AND y.rn = j""")
 def mask_iou(spark, sf):
-    return masks.run_overlaps(masks.rows(regions(spark, sf)))
+    return masks.run_overlaps(masks.rows(regions(spark, sf))).withColumns({c: F.round(c, 6) for c in ("iou", "contained")})
 
 
 @query("mask_bounds", f"WITH {PIXELS}, d AS (SELECT DISTINCT page_id, pixel FROM pixels) SELECT page_id, min(pixel % 4096) AS x0, min(pixel // 4096) AS y0, max(pixel % 4096) AS x1, max(pixel // 4096) AS y1, count(*) AS pixels FROM d GROUP BY page_id")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocks, manifest, merging, pages
+from ..operators import blocks, manifest, masks, merging, pages
 from ..sources import files
-from .page_queries import ALL, REGIONS, regions
+from .page_queries import ALL, CLOSURE, REGIONS, regions
 from .registry import query
 
 NAMES = "SELECT 'page' || (c_custkey % 400) || CASE c_custkey % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpeg' ELSE '.txt' END AS name, c_custkey % 400 AS no, c_custkey FROM customer"
@@ -49,8 +49,47 @@ def page_manifest(spark, sf):
     return m.select("page_id", F.size("groups").cast("long").alias("groups"), F.array_join("reading_order", ",").alias("reading_order"), F.array_join("unresolved", ",").alias("unresolved"))
 
 
-@query("merge_groups")
+#: Texts of one letter each, by source and place: two of them hold one another or share nothing.
+SAID = "repeat(substr(source, 1, 1), CAST(1 + x % 4 AS INT))"
+MERGED = f"""{REGIONS}, said AS (SELECT *, {SAID} AS text FROM regions),
+mask AS (SELECT a.page_id, a.rn AS i, b.rn AS j, (least((a.x + a.w - 1) // 16, (b.x + b.w - 1) // 16) - greatest(a.x // 16, b.x // 16) + 1) * (least((a.y + a.h - 1) // 16, (b.y + b.h - 1) // 16) - greatest(a.y // 16, b.y // 16) + 1) AS met,
+  ((a.x + a.w - 1) // 16 - a.x // 16 + 1) * ((a.y + a.h - 1) // 16 - a.y // 16 + 1) AS na, ((b.x + b.w - 1) // 16 - b.x // 16 + 1) * ((b.y + b.h - 1) // 16 - b.y // 16 + 1) AS nb
+  FROM regions a JOIN regions b ON a.page_id = b.page_id AND a.rn < b.rn AND a.x // 16 <= (b.x + b.w - 1) // 16 AND b.x // 16 <= (a.x + a.w - 1) // 16 AND a.y // 16 <= (b.y + b.h - 1) // 16 AND b.y // 16 <= (a.y + a.h - 1) // 16),
+pairs AS (SELECT a.page_id, a.rn AS i, b.rn AS j, {", ".join(f"{e} AS {n}" for n, e in merging.MEASURES.items())}, a.text AS ta, b.text AS tb, a.confidence AS ca, b.confidence AS cb,
+  {merging.weight("a.")} AS wa, {merging.weight("b.")} AS wb, {merging.g.area("a.")} AS sa, {merging.g.area("b.")} AS sb, coalesce(met / (na + nb - met)::DOUBLE, 0) AS mask_iou, coalesce(met / least(na, nb)::DOUBLE, 0) AS mask_in,
+  CASE WHEN a.text[1] = b.text[1] THEN 1.0 ELSE 0.0 END AS cover, CASE WHEN a.text[1] = b.text[1] THEN least(length(a.text), length(b.text)) / greatest(length(a.text), length(b.text))::DOUBLE ELSE 0.0 END AS alike
+  FROM said a JOIN said b ON a.page_id = b.page_id AND a.rn < b.rn LEFT JOIN mask m ON m.page_id = a.page_id AND m.i = a.rn AND m.j = b.rn),
+placed AS (SELECT *, {", ".join(f"{e} AS {n}" for n, e in merging.PLACES.items())}, {merging.SAME_WORDS} AS same_words FROM pairs),
+edges AS (SELECT page_id, i, j FROM placed WHERE {merging.cases(merging.RULES)}), {CLOSURE}"""
+
+
+def said(spark, sf):
+    return regions(spark, sf).selectExpr("page_id", "rn as ordinal", "x", "y", "w", "h", "vertical", f"{SAID} as text", "confidence")
+
+
+def shared_masks(spark, sf):
+    return masks.run_overlaps(masks.rows(regions(spark, sf)))
+
+
+@query("duplicate_groups", f"WITH RECURSIVE {MERGED} SELECT page_id, i, j FROM edges")
+def duplicate_groups(spark, sf):
+    return merging.duplicates(said(spark, sf).withColumnRenamed("ordinal", "rn"), shared_masks(spark, sf))
+
+
+@query("merge_groups", f"""WITH RECURSIVE {MERGED}, won AS (SELECT page_id, i, j FROM pairs WHERE {merging.cases(merging.TAKES)}),
+kin AS (SELECT *, row_number() OVER (PARTITION BY page_id, component ORDER BY rn) AS k FROM parts),
+walk AS (SELECT page_id, component, k, rn AS best FROM kin WHERE k = 1 UNION ALL SELECT w.page_id, w.component, n.k, CASE WHEN EXISTS (SELECT 1 FROM won v WHERE v.page_id = w.page_id AND v.i = w.best AND v.j = n.rn) THEN n.rn ELSE w.best END
+  FROM walk w JOIN kin n ON n.page_id = w.page_id AND n.component = w.component AND n.k = w.k + 1),
+chosen AS (SELECT page_id, component, arg_max(best, k) AS best FROM walk GROUP BY ALL),
+heads AS (SELECT page_id, component, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM said JOIN parts USING (page_id, rn) GROUP BY ALL)
+SELECT s.page_id, s.rn AS ordinal, p.component AS "into", coalesce(h.x, s.x) AS x, coalesce(h.y, s.y) AS y, coalesce(h.w, s.w) AS w, coalesce(h.h, s.h) AS h, coalesce(b.text, s.text) AS text, coalesce(b.confidence, s.confidence) AS confidence
+FROM said s JOIN parts p USING (page_id, rn) LEFT JOIN heads h ON h.page_id = s.page_id AND h.component = s.rn AND p.component = s.rn LEFT JOIN chosen c ON c.page_id = h.page_id AND c.component = h.component LEFT JOIN said b ON b.page_id = c.page_id AND b.rn = c.best""")
 def merge_groups(spark, sf):
+    return merging.merged(said(spark, sf), shared_masks(spark, sf)).drop("vertical")
+
+
+@query("merge_groups_fuzzy")
+def merge_groups_fuzzy(spark, sf):
     r = regions(spark, sf).selectExpr("page_id", "rn as ordinal", "x", "y", "w", "h", "vertical", "concat(source, x div 300) as text", "confidence")
     return merging.merged(r)
 

@@ -172,20 +172,36 @@ def test_plans_of_many_columns(spark):
     assert sorted(r.columns for r in layout.vertical_plans(groups).where("size = 10").collect()) == list(range(10, 21))
 
 
-def test_near_boxes_of_one_text():
-    from types import SimpleNamespace
-
-    def box(x, y, w, h, text, vertical=True):
-        return SimpleNamespace(x=x, y=y, w=w, h=h, text=text, vertical=vertical)
-
-    a = box(0, 0, 60, 100, "こんにちは")
-    assert merging.duplicate(a, box(65, 0, 60, 100, "こんにちは"))
-    assert merging.duplicate(box(0, 0, 100, 60, "hello", False), box(0, 65, 100, 60, "hello", False))
-    assert not merging.duplicate(a, box(70, 0, 60, 100, "こんにちは"))  # gap 0.10
-    assert not merging.duplicate(a, box(65, 50, 60, 100, "こんにちは"))  # overlap 0.50
-    assert not merging.duplicate(a, box(65, 0, 60, 100, "さようなら"))
-    assert not merging.duplicate(a, box(65, 0, 60, 100, "こんにちは", False))
-    assert not merging.duplicate(a, box(65, 0, 60, 50, "こんにちは"))  # area ratio 0.50
+def test_duplicates_by_rule(spark):
+    a = (0, 0, 60, 100, True, "こんにちは")
+    pairs = [
+        (a, (65, 0, 60, 100, True, "こんにちは"), True),
+        ((0, 0, 100, 60, False, "hello"), (0, 65, 100, 60, False, "hello"), True),
+        (a, (70, 0, 60, 100, True, "こんにちは"), False),  # gap 0.10
+        (a, (65, 50, 60, 100, True, "こんにちは"), False),  # overlap 0.50
+        (a, (65, 0, 60, 100, True, "さようなら"), False),
+        (a, (65, 0, 60, 100, False, "こんにちは"), False),
+        (a, (65, 0, 60, 50, True, "こんにちは"), False),  # area ratio 0.50
+        (a, (2, 2, 60, 100, True, ""), False),  # one place, but an empty reading needs masks
+        (a, (5, 5, 20, 60, True, "んにち"), True),  # inside, and covered
+    ]
+    rows = [(k, i, *box, 0.9) for k, (x, y, _) in enumerate(pairs) for i, box in enumerate((x, y))]
+    df = spark.createDataFrame(rows, "page_id long, rn long, x long, y long, w long, h long, vertical boolean, text string, confidence double")
+    assert {r.page_id for r in merging.duplicates(df).collect()} == {k for k, p in enumerate(pairs) if p[2]}
+    masks = spark.createDataFrame([(7, 0, 1, 0.6, 0.9)], "page_id long, i long, j long, iou double, contained double")
+    assert {r.page_id for r in merging.duplicates(df, masks).collect()} == {k for k, p in enumerate(pairs) if p[2]} | {7}
+
+
+def test_merge_joins_original_groups_and_keeps_the_best_reading(spark):
+    """A chain A-B-C is one component by its pairs, whatever the merged box would overlap."""
+    rows = [
+        (1, 0, 0, 0, 60, 100, True, "早く逃げろ", 0.8), (1, 1, 10, 0, 60, 100, True, "早く逃げろよ", 0.7), (1, 2, 20, 0, 60, 100, True, "早く逃げろよ!", 0.6), (1, 3, 300, 0, 60, 100, True, "別", 0.9),
+        (2, 0, 0, 0, 60, 100, True, "待ってくれ", 0.9), (2, 1, 2, 0, 60, 100, True, "待ってくわ", 0.95), (3, 0, 0, 0, 60, 100, True, None, 0.1),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, ordinal long, x long, y long, w long, h long, vertical boolean, text string, confidence double")
+    got = {(r.page_id, r.ordinal): r for r in merging.merged(df).collect()}
+    assert {k: r.into for k, r in got.items()} == {(1, 0): 0, (1, 1): 0, (1, 2): 0, (1, 3): 3, (2, 0): 0, (2, 1): 0, (3, 0): 0}
+    assert (got[1, 0].text, got[1, 0].w, got[1, 0].confidence) == ("早く逃げろよ!", 80, 0.6) and got[2, 0].text == "待ってくわ"
 
 
 def test_candidate_views_are_whole_texts(spark, sf, monkeypatch):
