@@ -1,3 +1,3 @@
 """All query modules, so that importing this one fills the registry."""
 
-from . import font_queries, layout_queries, page_queries, source_queries, text_queries  # noqa: F401
+from . import answer_queries, font_queries, layout_queries, page_queries, source_queries, text_queries  # noqa: F401
