@@ -29,3 +29,22 @@ def average_precision(found: DataFrame, matched: DataFrame, truths: DataFrame) -
     w = Window.partitionBy("page_id").orderBy(F.desc("confidence"), "rn").rowsBetween(Window.unboundedPreceding, 0)
     at = flagged.withColumn("p", F.when(F.col("hit") == 1, F.sum("hit").over(w) / F.count("*").over(w)).otherwise(0.0))
     return at.groupBy("page_id").agg(F.sum("p").alias("p")).join(truths.groupBy("page_id").agg(F.count("*").alias("n")), "page_id").select("page_id", F.round(F.col("p") / F.col("n"), 6).alias("ap"))
+
+
+def ignored(unread: DataFrame, found: DataFrame, most: float = 0.5) -> DataFrame:
+    """Found boxes of which more than a share lies in a true box that does not count."""
+    share = f"{g.intersection()} * 1.0E0 / greatest(1, {g.area('b.')}) > {most}"
+    return found.alias("b").join(unread.alias("a"), F.expr(f"a.page_id = b.page_id AND {share}"), "left_semi")
+
+
+def dataset(pages: DataFrame) -> DataFrame:
+    """Precision, recall and their measure over all of ``pages(hits, gts, dets)``."""
+    total = pages.agg(F.count("*").alias("batches"), F.sum("hits").alias("hits"), F.sum("gts").alias("gts"), F.sum("dets").alias("dets"))
+    rated = total.withColumns({"recall": F.expr("if(gts > 0, hits / gts, 0.0D)"), "precision": F.expr("if(dets > 0, hits / dets, 0.0D)")})
+    return rated.withColumns({"hmean": F.expr("if(recall + precision > 0, 2 * recall * precision / (recall + precision), 0.0D)"), "fmeasure": F.expr("2 * precision * recall / (precision + recall + 1e-8D)")})
+
+
+def running(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """The value, sum, count and average of each key so far."""
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(by, order, F.col(value).alias("val"), F.sum(value).over(w).alias("sum"), F.count(value).over(w).alias("count"), F.avg(value).over(w).alias("avg"))
