@@ -18,12 +18,6 @@ def union(pixels: DataFrame) -> DataFrame:
     return pixels.select("page_id", "pixel").distinct()
 
 
-def dilate(pixels: DataFrame, radius: int = 1) -> DataFrame:
-    """Pixels within a square radius."""
-    steps = [dy * WIDTH + dx for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
-    return pixels.select("page_id", (F.explode(F.array(*[F.lit(s) for s in steps])) + F.col("pixel")).alias("pixel")).distinct()
-
-
 def bounds(pixels: DataFrame) -> DataFrame:
     px, py = F.col("pixel") % WIDTH, F.floor(F.col("pixel") / WIDTH)
     return pixels.groupBy("page_id").agg(F.min(px).alias("x0"), F.min(py).alias("y0"), F.max(px).alias("x1"), F.max(py).alias("y1"), F.count("*").alias("pixels"))

@@ -47,9 +47,9 @@ def uncovered(pixels: DataFrame, boxes: DataFrame, pad: int) -> DataFrame:
 
 def grown(pixels: DataFrame, radius: int) -> DataFrame:
     """Pixels within a square radius of a mask."""
-    step = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
-    wide = pixels.select("page_id", (F.col("px") + step).alias("px"), "py").distinct()
-    return wide.select("page_id", "px", (F.col("py") + F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).alias("py")).distinct()
+    reach = f"explode(transform(sequence(-{radius}, {radius}), d -> {{0}} + d)) AS {{0}}"
+    wide = pixels.selectExpr("page_id", reach.format("px"), "py").distinct()
+    return wide.selectExpr("page_id", "px", reach.format("py")).distinct()
 
 
 def conservative(refined: DataFrame, raw: DataFrame, threshold: int, radius: int) -> DataFrame:

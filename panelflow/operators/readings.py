@@ -6,12 +6,13 @@ steps up in what was measured, so the folds stay in Catalyst.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as g
 from ..functions import text as t
-from . import texts
 
 
 def once(candidates: DataFrame) -> DataFrame:
@@ -56,13 +57,22 @@ def leaves(parts: DataFrame) -> DataFrame:
     return listed.select("group_id", F.expr("array_join(transform(_p, p -> p.text), '')").alias("text"), F.expr("least(1.0D, _q + if(_n > 1, 0.03D, 0.0D))").alias("quality"))
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    a, b = rows.alias("a"), rows.alias("b")
-    return a.join(b, F.expr("a.group_id = b.group_id AND a.ordinal < b.ordinal"))
+def _square(measure):
+    """An Arrow function from an array of texts to ``measure`` of all its pairs, row by row in one array."""
 
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def udf(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda ts: [measure(a, b) for a in ts for b in ts])
 
-def _set(pairs: DataFrame, flag: str, name: str, sign: str = "concat_ws('>', i, j)") -> DataFrame:
-    return pairs.where(flag).groupBy("group_id").agg(F.collect_set(F.expr(sign)).alias(name))
+    return udf.asNondeterministic()  # keeps the optimizer from moving it into a lambda, where it cannot run
+
+
+def _shared(a: str, b: str) -> float:
+    """Longest common run over the shorter text; all of it where one holds the other."""
+    return 1.0 if a and b and (a in b or b in a) else t.longest(a, b)
+
+
+likeness, shares = _square(t.ratio), _square(_shared)
 
 
 def combined(readings: DataFrame) -> DataFrame:
@@ -71,35 +81,27 @@ def combined(readings: DataFrame) -> DataFrame:
 
     Readings of one footprint that say the same become one, the fuller kept. One that holds a clearly
     smaller one is a whole beside its columns: wholes and the columns joined are alternatives, never
-    added up. Of the alternatives the best candidate counts, or a fuller one that explains it.
+    added up. Of the alternatives the best candidate counts, or a fuller one that explains it. A group
+    is one row from the start, so nothing is joined.
     """
-    rows = readings.where("normalized <> ''")
-    weight = lambda p: f"struct({p}quality + least(0.10D, 0.006D * length({p}normalized)), length({p}normalized), {g.area(p)})"
-    measured = _pairs(rows).selectExpr(
-        "a.group_id", "a.ordinal AS i", "b.ordinal AS j", "a.normalized AS ta", "b.normalized AS tb", f"{g.iom()} >= 0.62 AND {g.area_ratio()} >= 0.55 AS footprint",
-        f"{weight('b.')} > {weight('a.')} AS later_wins", f"{g.containment('b.', 'a.')} >= 0.88 AND {g.area('b.')} * 1.0D / greatest(1, {g.area('a.')}) <= 0.78 AS i_holds", f"{g.containment('a.', 'b.')} >= 0.88 AND {g.area('a.')} * 1.0D / greatest(1, {g.area('b.')}) <= 0.78 AS j_holds",
-    )
-    same = measured.where("footprint").withColumns({"like": t.similarity("ta", "tb"), "longest": t.longest_common("ta", "tb")}).where("like >= 0.66 OR longest >= 0.78 OR contains(ta, tb) OR contains(tb, ta)")
-    held = measured.where("i_holds").selectExpr("group_id", "i AS outer", "j AS inner").unionByName(measured.where("j_holds").selectExpr("group_id", "j AS outer", "i AS inner"))
-    order = rows.groupBy("group_id").agg(F.array_sort(F.collect_list("ordinal")).alias("ordinals"))
-    state = order.join(_set(same, "true", "same"), "group_id", "left").join(_set(same, "later_wins", "wins"), "group_id", "left").join(_set(held, "true", "holds", "concat_ws('>', outer, inner)"), "group_id", "left")
-    state = state.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("same", "wins", "holds")})
-    # an entry may have been replaced by a later reading, so a pair is looked up either way round
-    key = "if(e < o, concat(e, '>', o), concat(o, '>', e))"
-    fold = f"aggregate(ordinals, cast(array() as array<bigint>), (acc, o) -> transform(array(array_position(transform(acc, e -> array_contains(same, {key})), true)), at -> if(at = 0, concat(acc, array(o)), transform(acc, (e, n) -> if(n + 1 = at and array_contains(wins, {key}), o, e))))[0])"
-    kept = state.withColumn("ordinals", F.expr("transform(ordinals, o -> cast(o as bigint))")).withColumn("kept", F.expr(fold))
-    split = kept.withColumn("wholes", F.expr("filter(kept, o -> exists(kept, i -> array_contains(holds, concat(o, '>', i))))"))
-    placed = split.select("group_id", F.posexplode("kept").alias("at", "ordinal"), F.size("wholes").alias("_wholes"), "wholes").withColumn("whole", F.expr("array_contains(wholes, ordinal)"))
-    marked = placed.join(rows.withColumn("ordinal", F.col("ordinal").cast("long")).select("group_id", "ordinal", "text", "normalized", "quality"), ["group_id", "ordinal"])
-    joined = leaves(marked.where("NOT whole").select("group_id", F.col("at").alias("ordinal"), "text", "quality"))
-    source = marked.groupBy("group_id").agg(F.max("_wholes").alias("_wholes"))
-    joined = joined.join(source, "group_id").select("group_id", F.lit(1 << 30).alias("ordinal"), F.expr("if(_wholes > 0, 'leaves', 'combined')").alias("source"), "text", "quality").withColumn("normalized", t.weak(F.col("text")))
-    alternatives = marked.where("whole").select("group_id", F.col("at").alias("ordinal"), F.concat(F.lit("whole:"), F.col("at")).alias("source"), "text", "quality", "normalized").unionByName(joined).where("normalized <> ''")
-    best = texts.best_candidate(texts.best_per_key(alternatives)).select("group_id", F.col("ordinal").alias("first"))
-    # a fuller alternative that explains the winner takes its place, one after another
-    both = _pairs(alternatives).selectExpr("a.group_id", "a.ordinal AS i", "b.ordinal AS j", "a.normalized AS ta", "b.normalized AS tb", "a.quality AS qa", "b.quality AS qb")
-    fuller = both.withColumn("longest", t.longest_common("ta", "tb")).where("abs(length(ta) - length(tb)) >= 2 AND (longest >= 0.62 OR contains(ta, tb) OR contains(tb, ta))")
-    takes = fuller.where("length(ta) > length(tb) AND qa >= qb - 0.16").selectExpr("group_id", "i AS up", "j AS down").unionByName(fuller.where("length(tb) > length(ta) AND qb >= qa - 0.16").selectExpr("group_id", "j AS up", "i AS down"))
-    chosen = alternatives.groupBy("group_id").agg(F.array_sort(F.collect_list("ordinal")).alias("os")).join(best, "group_id").join(_set(takes, "true", "takes", "concat_ws('>', up, down)"), "group_id", "left")
-    chosen = chosen.select("group_id", F.expr("aggregate(os, first, (b, o) -> if(array_contains(coalesce(takes, array()), concat(o, '>', b)), o, b))").alias("ordinal"))
-    return alternatives.join(chosen, ["group_id", "ordinal"]).select("group_id", "text", "quality", "source")
+    one = readings.where("normalized <> ''").groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "x", "y", "w", "h", "text", "normalized", "quality"))).alias("rs"))
+    one = one.withColumns({"n": F.size("rs"), "words": F.expr("transform(rs, r -> r.normalized)")}).withColumns({"likes": likeness("words"), "runs": shares("words")})
+    weight = lambda p: f"struct({p}.quality + least(0.10D, 0.006D * length({p}.normalized)), length({p}.normalized), {g.area(p + '.')})"
+    same = f"{g.iom('rs[e].', 'rs[o].')} >= 0.62 and {g.area_ratio('rs[e].', 'rs[o].')} >= 0.55 and (likes[e * n + o] >= 0.66 or runs[e * n + o] >= 0.78)"
+    kept = f"aggregate(sequence(0, n - 1), cast(array() as array<int>), (acc, o) -> transform(array(array_position(transform(acc, e -> {same}), true)), at -> if(at = 0, concat(acc, array(o)), transform(acc, (e, k) -> if(k + 1 = at and {weight('rs[o]')} > {weight('rs[e]')}, o, e))))[0])"
+    held = f"{g.containment('rs[i].', 'rs[o].')} >= 0.88 and {g.area('rs[i].')} * 1.0D / greatest(1, {g.area('rs[o].')}) <= 0.78"
+    split = one.withColumn("kept", F.expr(kept)).withColumn("wholes", F.expr(f"filter(kept, o -> exists(kept, i -> i <> o and {held}))")).withColumn("columns", F.expr("filter(kept, o -> not array_contains(wholes, o))"))
+    joined = "array_join(transform(columns, i -> rs[i].text), '')"
+    quality = "least(1.0D, aggregate(columns, 0.0D, (a, i) -> a + rs[i].quality) / size(columns) + if(size(columns) > 1, 0.03D, 0.0D))"
+    split = split.withColumn("joined", F.expr(joined)).withColumn("weak", t.weak(F.col("joined")))
+    last = f"if(size(columns) > 0, array(struct(joined as text, weak as normalized, {quality} as quality, if(size(wholes) > 0, 'leaves', 'combined') as source)), array())"
+    alternatives = f"filter(concat(transform(wholes, i -> struct(rs[i].text as text, rs[i].normalized as normalized, rs[i].quality as quality, concat('whole:', i) as source)), {last}), c -> c.normalized <> '')"
+    made = split.select("group_id", F.expr(alternatives).alias("cs")).where("size(cs) > 0").withColumns({"m": F.size("cs"), "words": F.expr("transform(cs, c -> c.normalized)")})
+    made = made.withColumns({"likes": likeness("words"), "runs": shares("words"), "mid": F.expr("array_sort(transform(cs, c -> length(c.normalized)))[int(size(cs) / 2)]")})
+    agreed = "coalesce(array_max(transform(filter(sequence(0, m - 1), j -> j <> i), j -> likes[i * m + j])), 0.0D)"
+    fuller = "aggregate(filter(cs, d -> contains(c.normalized, d.normalized) and length(c.normalized) > length(d.normalized)), 0.0D, (a, d) -> a + least(0.12D, 0.025D * (length(c.normalized) - length(d.normalized))))"
+    scores = f"transform(cs, (c, i) -> 0.72D * c.quality + 0.28D * {agreed} + {fuller} - if(length(c.normalized) > 2.8D * mid + 6, 0.18D, 0.0D))"
+    best = made.withColumn("scores", F.expr(scores)).withColumn("best", F.expr("cast(array_position(scores, array_max(scores)) - 1 as int)"))
+    takes = "runs[b * m + o] >= 0.62 and length(cs[o].normalized) >= length(cs[b].normalized) + 2 and cs[o].quality >= cs[b].quality - 0.16"
+    chosen = best.withColumn("best", F.expr(f"aggregate(sequence(0, m - 1), best, (b, o) -> if({takes}, o, b))")).withColumn("c", F.expr("cs[best]"))
+    return chosen.select("group_id", "c.text", "c.quality", "c.source")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelflow.functions import text as t
-from panelflow.operators import layout, manifest, merging, metrics, pages, texts
+from panelflow.operators import answers, layout, manifest, merging, metrics, pages, readings, texts
 from panelflow.sources import config, files
 from panelflow.streaming import pages as streaming
 
@@ -212,3 +212,70 @@ def test_candidate_views_are_whole_texts(spark, sf, monkeypatch):
     text_queries.best_candidate(spark, sf)
     whole = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
     assert seen[0].join(whole, F.expr("group_id = item_id and normalized = text"), "left_anti").count() == 0
+
+
+READINGS = "group_id string, ordinal long, x long, y long, w long, h long, text string, normalized string, quality double"
+
+
+def test_combined_readings(spark):
+    rows = [
+        ("repeat", 0, 10, 10, 20, 30, "うん", "うん", 0.9), ("repeat", 1, 60, 10, 20, 30, "うん", "うん", 0.9),
+        ("nested", 0, 0, 0, 120, 180, "今日はどうしたの", "今日はどうしたの", 0.9), ("nested", 1, 70, 0, 45, 180, "今日は", "今日は", 0.9), ("nested", 2, 10, 0, 45, 180, "どうしたの", "どうしたの", 0.9),
+        ("twice", 0, 0, 0, 100, 100, "早く逃げろ", "早く逃げろ", 0.7), ("twice", 1, 2, 2, 98, 98, "早く逃げろよ", "早く逃げろよ", 0.8), ("empty", 0, 0, 0, 9, 9, "", "", 0.0),
+    ]
+    got = {r.group_id: (r.text, r.source) for r in readings.combined(spark.createDataFrame(rows, READINGS)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"repeat": "うんうん", "nested": "今日はどうしたの", "twice": "早く逃げろよ"} and got["repeat"][1] == "combined"
+
+
+def test_fallback_reasons(spark):
+    rows = [(0.9, "漢", 0.9), (0.9, "大丈夫", 0.9), (0.7, "大丈夫", 0.9), (0.9, "大丈夫", 0.5)]
+    df = spark.createDataFrame(rows, "q double, v string, a double").withColumn("j", readings.meaningful("v"))
+    assert [r[0] for r in df.select(readings.fallback_reason("q", "j", "a")).collect()] == ["fallback_too_short:1", None, "fallback_low_quality:0.700", "fallback_disagreement:0.500"]
+
+
+def test_answers_of_any_form(spark):
+    cases = [
+        ('{"translations":[{"id":"T0000","text":"你好"},{"id":"T0001","text":"走吧"}]}', 2, ["你好", "走吧"]),
+        ('{"translations":[{"id":"T0017","text":"別擔心"}]}', 1, ["別擔心"]),
+        ("[0]：你好\n[1]：走吧", 2, ["你好", "走吧"]),
+        ('note [x] {"items": [{"index": 1, "translated_text": 5}, {"index": 9, "text": "far"}, 7]} end', 2, ["", ""]),
+        ('{"items": [{"index": 1, "translated_text": 5}, {"index": 9, "text": "far"}, 7, {"id": "T1", "text": "last"}]}', 2, ["", "last"]),
+        ('["a", "b"]', 3, ["", "", ""]), ('{"T0": "a", "2": 3.5, "note": "x"}', 3, ["a", "", "3.5"]),
+        ("3 men came\n4 left", 2, ["3 men came", "4 left"]), ("only this", 1, ["only this"]), (None, 2, ["", ""]), ("", 1, [""]), ('say {"translations": [{"text": "brace } and \\" quote"}]} !', 1, ['brace } and " quote']),
+        ("- (1) - second\n【T0】= first", 2, ["first", "second"]),
+    ]
+    df = spark.createDataFrame([(i, r, n) for i, (r, n, _) in enumerate(cases)], "request long, response string, count long")
+    got: dict = {}
+    for r in answers.parsed(df).orderBy("request", "no").collect():
+        got.setdefault(r.request, []).append(r.text)
+    assert got == {i: c[2] for i, c in enumerate(cases)}
+
+
+def test_labels(spark):
+    lines = ["> 譯文：你好", "[T0001] 走吧", "(3)：嗯", "T0002- 好", "原文：あ → 啊", "我 → 你", "翻譯結果: 【2】是"]
+    assert [r[0] for r in column(spark, lines, answers.without_label(F.col("v")))] == ["你好", "走吧", "嗯", "好", "啊", "我 → 你", "是"]
+
+
+def test_layout_survivors(spark):
+    from panelflow.operators import status
+
+    rows = [(1, 0, 0, 60, 40, 80, 120, 40, None, None, None, None, None), (1, 1, 1, 100, 50, 80, 120, 38, None, None, None, None, None), (1, 2, 2, 431, 431, 38, 38, 38, None, None, None, None, None), (1, 3, 3, 100, 50, 80, 120, 38, 300, 300, 20, 20, 20)]
+    df = spark.createDataFrame(rows, "page_id long, rank long, rn long, x long, y long, w long, h long, font long, cx long, cy long, cw long, ch long, cfont long")
+    got = {r.rn: r.layout_status for r in status.survivors(df, layout.block_conflict("a.", "b.", "least(a.font, b.font)")).collect()}
+    assert got == {0: "planned", 1: "layout_collision_rejected", 2: "planned", 3: "compact"}
+
+
+def test_orientation_and_rotation(spark):
+    from panelflow.functions import shapes
+    from panelflow.functions.steps import apply
+
+    df = spark.createDataFrame([(0, 300, 120, 0, 3, "ja"), (0, 100, 90, 0, 1, "eng"), (0, 100, 400, 300, 2, "eng")], "vx long, vy long, hx long, hy long, lines long, language string")
+    assert [(r.upright, r.font, r.angle) for r in apply(df, shapes.ORIENTATION).collect()] == [(True, 40, 0), (False, 100, 0), (False, 50, 36)]
+
+
+def test_pieces_of_a_mask(spark):
+    from panelflow.operators import raster
+
+    pixels = [(1, 0, x, y) for x, y in ((0, 0), (1, 1), (2, 0), (5, 5), (6, 5), (9, 0), (9, 1), (8, 2), (7, 3))]
+    got = raster.labelled(spark.createDataFrame(pixels, "page_id long, rn long, px long, py long")).collect()
+    assert sorted((r.x, r.y, r.w, r.h, r.pixels) for r in got) == [(0, 0, 3, 2, 3), (5, 5, 2, 1, 2), (7, 0, 3, 4, 4)]
