@@ -124,12 +124,13 @@ def components(edges: DataFrame) -> DataFrame:
 # --- groups in Arrow ---------------------------------------------------------
 
 
-def by_group(df: DataFrame, keys: list[str], fn, schema: str, lists: bool = False) -> DataFrame:
+def by_group(df: DataFrame, keys: list[str], fn, schema: str, lists: bool = False, arrays=None) -> DataFrame:
     """Applies ``fn(table) -> dict of columns`` to each group of rows equal in ``keys``.
 
     The rows are dealt and sorted by the keys and streamed, so many small groups share a batch;
     callers keep each group within a bound of their own. With ``lists`` a group is a dict of lists,
-    which is cheaper for groups of a few rows.
+    which is cheaper for groups of a few rows; with ``arrays(table) -> dict of arrays`` it is slices
+    of arrays that are made for many groups at once.
     """
     import numpy as np
     import pyarrow as pa
@@ -150,8 +151,8 @@ def by_group(df: DataFrame, keys: list[str], fn, schema: str, lists: bool = Fals
                 v = t[k].to_numpy()
                 change[1:] |= v[1:] != v[:-1]
             at = [*np.flatnonzero(change).tolist(), t.num_rows]
-            if lists:
-                whole = {c: t[c].to_pylist() for c in t.column_names}
+            if lists or arrays:
+                whole = arrays(t) if arrays else {c: t[c].to_pylist() for c in t.column_names}
                 made = [fn({c: v[a:b] for c, v in whole.items()}) for a, b in zip(at, at[1:])]
             else:
                 made = [fn(t.slice(a, b - a)) for a, b in zip(at, at[1:])]

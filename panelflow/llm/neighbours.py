@@ -1,13 +1,19 @@
 """Embedding near-duplicates by NN-descent (operator 6).
 
-Equal vectors are collapsed first. The others start with neighbours that fall on the same side of
-a few random planes, and with arbitrary ones. Each round gathers, at every vector, those that list
-it or that it lists, compares them with one another (neighbours of neighbours), and keeps the best
-``k`` of each. Pairs at the threshold or above are links, and join vectors into components. Lists
-of ``k`` cannot hold every link, so a sweep then compares all pairs of one label in exact blocks: it
-counts the links of each vector in full and joins the components that the lists held apart. No
-link is missed, whatever the rounds found; they only keep the joins that the sweep hands on few. Its
-work grows with the square of a label's distinct vectors.
+Equal vectors are collapsed first. A pass starts with neighbours that fall into one bucket of random
+planes (as many planes as leave ``BUCKET`` vectors a bucket, fresh ones in each pass) and with
+arbitrary ones. Each round then compares, at every vector whose list changed, those that list it or
+that it lists with one another (neighbours of neighbours) and keeps the best ``k`` of each, until few
+of the edges at the threshold are new. Every pair compared that reaches the threshold joins two components at once,
+whatever the lists keep. After a pass, neighbours within one component leave the lists: a list that
+was full of links thus has ``k`` places for vectors beyond them, and another pass fills these, until
+no list is full of links or nothing is joined any more.
+
+Recall is audited after each pass, in two ways: ``PROBES`` planted vectors, each just above the
+threshold from a vector of the table, take part and must be found, so that sparse tables are measured
+too; and the links of ``AUDIT`` sampled vectors, half of them from components, are counted by brute
+force. Below ``TARGET`` another pass follows; after ``PASSES`` of them a sweep compares all pairs of a
+label in exact blocks instead. Links are counted in full, in exact blocks of each component.
 
 Defined cases: vectors that are null, empty, all zero or hold null or non-finite components, and
 rows with a null label, link with nothing (their component is their own id); only vectors of equal
@@ -24,12 +30,18 @@ from pyspark.sql import functions as F
 
 from .common import Stored, by_group, components
 
-K, TABLES, PLANES, LEADS = 8, 6, 10, 2
-ROUNDS = 3
-#: Members of one vector's neighbourhood that are compared in one block.
-CHUNK = 48
-#: Values of a block of the sweep at most, its rows while a label has under SPLIT blocks, and similarities held at once.
+K, TABLES, BUCKET = 6, 6, 32
+#: Members of one neighbourhood or bucket that are compared in one block; share of new edges at the threshold that ends the rounds.
+CHUNK, FEW = 48, 0.05
+PROBES, AUDIT, TARGET, PASSES = 256, 256, 0.98, 4
+#: Rounds are held where a neighbour lies within this of the threshold; the audit tells whether that is enough.
+REACH = 0.1
+#: How far above the threshold a probe lies, as a share of what is left to 1.
+PROBE_MARGIN = 0.1
+#: Values of an exact block at most, its rows while a group has under SPLIT blocks, and similarities held at once.
 BLOCK_VALUES, BLOCK, SPLIT, TILE = 4_000_000, 1024, 6, 4_000_000
+#: How the rows that blocks return are told apart from similarities: joins of vectors, and of a probe with a vector.
+JOIN, FOUND = 3.0, 4.0
 
 
 def _matrix(column) -> np.ndarray:
@@ -51,99 +63,173 @@ def _usable() -> F.Column:
     return F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & x.isNotNull() & finite & F.exists(x, lambda c: c != 0), F.lit(False))
 
 
-def _start(reps: DataFrame, tables: int, planes: int) -> DataFrame:
-    """First neighbours ``(u, v)``: runs of vectors with one signature, and arbitrary ones."""
+def _probes(reps: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """Planted vectors: ``rep`` is negative and names the vector (``-1 - rep``) that it lies close to."""
+    cosine = threshold + PROBE_MARGIN * (1 - threshold)
 
-    def sign(batches):
+    def turn(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            dims = batch.column(2).to_numpy()
-            for d in np.unique(dims):
-                part = batch.filter(pa.array(dims == d))
-                unit = _unit(part.column(3))
-                normal = np.random.default_rng(int(d)).normal(size=(int(d), tables, planes))
-                bits = np.einsum("nd,dtp->ntp", unit, normal) > 0
-                codes = bits @ (1 << np.arange(planes))
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(np.full(part.num_rows, t, np.int32)), pa.array(codes[:, t].astype(np.int64))], ["rep", "label", "dims", "run", "code"])
-
-    signed = reps.select("rep", "label", "dims", "embedding").mapInArrow(sign, "rep long, label long, dims int, run int, code long")
-    arbitrary = reps.select("rep", "label", "dims", F.lit(-1).alias("run"), F.lit(0).cast("long").alias("code"))
-    # hot signatures are cut into slices by a hash, so that no window holds a growing share of the rows
-    salted = signed.unionByName(arbitrary).withColumn("slice", F.expr("pmod(xxhash64(rep, run), 16)"))
-    w = Window.partitionBy("label", "dims", "run", "code", "slice").orderBy(F.xxhash64("run", "rep"), "rep")
-    near = signed.withColumn("slice", F.lit(0)).unionByName(salted.where("run < 0"))
-    made = near.select("rep", F.array(*[F.lead("rep", i + 1).over(w) for i in range(LEADS)]).alias("next"))
-    return made.select(F.col("rep").alias("u"), F.explode("next").alias("v")).where("v is not null")
-
-
-def _round(graph: DataFrame, reps: DataFrame, k: int, turn: int) -> DataFrame:
-    """One exchange among neighbours: ``graph(u, v, sim)`` to its better successor."""
-    worst = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("low"))
-    bar = reps.select("rep", "label", "dims", "embedding").join(worst, F.col("rep") == F.col("u"), "left").select("rep", "embedding", F.when(F.col("n") >= k, F.col("low")).otherwise(F.lit(-2.0)).alias("bar"))
-    members = graph.select(F.col("u").alias("centre"), F.col("v").alias("rep")).unionByName(graph.select(F.col("v").alias("centre"), F.col("u").alias("rep"))).unionByName(graph.select(F.col("u").alias("centre"), F.col("u").alias("rep"))).distinct()
-    size = members.groupBy("centre").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    dealt = members.join(size, "centre").select("centre", F.expr(f"pmod(xxhash64(rep, {turn}), chunks)").alias("chunk"), "rep").join(bar, "rep")
-
-    def compare(t: pa.Table) -> dict | None:
-        n = t.num_rows
+            ids, made = batch.column(0).to_pylist(), []
+            for i, x in zip(ids, batch.column(3).to_pylist(), strict=True):
+                rng = np.random.default_rng((seed, i))
+                x = np.array(x) / np.abs(x).max()
+                x /= np.linalg.norm(x)
+                y = rng.normal(size=len(x))
+                y -= (y @ x) * x
+                made.append((cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y)).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - i for i in ids], pa.int64()), batch.column(1), batch.column(2), pa.array(made, pa.list_(pa.float64()))], ["rep", "label", "dims", "embedding"])
+
+    some = reps.where("dims > 1").orderBy(F.xxhash64("rep", F.lit(seed)), "rep").limit(PROBES)
+    return some.select("rep", "label", "dims", "embedding").mapInArrow(turn, "rep long, label long, dims int, embedding array<double>")
+
+
+def _arrays(t: pa.Table) -> dict[str, np.ndarray]:
+    """Numbers and unit vectors of many groups; shorter vectors are filled with zeros, which changes no product."""
+    x = t["embedding"].combine_chunks()
+    x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+    dims = np.diff(x.offsets.to_numpy())
+    unit = np.zeros((len(x), int(dims.max())))
+    for d in np.unique(dims):
+        unit[dims == d, :d] = _unit(x.filter(pa.array(dims == d)))
+    return {"unit": unit} | {c: t[c].to_numpy() for c in ("rep", "part", "bar")}
+
+
+def _compare(k: int, threshold: float):
+    """Of the vectors of one block: the best pairs of each beyond its own component and above its
+    ``bar``, and a spanning forest of the pairs at the threshold."""
+
+    def compare(t: dict[str, np.ndarray]) -> dict | None:
+        ids, part, bars, unit = t["rep"], t["part"], t["bar"], t["unit"]
+        n = len(ids)
         if n < 2:
             return None
-        ids, bars, unit = t["rep"].to_numpy(), t["bar"].to_numpy(), _unit(t["embedding"])
         sims = unit @ unit.T
         np.fill_diagonal(sims, -3)
-        best = np.argsort(-sims, axis=1)[:, : min(k, n - 1)]
-        a = np.repeat(np.arange(n), best.shape[1])
-        b = best.ravel()
+        near, real = sims >= threshold, ids >= 0
+        near &= real[None, :]
+        root = np.arange(n)
+        while near.any():  # of linked vectors the smallest position
+            low = np.minimum(root, np.where(near & real[:, None], root[None, :], n).min(axis=1))
+            if np.array_equal(low, root):
+                break
+            root = low
+        joined = np.flatnonzero(part != part[root])
+        met = np.flatnonzero(~real & near.any(axis=1))
+        sims[part[:, None] == part[None, :]] = -3
+        best = np.argpartition(-sims, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)]
+        a, b = np.repeat(np.arange(n), best.shape[1]), best.ravel()
         good = sims[a, b] > bars[a]
-        return {"u": ids[a[good]], "v": ids[b[good]], "sim": sims[a[good], b[good]]}
+        return {
+            "u": np.concatenate([ids[a[good]], ids[joined], ids[met]]),
+            "v": np.concatenate([ids[b[good]], ids[root[joined]], ids[near[met].argmax(axis=1)]]),
+            "sim": np.concatenate([sims[a[good], b[good]], np.full(len(joined), JOIN), np.full(len(met), FOUND)]),
+        }
 
-    found = by_group(dealt, ["centre", "chunk"], compare, "u long, v long, sim double")
-    return _best(graph.unionByName(found), k)
+    return compare
+
+
+def _blocks(members: DataFrame, nodes: DataFrame, bars: DataFrame | None, k: int, threshold: float, turn: int) -> DataFrame:
+    """``members(centre, rep)`` compared in blocks of some ``CHUNK``, however many a centre has."""
+    size = members.groupBy("centre").agg(F.count("*").alias("n")).where("n > 1").select("centre", F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    dealt = members.join(size, "centre").select("centre", F.expr(f"pmod(xxhash64(rep, {turn}), chunks)").alias("chunk"), "rep")
+    vectors = nodes.select("rep", "part", "embedding")
+    vectors = vectors.withColumn("bar", F.lit(-2.0)) if bars is None else vectors.join(bars, "rep", "left").withColumn("bar", F.coalesce("bar", F.lit(-2.0)))
+    return by_group(dealt.join(vectors, "rep"), ["centre", "chunk"], _compare(k, threshold), "u long, v long, sim double", arrays=_arrays)
+
+
+def _start(nodes: DataFrame, tables: int, turn: int, wanted: DataFrame | None = None) -> DataFrame:
+    """First members ``(centre, rep)``: buckets of random planes, and arbitrary groups; only those with a vector of ``wanted``, if given."""
+    sizes = nodes.groupBy("label", "dims").agg(F.count("*").alias("n")).withColumn("planes", F.expr(f"cast(greatest(0, ceil(log2(n / {BUCKET}))) as int)"))
+    sized = nodes.join(sizes, ["label", "dims"])
+
+    def sign(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            dims, planes = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            for d, p in set(zip(dims.tolist(), planes.tolist(), strict=True)):
+                part = batch.filter(pa.array((dims == d) & (planes == p)))
+                unit = _unit(part.column(4))
+                for t in range(tables if p else 1):
+                    normal = np.random.default_rng((d, turn, t)).normal(size=(d, p))
+                    code = (unit @ normal > 0) @ (1 << np.arange(p, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(np.full(part.num_rows, t, np.int32)), pa.array(code.astype(np.int64))], ["rep", "label", "dims", "run", "code"])
+
+    signed = sized.select("rep", "label", "dims", "planes", "embedding").mapInArrow(sign, "rep long, label long, dims int, run int, code long")
+    arbitrary = sized.where("planes > 0").select("rep", "label", "dims", F.lit(-1).alias("run"), F.expr(f"pmod(xxhash64(rep, {turn}), cast(ceil(n / {BUCKET}) as bigint))").alias("code"))
+    members = signed.unionByName(arbitrary).select(F.xxhash64("label", "dims", "run", "code").alias("centre"), "rep")
+    if wanted is None:
+        return members
+    members = Stored(members, "members").df
+    return members.join(members.join(wanted, "rep", "left_semi").select("centre").distinct(), "centre", "left_semi")
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
-    once = pairs.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    once = pairs.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("turn").alias("turn"))
     w = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
     return once.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
-def _measure(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """``(u, v)`` with their similarity, in both directions."""
-    side = reps.select("rep", "embedding")
-    both = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    joined = both.join(side.toDF("u", "x"), "u").join(side.toDF("v", "y"), "v").select("u", "v", "x", "y")
-
-    def run(batches):
+def _round(graph: DataFrame, joins: DataFrame, nodes: DataFrame, k: int, threshold: float, turn: int) -> DataFrame:
+    """Neighbours of neighbours, at the vectors that met a new one in the last round and have a close one."""
+    close = graph.where(F.col("sim") >= threshold - REACH)
+    close = close.select(F.col("u").alias("centre")).unionByName(close.select(F.col("v").alias("centre"))).distinct()
+    both = graph.select(F.col("u").alias("centre"), F.col("v").alias("rep"), "turn").unionByName(graph.select(F.col("v").alias("centre"), F.col("u").alias("rep"), "turn"))
+    held = joins.select(F.col("u").alias("centre"), F.col("v").alias("rep"), "turn").unionByName(joins.select(F.col("v").alias("centre"), F.col("u").alias("rep"), "turn"))
+    both = both.unionByName(held)
+    new = both.where(F.col("turn") == turn - 1).select("centre").distinct().join(close.unionByName(held.select("centre")).distinct(), "centre", "left_semi")
+    members = both.select("centre", "rep").join(new, "centre", "left_semi").unionByName(new.select("centre", F.col("centre").alias("rep"))).distinct()
+    bars = graph.groupBy(F.col("u").alias("rep")).agg(F.count("*").alias("n"), F.min("sim").alias("low")).where(F.col("n") >= k).select("rep", F.col("low").alias("bar"))
+    return _blocks(members, nodes, bars, k, threshold, turn)
+
+
+def _audit(nodes: DataFrame, found: DataFrame, threshold: float, seed: int) -> float:
+    """The lesser of the shares found of the probes and of the sampled vectors' links."""
+    reps = nodes.where("rep >= 0")
+    planted = nodes.where("rep < 0").select("rep", F.expr("-1 - rep").alias("origin"))
+    n = planted.count()
+    home = reps.select("rep", "part")
+    met = found.select(F.col("u").alias("probe"), F.col("v").alias("rep")).join(home, "rep").select("probe", "part").distinct()
+    hits = planted.join(home.toDF("origin", "home"), "origin").join(met, F.col("probe") == F.col("rep")).where("part = home").select("probe").distinct().count()
+    linked = reps.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
+    order = [F.xxhash64("rep", F.lit(seed + 1)), F.col("rep")]
+    some = reps.join(linked, "part", "left_semi").orderBy(*order).limit(AUDIT // 2).unionByName(reps.orderBy(*order).limit(AUDIT // 2))
+    sample = {r.rep: (r.label, r.dims, r.part, r.embedding) for r in some.select("rep", "label", "dims", "part", "embedding").collect()}
+    kinds: dict[tuple, list[int]] = {}
+    for i, (label, dims, _, _) in sample.items():
+        kinds.setdefault((label, dims), []).append(i)
+
+    def count(batches):
         for batch in batches:
-            if batch.num_rows:
-                x, y = (batch.column(i) for i in (2, 3))
-                # all vectors of one comparison have one length, batches may mix lengths
-                dims = np.diff(x.offsets.to_numpy())
-                sims = np.empty(batch.num_rows)
-                for d in np.unique(dims):
-                    at = dims == d
-                    sims[at] = (_unit(x.filter(pa.array(at))) * _unit(y.filter(pa.array(at)))).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims)], ["u", "v", "sim"])
-
-    one = joined.mapInArrow(run, "u long, v long, sim double")
-    one = Stored(one, "sims").df
-    return one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
-
-
-def _sweep(reps: DataFrame, classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Every pair of vectors of one label and length, compared in exact blocks.
-
-    Gives the copies linked to each vector, ``(rep, linked)``, and the pairs of components that a
-    link joins, ``(a, b)``: one row a block and pair of components, however many links there are.
+            label, dims, all_, same = batch.column(1).to_numpy(), batch.column(2).to_numpy(), 0, 0
+            for (of, d), ids in kinds.items():
+                at = np.flatnonzero((label == of) & (dims == d))
+                if not len(at):
+                    continue
+                mine = batch.take(pa.array(at))
+                left = _unit(pa.array([sample[i][3] for i in ids], pa.list_(pa.float64())))
+                near = left @ _unit(mine.column(4)).T >= threshold
+                near &= np.array(ids)[:, None] != mine.column(0).to_numpy()[None, :]
+                all_ += int(near.sum())
+                same += int((near & (np.array([sample[i][2] for i in ids])[:, None] == mine.column(3).to_numpy()[None, :])).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([all_], pa.int64()), pa.array([same], pa.int64())], ["links", "found"])
+
+    seen = reps.select("rep", "label", "dims", "part", "embedding").mapInArrow(count, "links long, found long").agg(F.sum("links"), F.sum("found")).first()
+    return min(hits / n if n else 1.0, seen[1] / seen[0] if seen[0] else 1.0)
+
+
+def _exact(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Every pair of vectors that are equal in ``keys`` and in length, compared in exact blocks.
+
+    ``a, b, linked``: of each vector (``b`` is -1) the copies linked to it, and the pairs of components
+    that a link joins, one row a block and pair of components, however many links there are.
     """
-    parts = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
-    # a block holds a bounded number of values; small labels are cut as well, for parallel work
-    sized = reps.groupBy("label", "dims").agg(F.expr(f"greatest(ceil(count(*) * dims / {BLOCK_VALUES}), least(ceil(count(*) / {BLOCK}), {SPLIT}))").alias("blocks"))
-    own = parts.join(F.broadcast(sized), ["label", "dims"]).withColumn("own", F.expr("pmod(xxhash64(rep), blocks)"))
+    # a block holds a bounded number of values; small groups are cut as well, for parallel work
+    sized = rows.groupBy(*keys, "dims").agg(F.count("*").alias("n")).where("n > 1")
+    sized = sized.select(*keys, "dims", F.expr(f"greatest(ceil(n * dims / {BLOCK_VALUES}), least(ceil(n / {BLOCK}), {SPLIT}))").alias("blocks"))
+    own = rows.join(sized, [*keys, "dims"]).withColumn("own", F.expr("pmod(xxhash64(rep), blocks)"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "label", "dims", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "part", "copies", "embedding"
+        *keys, "dims", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", *({"part"} - set(keys)), "copies", "embedding"
     )
 
     def compare(t: pa.Table) -> dict:
@@ -156,16 +242,16 @@ def _sweep(reps: DataFrame, classes: DataFrame, threshold: float) -> tuple[DataF
         right = unit[b].T
         step = max(1, TILE // max(1, len(b)))
         for at in range(0, len(a), step):
-            rows = a[at : at + step]
-            near = unit[rows] @ right >= threshold
+            rows_ = a[at : at + step]
+            near = unit[rows_] @ right >= threshold
             if i == j:
-                near[np.arange(len(rows)), np.arange(at, at + len(rows))] = False
-            x, y = np.nonzero(near)
-            linked[rows] += np.bincount(x, copies[b[y]], len(rows)).astype(np.int64)
+                near[np.arange(len(rows_)), np.arange(at, at + len(rows_))] = False
+            linked[rows_] += (near @ copies[b].astype(np.float64)).astype(np.int64)
             if i != j:
-                linked[b] += np.bincount(y, copies[rows[x]], len(b)).astype(np.int64)
-            ends = np.stack([part[rows[x]], part[b[y]]], axis=1)
-            joined.append(np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0))
+                linked[b] += (copies[rows_].astype(np.float64) @ near).astype(np.int64)
+            if "part" not in keys:
+                x, y = np.nonzero(near & (part[rows_][:, None] != part[b][None, :]))
+                joined.append(np.unique(np.stack([part[rows_[x]], part[b[y]]], axis=1), axis=0))
         ends = np.unique(np.concatenate(joined), axis=0)
         some = linked > 0
         return {
@@ -174,12 +260,72 @@ def _sweep(reps: DataFrame, classes: DataFrame, threshold: float) -> tuple[DataF
             "linked": np.concatenate([linked[some], np.zeros(len(ends), np.int64)]),
         }
 
-    found = Stored(by_group(dealt, ["label", "dims", "i", "j"], compare, "a long, b long, linked long"), "links").df
-    counts = found.where("b < 0").groupBy(F.col("a").alias("rep")).agg(F.sum("linked").alias("linked"))
-    return counts, found.where("b >= 0").select("a", "b")
+    return by_group(dealt, [*keys, "dims", "i", "j"], compare, "a long, b long, linked long")
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, k: int = K, rounds: int = ROUNDS) -> DataFrame:
+def _named(nodes: DataFrame, joins: DataFrame) -> DataFrame:
+    """``nodes`` with the components that ``joins`` of their parts make."""
+    ends = joins.select("u", "v").join(nodes.select(F.col("rep").alias("u"), F.col("part").alias("a")), "u").join(nodes.select(F.col("rep").alias("v"), F.col("part").alias("b")), "v")
+    whole = components(ends.select("a", "b")).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    return nodes.join(whole, "part", "left").withColumn("part", F.coalesce("whole", "part")).drop("whole")
+
+
+def joined(reps: DataFrame, threshold: float, k: int = K, tables: int = TABLES, passes: int = PASSES, target: float = TARGET) -> tuple[DataFrame, float]:
+    """``reps(rep, label, dims, embedding, ..)`` with their component ``part``, and the recall audited last.
+
+    ``passes`` bounds the passes before the exact sweep takes over; its recall is 1.
+    """
+    seed, turn, done = 0, 0, 0
+    probes = _probes(reps, threshold, seed)
+    columns = ["rep", "label", "dims", "embedding"]
+    nodes = Stored(reps.select(*columns).unionByName(probes).withColumn("part", F.col("rep")), "nodes")
+    lists, found, wanted = None, None, None
+    while True:
+        done += 1
+        first = turn
+        while True:
+            if turn == first:
+                new = _blocks(_start(nodes.df, tables, turn, wanted), nodes.df, None, k, threshold, turn)
+            else:
+                new = _round(lists.df.where("sim < 2"), lists.df.where(f"sim = {JOIN}"), nodes.df, k, threshold, turn)
+            new = new.withColumn("turn", F.lit(turn))
+            pairs = new if lists is None else new.unionByName(lists.df)
+            # joins and met probes are few and kept in full; of the others each vector keeps the best
+            ends = pairs.where("sim >= 2").groupBy("u", "v", "sim").agg(F.min("turn").alias("turn"))
+            after = Stored(_best(pairs.where("sim < 2"), k).unionByName(ends), "lists")
+            if lists is not None:
+                lists.drop()
+            lists, turn = after, turn + 1
+            edges, fresh = lists.df.where(f"sim >= {threshold}").agg(F.count("*"), F.count_if(F.col("turn") == turn - 1)).first()
+            if fresh <= FEW * edges:
+                break
+        met = lists.df.where(f"sim = {FOUND}").select("u", "v")
+        found = Stored(met if found is None else met.unionByName(found.df).distinct(), "found")
+        full = Stored(lists.df.where("sim < 2").groupBy(F.col("u").alias("rep")).agg(F.count("*").alias("n"), F.min("sim").alias("low")).where((F.col("n") >= k) & (F.col("low") >= threshold)).select("rep"), "full").df
+        joins = lists.df.where(f"sim = {JOIN}").select("u", "v")
+        some = not joins.isEmpty()
+        if some:
+            nodes, before = Stored(_named(nodes.df, joins), "nodes"), nodes
+            before.drop()
+        recall = _audit(nodes.df, found.df, threshold, seed + done)
+        if recall >= target and (not some or full.isEmpty()):
+            break
+        # only full lists need another look, unless too much was missed
+        wanted = full if recall >= target else None
+        if recall < target and done >= passes:
+            ends = Stored(_exact(nodes.df.where("rep >= 0").withColumn("copies", F.lit(1)), ["label"], threshold), "swept").df
+            whole = components(ends.where("b >= 0").select("a", "b")).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+            named = nodes.df.join(whole, "part", "left").withColumn("part", F.coalesce("whole", "part"))
+            return reps.join(named.select("rep", "part"), "rep"), 1.0
+        # neighbours of one component leave the lists
+        part = nodes.df.select("rep", "part")
+        apart = lists.df.where("sim < 2").join(part.toDF("u", "p"), "u").join(part.toDF("v", "q"), "v").where("p <> q").select("u", "v", "sim", "turn")
+        lists, before = Stored(apart, "lists"), lists
+        before.drop()
+    return reps.join(nodes.df.select("rep", "part"), "rep"), recall
+
+
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, k: int = K, tables: int = TABLES, passes: int = PASSES, target: float = TARGET) -> DataFrame:
     """One row per row of ``embeddings``: ``vec_id, n_links, component_id, kept``."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = Stored(rows.withColumn("usable", _usable()), "vectors").df
@@ -190,18 +336,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, k: int = K,
         .select(F.monotonically_increasing_id().alias("rep"), "first", "label", F.size("embedding").alias("dims"), "copies", "embedding"),
         "distinct_vectors",
     ).df
-    graph = Stored(_best(_measure(_start(reps, TABLES, PLANES), reps), k), "graph").df
-    for turn in range(1, rounds + 1):
-        graph = Stored(_round(graph, reps, k, turn), "graph").df
-    edges = graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
-    classes = components(edges)
-    counts, joined = _sweep(reps, classes, threshold)
-    # components that the graph holds apart although a link joins them become one
-    whole = components(joined).select(F.col("node").alias("part"), F.col("component").alias("whole"))
-    named = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
-    named = named.join(whole, "part", "left").withColumn("component", F.coalesce("whole", "part"))
-    first = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    known = named.join(first, "component").join(counts, "rep", "left").select("label", "embedding", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    parts = Stored(joined(reps, threshold, k, tables, passes, target)[0], "parts").df
+    counts = Stored(_exact(parts, ["part"], threshold), "links").df.select(F.col("a").alias("rep"), "linked").groupBy("rep").agg(F.sum("linked").alias("linked"))
+    first = parts.groupBy("part").agg(F.min("first").alias("component_id"))
+    known = parts.join(first, "part").join(counts, "rep", "left").select("label", "embedding", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     linked = usable.join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
