@@ -13,12 +13,11 @@ to the log-odds; scoring therefore adds up one number a feature, with words reme
 Defined cases: a null text counts as empty; a text without features gets the score of the
 intercept; labels that are null or other than 0 and 1 are not learned from; with one class only
 (or none) in the sample every score is that class' smoothed share; repeated rows are rows of their
-own and the same text always gets the same score; other columns are never read.
+own (and of the sample, while it has room) and the same text always gets the same score; other columns are never read.
 """
 
 from __future__ import annotations
 
-
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, DIM, NGRAMS = 1 << 18, 8, (3, 4)
-#: Bound on the labelled rows that are learned from, and on their characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 1600, 16 << 20
+#: Bound on the labelled rows that are learned from.
+SAMPLE_ROWS = 1600
 EPOCHS, RATE, SEED = 5, 0.5, 7
 THRESHOLD = 0.7
 #: Features without any weight that every text has besides its own, so that short texts stay near the classes' shares.
@@ -49,7 +48,6 @@ def word_features(word: str) -> list[int]:
     return [_bucket("w" + word), *(_bucket("c" + g) for g in grams)]
 
 
-
 def shape(word: str) -> str:
     """First character's class, whether the word is in capitals, and its last character's class."""
 
@@ -130,23 +128,15 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.array(ids, np.int64), return_counts=True)
 
 
-def fit(texts: list[str], labels: list[int], dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED, shares: tuple[int, int] | None = None) -> Model:
-    """Stochastic gradient descent on vectors and softmax, classes weighted to equal shares.
-
-    ``shares``: rows of class 0 and 1 among all that could be learned from; they set the intercept.
-    """
-    y = np.array(labels, np.int64)
+def vectors(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stochastic gradient descent, classes weighted to equal shares: the vectors, the softmax' weights and its biases."""
     ones = int(y.sum())
-    if not 0 < ones < len(y):
-        share = (ones + 1) / (len(y) + 2)
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     out = np.zeros((2, dim), np.float32)
     out[1] = rng.normal(0, 1, dim)
     out[0] = -out[1]
     bias = np.zeros(2, np.float32)
-    rows = [counted(t) for t in texts]
     weight = np.array([len(y) / (2 * (len(y) - ones)), len(y) / (2 * ones)], np.float32)
     steps, step = epochs * len(y), 0
     for _ in range(epochs):
@@ -167,10 +157,25 @@ def fit(texts: list[str], labels: list[int], dim: int = DIM, epochs: int = EPOCH
             bias -= lr * g
             if len(ids):
                 table[ids] -= (lr * 20 * part)[:, None] * back
-    contribution = (table @ (out[1] - out[0])).astype(np.float32)
+    return table, out, bias
+
+
+def learn(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], shares: tuple[int, int] | None = None, **options) -> Model:
+    """The model of counted rows. ``shares``: rows of class 0 and 1 among all that could be learned
+    from; they set the intercept."""
+    y = np.array(labels, np.int64)
+    ones = int(y.sum())
+    if not 0 < ones < len(y):
+        share = (ones + 1) / (len(y) + 2)
+        return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
+    table, out, bias = vectors(rows, y, **options)
     # classes were weighted: put the true share back
     zeros, ones = shares or (len(y) - ones, ones)
-    return Model(contribution, float(bias[1] - bias[0] + np.log((ones + 1) / (zeros + 1))))
+    return Model((table @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0] + np.log((ones + 1) / (zeros + 1))))
+
+
+def fit(texts: list[str], labels: list[int], **options) -> Model:
+    return learn([counted(t) for t in texts], labels, **options)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -189,18 +194,18 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     shares = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
     spark = docs.sparkSession
     chosen = F.broadcast(spark.createDataFrame(picked or [(None, 0)], "doc_id long, quality int"))
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        .join(chosen, "doc_id")
-        .select("doc_id", "text", "quality")
-    )
-    texts, ys, chars = [], [], 0
-    for r in sorted(rows.toLocalIterator(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text)):
-        if chars + len(r.text) <= SAMPLE_CHARS:
-            chars += len(r.text)
-            texts.append(r.text)
-            ys.append(r.quality)
-    return fit(texts, ys, shares=(shares.get(0, 0), shares.get(1, 0)))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, n = counted(batch.column(3)[i].as_py())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(3)), pa.array([ids.astype(np.int32)]), pa.array([n.astype(np.int32)])], ["doc_id", "mark", "quality", "ids", "n"])
+
+    # features are counted where the texts are; rows that repeat an id take places of their own
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text")).join(chosen, "doc_id").select("doc_id", "mark", "quality", "text")
+    rows = rows.mapInArrow(count, "doc_id long, mark long, quality int, ids array<int>, n array<int>").orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id", "mark").limit(sample_rows)
+    got = [(np.array(r.ids, np.int64), np.array(r.n, np.int64), r.quality) for r in rows.toLocalIterator()]
+    return learn([(ids, n) for ids, n, _ in got], [q for _, _, q in got], (shares.get(0, 0), shares.get(1, 0)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

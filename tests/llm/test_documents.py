@@ -428,6 +428,32 @@ def test_quality_on_held_out_rows(spark, sf):
     assert sum(p == y for p, y in held) >= 0.9 * len(held)
 
 
+def test_scores_are_softmax_of_averaged_vectors():
+    """The fast sum of one number a feature equals averaging vectors and a softmax, feature by feature."""
+    good = ["the river runs to the sea, and ships follow it", "A house of stone stands on the hill.", "she wrote letters every day in May"]
+    bad = ["BUY NOW!!! buy now BUY 100 % free", "click click click here here 99 $$$", "xx yy xx yy zz 0 0 0"]
+    texts, y = good + bad, [1, 1, 1, 0, 0, 0]
+    table, out, bias = quality.vectors([quality.counted(t) for t in texts], np.array(y))
+    model = quality.fit(texts, y)
+    for text in [*texts, "", "   ", "Ünder wörds 7x", "same same same", "a"]:
+        words = text.split()
+        features = [f for w in words for f in quality.word_features(w)]
+        features += [quality._bucket(f"p{quality.shape(a)} {quality.shape(b)}") for a, b in zip(words, words[1:])]
+        features += [quality._bucket("p=")] * (quality.PAIR_WEIGHT * sum(a == b for a, b in zip(words, words[1:])))
+        mean = sum((table[f].astype(np.float64) for f in features), np.zeros(quality.DIM)) / (quality.NEUTRAL + len(features))
+        z = out @ mean + bias
+        p = np.exp(z - z.max())
+        assert abs(model.score(text) - p[1] / p.sum()) < 1e-4, text
+    assert all(model.score(t) > 0.5 for t in good) and all(model.score(t) < 0.5 for t in bad)
+
+
+def test_quality_learns_from_long_rows_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(i, ("good words of a story " if i % 2 else "BAD BAD !!! 0 ") * (4000 if i < 6 else 3)) for i in range(40)] + [(1, "good words of a story again")] * 30, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality.train(docs, labels, sample_rows=20)
+    assert model.score("good words of a story") > model.score("BAD BAD !!! 0")
+
+
 def test_quality_odd(spark, odd, nothing):
     labels = spark.createDataFrame([(3, 1), (4, 1), (6, 0), (7, 0), (None, 1), (5, None), (9, 5)], "doc_id long, quality int")
     got = quality.classify(odd, labels).collect()
