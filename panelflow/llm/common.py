@@ -33,12 +33,17 @@ def _delete(spark: SparkSession, path: str) -> None:
 def shared_root(spark: SparkSession) -> str:
     """A folder of this application on the storage that all machines share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder is taken. It is removed when the interpreter ends.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset on one machine
+    (tests) a temporary folder is taken; on a cluster that is an error, as its machines would each
+    write to a folder of their own. It is removed when the interpreter ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelflow-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+            base = tempfile.mkdtemp(prefix="panelflow-")
         _roots[app] = f"{base.rstrip('/')}/panelflow-{uuid.uuid4().hex}"
         atexit.register(_quietly_delete, spark, _roots[app])
     return _roots[app]
