@@ -180,21 +180,6 @@ def test_pages_odd(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
-def test_pipeline(spark, sf):
-    import corpus_pipeline as cp
-    from pyspark.sql import functions as F
-
-    docs = table(spark, sf, "documents")
-    names = docs.columns
-    for name, stage in cp.STAGES[:-1]:
-        before = docs
-        docs = stage(spark, docs, sf).persist()
-        assert docs.columns == names and docs.count() > 0, name
-        assert docs.join(before.select("doc_id").distinct(), "doc_id", "left_anti").count() == 0
-    last = cp.STAGES[-1][1](spark, docs, sf)
-    assert last.count() == docs.count() and last.where(F.col("n_tokens") < 0).count() == 0
-
-
 def test_share_of_like_siblings_in_long_parents():
     nodes = html_text.parse("<body>" + "<p>text</p>" * 64 + "<div>advert</div></body>")
     at = next(i for i, n in enumerate(nodes) if n.tag == "div")
