@@ -3,7 +3,12 @@
 Quality classifier, line dedup, SimHash near-dedup, mixing of sources, BPE. Every stage takes
 ``(spark, docs, sf_dir)`` and works on all rows that the stage before kept; all but the last
 return the columns of ``documents``. SQL cannot express the classifier, so ``ORACLE_SQL`` is None;
-its test looks at columns, rows and ids only, and no brute-force version of the whole exists.
+the stages are tested against plain Python versions of each (``tests/llm/test_pipeline.py``).
+
+Defined cases, for every stage: a null text counts as empty, and is kept only where an empty one is;
+rows that repeat an id or a whole row are rows of their own until the near-copy stage, which keeps
+one row of each component; null ids, nulls in other columns, and columns beside those of
+``documents`` pass through, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
