@@ -36,16 +36,13 @@ def centre_clusters(points: DataFrame, by: str, value: str, reach: str) -> DataF
     return points.groupBy(by).agg(F.expr(fold).alias("c")).select(by, F.posexplode("c").alias("cluster", "c")).select(by, F.col("cluster").cast("long"), (F.col("c.s") / F.col("c.n")).alias("centre"), F.col("c.n").alias("points"))
 
 
-def vertical_plans(groups: DataFrame, most: int | None = None) -> DataFrame:
-    """Every size and column count that fits ``w, h`` with ``n`` characters at size estimate ``p``, with its cost.
-
-    ``most`` bounds the column counts, as the SQL of two queries does; plans beyond it are not seen.
-    """
+def vertical_plans(groups: DataFrame) -> DataFrame:
+    """Every size and column count that fits ``w, h`` with ``n`` characters at size estimate ``p``, with its cost."""
     low, high = font_bounds("p")
     sized = groups.withColumns({"low": low, "high": high}).withColumn("size", F.explode(F.sequence("low", "high")))
     # one more than fits by the quotient, as rounding may be off; the test on bw decides
-    widest = "greatest(1L, least(n, cast(floor(w / (size * 1.08D)) as bigint) + 1L))" if most is None else f"least(n, {most}L)"
-    grid = sized.withColumn("columns", F.explode(F.expr(f"sequence(1L, cast({widest} as bigint))")))
+    widest = "greatest(1L, least(n, cast(floor(w / (size * 1.08D)) as bigint) + 1L))"
+    grid = sized.withColumn("columns", F.explode(F.expr(f"sequence(1L, {widest})")))
     grid = grid.withColumn("rows", F.expr("cast(ceil(n / cast(columns as double)) as bigint)"))
     plan = grid.withColumns({"bw": F.expr("columns * size * 1.08D"), "bh": F.expr("rows * size * 1.0D")}).where("bw <= w and bh <= h")
     return plan.withColumn("cost", F.expr("4.4D * abs(ln(size / p)) + 1.15D * abs(ln(bw / w)) + 1.45D * abs(ln(bh / h)) + 0.32D * abs(columns - expected)"))

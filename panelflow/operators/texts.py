@@ -51,10 +51,23 @@ def route(items: DataFrame, page: str, chars: int = PAGE_CHARS, most: int = PAGE
 
 
 def glossary_terms(items: DataFrame, glossary: DataFrame) -> DataFrame:
-    """Glossary entries that occur in some text: a glossary is one
-    configuration file, so its entries travel as a single row, and the texts are scanned once."""
-    entries = F.broadcast(glossary.agg(F.collect_list(F.struct("term", "target")).alias("entries")))
-    return items.join(entries).select(F.explode(F.expr("filter(entries, e -> contains(text, e.term))")).alias("e")).select("e.*").distinct()
+    """Glossary entries ``term, target`` that occur in some text, terms with themselves as a key.
+
+    Every text gives its pieces of the lengths that terms have, so the search is an equi-join however
+    many terms there are; a text gives each piece once.
+    """
+    lengths = glossary.select(F.char_length("term").alias("_n")).where("_n > 0").distinct()
+    texts_ = items.select("text").distinct()
+    pieces = texts_.join(F.broadcast(lengths), F.expr("char_length(text) >= _n")).select(F.explode(F.expr("array_distinct(transform(sequence(1, char_length(text) - _n + 1), i -> substr(text, i, _n)))")).alias("term")).distinct()
+    return glossary.join(pieces, "term", "left_semi").select("term", "target").distinct()
+
+
+def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Per key the upper median of whole numbers, from counts of each value, so that no list of all rows is held."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
+    up = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumns({"_upto": F.sum("_n").over(up), "_all": F.sum("_n").over(Window.partitionBy(by))})
+    return placed.where("_upto > _all div 2").groupBy(by).agg(F.min(value).alias(value))
 
 
 def strip_fences(text: str) -> F.Column:

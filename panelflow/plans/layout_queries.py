@@ -54,21 +54,13 @@ def groups(spark, sf):
 
 
 PLANS = f"""WITH {REGIONS}, e AS (SELECT *, least(w, h) / 3.0::DOUBLE AS p, 4 + rn AS n FROM regions), f AS (SELECT *, least(180, greatest(10, ceil(1.15 * p)))::BIGINT AS high FROM e),
-s AS (SELECT *, unnest(range(least(high, greatest(10, floor(0.85 * p)))::BIGINT, high + 1)) AS size FROM f), c AS (SELECT *, unnest(range(1, least(n, 8) + 1)) AS columns FROM s),
+s AS (SELECT *, unnest(range(least(high, greatest(10, floor(0.85 * p)))::BIGINT, high + 1)) AS size FROM f), c AS (SELECT *, unnest(range(1, n + 1)) AS columns FROM s),
 r AS (SELECT *, columns * size * 1.08::DOUBLE AS bw, ceil(n / columns::DOUBLE) * size AS bh FROM c),
 q AS (SELECT *, 4.4 * abs(ln(size / p)) + 1.15 * abs(ln(bw / w)) + 1.45 * abs(ln(bh / h)) + 0.32 * abs(columns - 2) AS cost FROM r WHERE bw <= w AND bh <= h)"""
 
 
 @query("layout_search_vertical", PLANS + " SELECT page_id, rn, count(*) AS plans, round(min(cost), 6)::DOUBLE AS best FROM q GROUP BY page_id, rn")
 def layout_search_vertical(spark, sf):
-    return layout.vertical_plans(groups(spark, sf), 8).groupBy("page_id", "rn").agg(F.count("*").alias("plans"), F.round(F.min("cost"), 6).alias("best"))
-
-
-WHOLE_PLANS = PLANS.replace("least(n, 8)", "n")
-
-
-@query("layout_search_vertical_whole", WHOLE_PLANS + " SELECT page_id, rn, count(*) AS plans, round(min(cost), 6)::DOUBLE AS best FROM q GROUP BY page_id, rn")
-def layout_search_vertical_whole(spark, sf):
     return layout.vertical_plans(groups(spark, sf)).groupBy("page_id", "rn").agg(F.count("*").alias("plans"), F.round(F.min("cost"), 6).alias("best"))
 
 
@@ -94,12 +86,6 @@ def reading_pad(spark, sf):
 @query("layout_choose", PLANS + """, k AS (SELECT *, row_number() OVER (PARTITION BY page_id, rn ORDER BY NOT (size >= greatest(10.0, 0.92 * p)), round(cost, 9), round(abs(ln(size / p)), 9), size DESC, columns) AS pick FROM q)
 SELECT page_id, rn, size, columns FROM k WHERE pick = 1""")
 def layout_choose(spark, sf):
-    return layout.choose(layout.vertical_plans(groups(spark, sf), 8), ["page_id", "rn"]).select("page_id", "rn", "size", "columns")
-
-
-@query("layout_choose_whole", WHOLE_PLANS + """, k AS (SELECT *, row_number() OVER (PARTITION BY page_id, rn ORDER BY NOT (size >= greatest(10.0, 0.92 * p)), round(cost, 9), round(abs(ln(size / p)), 9), size DESC, columns) AS pick FROM q)
-SELECT page_id, rn, size, columns FROM k WHERE pick = 1""")
-def layout_choose_whole(spark, sf):
     return layout.choose(layout.vertical_plans(groups(spark, sf)), ["page_id", "rn"]).select("page_id", "rn", "size", "columns")
 
 

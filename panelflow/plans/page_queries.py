@@ -35,9 +35,9 @@ def region_filter(spark, sf):
 MEASURES = {"inter": g.intersection(), "iou": g.iou(), "iom": g.iom(), "contained": g.max_containment(), "ratio": g.area_ratio(), "distance": g.center_distance(), "axis": g.axis_overlap(), "gap": g.gap_ratio()}
 
 
-@query("box_pairs_overlap", f"WITH {REGIONS} SELECT a.page_id, a.rn AS i, b.rn AS j, " + ", ".join(f"round(({e})::DOUBLE, 6) AS {n}" for n, e in MEASURES.items()) + f" FROM regions a JOIN regions b ON a.page_id = b.page_id AND a.rn < b.rn AND {g.intersection()} > 0")
+@query("box_pairs_overlap", f"WITH {REGIONS} SELECT a.page_id, a.rn AS i, b.rn AS j, " + ", ".join(f"({e})::DOUBLE AS {n}" for n, e in MEASURES.items()) + f" FROM regions a JOIN regions b ON a.page_id = b.page_id AND a.rn < b.rn AND {g.intersection()} > 0")
 def box_pairs_overlap(spark, sf):
-    return pages.pairs(regions(spark, sf), f"{g.intersection()} > 0").selectExpr("a.page_id", "a.rn AS i", "b.rn AS j", *[f"round(cast({e} as double), 6) AS {n}" for n, e in MEASURES.items()])
+    return pages.pairs(regions(spark, sf), f"{g.intersection()} > 0").selectExpr("a.page_id", "a.rn AS i", "b.rn AS j", *[f"cast({e} as double) AS {n}" for n, e in MEASURES.items()])
 
 
 @query("box_duplicate_flags", f"WITH {REGIONS} SELECT a.page_id, a.rn, EXISTS (SELECT 1 FROM regions b WHERE a.page_id = b.page_id AND a.rn <> b.rn AND ({g.iom()} >= 0.55 OR {g.max_containment()} >= 0.82)) AS duplicate FROM regions a")

@@ -24,9 +24,7 @@ def page_scan(spark, sf):
 
 @query("natural_sort", f"SELECT name, row_number() OVER (ORDER BY no, lower(name)) AS position FROM (SELECT DISTINCT name, no FROM ({NAMES}))")
 def natural_sort(spark, sf):
-    from pyspark.sql import Window
-
-    return names(spark, sf).select("name").distinct().select("name", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(files.natural_key("name"))).cast("long").alias("position"))
+    return files.numbered(names(spark, sf).select("name").distinct(), files.natural_key("name"), "position")
 
 
 @query("line_block_assign", f"""WITH {REGIONS}, s AS (SELECT a.page_id, a.rn, b.rn AS block, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) / (a.w * a.h)::DOUBLE AS share

@@ -41,20 +41,15 @@ def weak_normalize(spark, sf):
     return load(spark, sf, "benchmark").select("item_id", t.weak(F.col("text")).alias("weak"))
 
 
-SCORED = """s AS (SELECT item_id, substr(regexp_replace(text, '\\s', '', 'g'), 1, 40) AS v FROM benchmark),
+SCORED = """s AS (SELECT item_id, regexp_replace(text, '\\s', '', 'g') AS v FROM benchmark),
 c AS (SELECT item_id, v, length(v) AS n, length(regexp_replace(v, '[^A-Za-z]', '', 'g')) AS l, length(regexp_replace(v, '[^0-9]', '', 'g')) AS d, length(regexp_replace(v, '[^\\p{P}\\p{S}]', '', 'g')) AS p FROM s),
 u AS (SELECT *, (l + d + p) / greatest(n, 1)::DOUBLE AS useful FROM c),
 q AS (SELECT *, 0.18 + 0.18 * least(1.0, useful) + least(0.10, 0.025 * log2(n + 1)) AS base FROM u),
 r AS (SELECT item_id, v, n, CASE WHEN n = 0 OR p = n THEN 0.0 ELSE greatest(0.0, least(1.0, (CASE WHEN l > 0 AND l / n::DOUBLE >= 0.6 THEN greatest(base, 0.38) ELSE base END) - CASE WHEN useful < 0.55 THEN 0.25 ELSE 0.0 END)) END AS quality FROM q)"""
 
 
-WHOLE_SCORED = SCORED.replace("substr(regexp_replace(text, '\\s', '', 'g'), 1, 40)", "regexp_replace(text, '\\s', '', 'g')")
-
-
-def scored(spark, sf, whole=False):
-    # the first 40 visible characters stand for one recognised line
-    visible = "regexp_replace(text, '\\\\s', '')"
-    v = load(spark, sf, "benchmark").select("item_id", F.expr(visible if whole else f"substr({visible}, 1, 40)").alias("v"))
+def scored(spark, sf):
+    v = load(spark, sf, "benchmark").select("item_id", F.expr("regexp_replace(text, '\\\\s', '')").alias("v"))
     return v.withColumn("_run", t.max_run("v")).withColumn("quality", t.quality("v"))
 
 
@@ -63,24 +58,10 @@ def text_quality(spark, sf):
     return scored(spark, sf).select("item_id", F.round("quality", 6).alias("quality"))
 
 
-@query("text_quality_whole", "WITH " + WHOLE_SCORED + " SELECT item_id, round(quality, 6) AS quality FROM r")
-def text_quality_whole(spark, sf):
-    return scored(spark, sf, True).select("item_id", F.round("quality", 6).alias("quality"))
-
-
 @query("text_accept", "WITH " + SCORED + " SELECT CASE WHEN v = '' THEN 'empty_ocr' WHEN quality < 0.46 THEN 'low_ocr_quality' ELSE 'accepted' END AS verdict, count(*) AS texts FROM r GROUP BY 1")
 def text_accept(spark, sf):
-    return verdicts(scored(spark, sf))
-
-
-def verdicts(texts_scored):
     verdict = F.coalesce(F.split(t.reject_reason("v", "quality"), ":")[0], F.lit("accepted"))
-    return texts_scored.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("texts"))
-
-
-@query("text_accept_whole", "WITH " + WHOLE_SCORED + " SELECT CASE WHEN v = '' THEN 'empty_ocr' WHEN quality < 0.46 THEN 'low_ocr_quality' ELSE 'accepted' END AS verdict, count(*) AS texts FROM r GROUP BY 1")
-def text_accept_whole(spark, sf):
-    return verdicts(scored(spark, sf, True))
+    return scored(spark, sf).groupBy(verdict.alias("verdict")).agg(F.count("*").alias("texts"))
 
 
 @query("exact_dup_docs", "SELECT min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")
@@ -88,30 +69,19 @@ def exact_dup_docs(spark, sf):
     return load(spark, sf, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("k")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").drop("k")
 
 
-CANDIDATES = "SELECT doc_id AS ordinal, lang AS group_id, source, lower(substr(text, 1, 3)) AS normalized, round(n_chars / 50000.0, 6) AS quality FROM documents"
-
-
-def candidates(spark, sf):
-    return load(spark, sf, "documents").selectExpr("doc_id as ordinal", "lang as group_id", "source", "lower(substr(text, 1, 3)) as normalized", "round(n_chars / 50000.0D, 6) as quality")
+CANDIDATES = "SELECT doc_id AS ordinal, lang AS group_id, source, lower(text) AS normalized, round(n_chars / 50000.0, 6) AS quality FROM documents"
 
 
 @query("candidate_dedup", f"SELECT ordinal, group_id, source, normalized FROM (SELECT *, row_number() OVER (PARTITION BY group_id, normalized, source ORDER BY quality DESC, ordinal) AS r FROM ({CANDIDATES}) WHERE normalized <> '') WHERE r = 1")
 def candidate_dedup(spark, sf):
-    return texts.best_per_key(candidates(spark, sf)).select("ordinal", "group_id", "source", "normalized")
-
-
-WHOLE_CANDIDATES = CANDIDATES.replace("lower(substr(text, 1, 3))", "lower(text)")
-
-
-@query("candidate_dedup_whole", f"SELECT ordinal, group_id, source, normalized FROM (SELECT *, row_number() OVER (PARTITION BY group_id, normalized, source ORDER BY quality DESC, ordinal) AS r FROM ({WHOLE_CANDIDATES}) WHERE normalized <> '') WHERE r = 1")
-def candidate_dedup_whole(spark, sf):
     c = load(spark, sf, "documents").selectExpr("doc_id as ordinal", "lang as group_id", "source", "lower(text) as normalized", "round(n_chars / 50000.0D, 6) as quality")
     return texts.best_per_key(c).select("ordinal", "group_id", "source", "normalized")
 
 
 @query("upper_median_length", "SELECT lang, list_sort(list(length(text)))[(count(*) // 2)::INT + 1] AS length FROM documents GROUP BY lang")
 def upper_median_length(spark, sf):
-    return load(spark, sf, "documents").groupBy("lang").agg(F.expr("cast(array_sort(collect_list(char_length(text)))[cast(count(*) div 2 as int)] as bigint)").alias("length"))
+    lengths = load(spark, sf, "documents").select("lang", F.char_length("text").cast("long").alias("length"))
+    return texts.upper_median(lengths, "lang", "length")
 
 
 @query("best_candidate")
@@ -146,19 +116,13 @@ def route_mode(spark, sf):
     return texts.route(load(spark, sf, "conversations"), "conv_id", 1000, 6)
 
 
-@query("glossary_terms", "SELECT DISTINCT r_name AS term, upper(r_name) AS target FROM (SELECT DISTINCT substr(text, 1, 4) AS r_name FROM benchmark) g WHERE EXISTS (SELECT 1 FROM conversations WHERE contains(text, r_name))")
-def glossary_terms(spark, sf):
-    glossary = load(spark, sf, "benchmark").selectExpr("substr(text, 1, 4) as term").distinct().withColumn("target", F.upper("term"))
-    return texts.glossary_terms(load(spark, sf, "conversations"), glossary)
-
+WORDS = "SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM benchmark"
 
-@query("glossary_terms_whole", "SELECT DISTINCT text AS term, upper(text) AS target FROM benchmark g WHERE EXISTS (SELECT 1 FROM conversations c WHERE contains(c.text, g.text))")
-def glossary_terms_whole(spark, sf):
-    glossary = load(spark, sf, "benchmark").selectExpr("text as term").distinct().withColumn("target", F.upper("term"))
-    return texts.glossary_terms(load(spark, sf, "conversations"), glossary)
 
-
-RESPONSES = "SELECT conv_id AS request, '```json' || chr(10) || '{\"translations\": ' || to_json(list({id: printf('T%04d', turn), text: text} ORDER BY turn))::VARCHAR || '}' || chr(10) || '```' AS response FROM conversations GROUP BY conv_id"
+@query("glossary_terms", f"SELECT term, upper(term) AS target FROM ({WORDS}) g WHERE length(term) >= 3 AND EXISTS (SELECT 1 FROM conversations c WHERE contains(c.text, g.term))")
+def glossary_terms(spark, sf):
+    words = load(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).where("length(term) >= 3").distinct()
+    return texts.glossary_terms(load(spark, sf, "conversations"), words.withColumn("target", F.upper("term")))
 
 
 def responses(spark, sf):
@@ -208,5 +172,5 @@ def translation_duplicates(spark, sf):
 
     c = load(spark, sf, "conversations")
     # turns of a conversation stand as boxes of a page, each half over the next
-    boxes = c.select(F.col("conv_id").alias("page_id"), F.col("turn").cast("long").alias("ordinal"), F.lit(10).cast("long").alias("x"), (F.col("turn") * 10).cast("long").alias("y"), F.lit(100).cast("long").alias("w"), F.lit(100).cast("long").alias("h"), F.col("role").alias("source"), F.expr("substr(text, 1, 60)").alias("target"), F.lit(0.9).alias("confidence"))
+    boxes = c.select(F.col("conv_id").alias("page_id"), F.col("turn").cast("long").alias("ordinal"), F.lit(10).cast("long").alias("x"), (F.col("turn") * 10).cast("long").alias("y"), F.lit(100).cast("long").alias("w"), F.lit(100).cast("long").alias("h"), F.col("role").alias("source"), F.col("text").alias("target"), F.lit(0.9).alias("confidence"))
     return merging.translation_duplicates(boxes)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Suffixes of page images, and statuses after which a request is tried again.
@@ -16,6 +16,17 @@ def natural_key(name: str) -> Column:
     return F.expr(f"array_join(transform(regexp_extract_all(lower({name}), '[0-9]+|[^0-9]+', 0), p -> if(p rlike '^[0-9]', lpad(regexp_replace(p, '^0+(?=.)', ''), 20, '0'), p)), '')")
 
 
+def numbered(rows: DataFrame, key: Column, name: str) -> DataFrame:
+    """Rows with their place in the order of ``key``: ranges are counted, and each is numbered from where it begins."""
+    # a stated number of ranges is never merged, so both uses of the one exchange see the same ranges
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_k", key).repartitionByRange(ranges, "_k").withColumn("_range", F.spark_partition_id())
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("_k"))
+    return dealt.join(F.broadcast(starts), "_range").withColumn(name, (F.col("_start") + own).cast("long")).drop("_k", "_range", "_start")
+
+
 def is_page(name: str) -> Column:
     return F.lower(F.element_at(F.split(F.col(name), r"\."), -1)).isin(*SUFFIXES) & F.col(name).contains(".")
 
