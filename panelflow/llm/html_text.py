@@ -2,7 +2,8 @@
 
 A page becomes a tree of elements. Every element gets features of its subtree (text, link and tag
 density, punctuation), its attribute tokens, its depth and its siblings; boosted trees give the
-probability that it holds main text. Labels are then chosen for the whole tree at once: a kept
+probability that it holds main text. Attribute tokens are hashed to ``TOKEN_BUCKETS``, each with the
+log-odds, learned from the training pages, that an element with it holds main text. Labels are then chosen for the whole tree at once: a kept
 element may hold dropped ones, but a dropped element holds nothing that is kept, and the choice
 that is likeliest under that rule is found from the leaves upwards.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,8 +41,9 @@ ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "
 ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"table", "td", "th", "ul", "ol", "dl", "article", "section", "div", "body", "html", "main", "aside", "nav", "header", "footer", "form", "blockquote"}
 TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "a", "nav", "header", "footer", "aside", "form", "table", "blockquote", "pre", "figure", "figcaption", "body", "b", "span", "dl")
-MAIN_WORDS = ("article", "body", "content", "entry", "main", "page", "post", "prose", "read", "story", "text")
-SIDE_WORDS = (
+#: Names that authors give to main text and to what stands around it; training pages use them, the features know none.
+MAIN_NAMES = ("article", "body", "content", "entry", "main", "page", "post", "prose", "read", "story", "text")
+SIDE_NAMES = (
     "ad", "ads", "advert", "advertisement", "alert", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disqus", "footer", "foot", "form", "gdpr", "header", "login", "masthead", "menu", "meta", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination",
     "popular", "popup", "promo", "promoted", "recommend", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "side", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "topbar", "tracking", "trending", "widget",
 )
@@ -147,11 +150,26 @@ def parse(source: str) -> list[Node]:
 
 
 FEATURES = 22 + 2 * len(TAGS)
+TOKEN_BUCKETS = 4096
 _tag_at = {t: i for i, t in enumerate(TAGS)}
-_main, _side = frozenset(MAIN_WORDS), frozenset(SIDE_WORDS)
 
 
-def features(nodes: list[Node]) -> np.ndarray:
+@lru_cache(65536)
+def bucket(token: str) -> int:
+    return zlib.crc32(token.encode()) % TOKEN_BUCKETS
+
+
+def learn_tokens(pages: list[tuple[list[Node], np.ndarray]]) -> np.ndarray:
+    """Log-odds of main text for each bucket, over the elements whose attributes have a token of it."""
+    seen = np.ones((2, TOKEN_BUCKETS))
+    for nodes, y in pages:
+        for node, label in zip(nodes, y, strict=True):
+            for b in {bucket(w) for w in node.words}:
+                seen[int(label), b] += 1
+    return np.log(seen[1] / seen[0])
+
+
+def features(nodes: list[Node], tokens: np.ndarray | None = None) -> np.ndarray:
     """One row a node: subtree density, attribute tokens, depth, siblings, ancestors."""
     n = len(nodes)
     chars, linked, marks, words, tags, blocks = ([0] * n for _ in range(6))
@@ -186,9 +204,10 @@ def features(nodes: list[Node]) -> np.ndarray:
     kinds = [Counter(nodes[j].tag for j in node.children) for node in nodes]
     for i, node in enumerate(nodes):
         p = node.parent
-        own_main, own_side = len(node.words & _main), len(node.words & _side)
-        up_main, up_side, up_link = above[p] if p >= 0 else (0, 0, 0)
-        above[i] = (up_main + own_main, up_side + own_side, up_link or node.tag == "a")
+        odds = [tokens[bucket(w)] for w in node.words] if tokens is not None and node.words else (0.0,)
+        own_main, own_side = max(odds), min(odds)
+        up_main, up_side, up_link = above[p] if p >= 0 else (0.0, 0.0, 0)
+        above[i] = (max(up_main, own_main), min(up_side, own_side), up_link or node.tag == "a")
         passed[i] = before
         before += sum(len(t.strip()) for _, t in node.texts)
         kin = nodes[p].children if p >= 0 else [i]
@@ -213,12 +232,13 @@ def features(nodes: list[Node]) -> np.ndarray:
 
 @dataclass
 class Trees:
-    """Complete binary trees of one depth: split features, thresholds and leaf values."""
+    """Complete binary trees of one depth: split features, thresholds and leaf values; and the tokens' log-odds."""
 
     feature: np.ndarray
     threshold: np.ndarray
     leaf: np.ndarray
     base: float
+    tokens: np.ndarray | None = None
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Log-odds of each row."""
@@ -307,7 +327,11 @@ def generate(rng: random.Random) -> tuple[str, str]:
         t = t[:1].upper() + t[1:] if rng.random() < 0.4 else t
         return f'<li><a href="/{word()}">{t}</a></li>' if links else f"<li>{t}</li>"
 
-    def box(tag: str, words: str, body: str) -> str:
+    def named(words: str, names: tuple[str, ...], share: float) -> str:
+        return " ".join(rng.sample(names, rng.choice((1, 1, 2)))) if words and rng.random() < share else words
+
+    def box(tag: str, words: str, body: str, names: tuple[str, ...] = SIDE_NAMES, share: float = 0.4) -> str:
+        words = named(words, names, share)
         mark = f' {pick(("class", "id", "class"))}="{words}"' if words else ""
         return f"<{tag}{mark}>{body}</{tag}>"
 
@@ -358,12 +382,12 @@ def generate(rng: random.Random) -> tuple[str, str]:
     if rng.random() < 0.3:
         inner = f"<div>{inner}</div>"
     shell, words = pick((("article", ""), ("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "post-body"), ("div", "entry-content"), ("section", "story"), ("div", "article-text"), ("div", "")))
-    content = box(shell, words, inner)
+    content = box(shell, words, inner, MAIN_NAMES, 0.3)
     if rng.random() < 0.15 and shell == "article":
         content = content.replace("</article>", closing[0]() + "</article>")
     if rng.random() < 0.35:
         side = pick((furniture[3], furniture[4]))()
-        content = box(pick(("div", "main")), pick(("", "wrap", "container", "page row")), pick((content + side, side + content)))
+        content = box(pick(("div", "main")), pick(("", "wrap", "container", "page row")), pick((content + side, side + content)), (), 0.0)
     page = f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>{opening}<!-- x -->{content}{ending}"
     if rng.random() < 0.12:  # pages that break off
         return page.rsplit("<", 1)[0], "\n".join(main)
@@ -391,14 +415,21 @@ _model: list[Trees] = []
 
 def train(pages: int = TRAINING_PAGES, seed: int = SEED) -> Trees:
     rng = random.Random(seed)
-    xs, ys = [], []
+    known = []
     for _ in range(pages):
         page, main = generate(rng)
         nodes = parse(page)
+        known.append((nodes, gold(nodes, main)))
+    # the tokens of one half of the pages are learned from the other, so that trees do not trust them too much
+    halves = [learn_tokens(known[::2]), learn_tokens(known[1::2])]
+    xs, ys = [], []
+    for i, (nodes, y) in enumerate(known):
         seen = np.array([n.tag not in UNSEEN for n in nodes])
-        xs.append(features(nodes)[seen])
-        ys.append(gold(nodes, main)[seen])
-    return boost(np.concatenate(xs), np.concatenate(ys))
+        xs.append(features(nodes, halves[1 - i % 2])[seen])
+        ys.append(y[seen])
+    trees = boost(np.concatenate(xs), np.concatenate(ys))
+    trees.tokens = learn_tokens(known)
+    return trees
 
 
 def model() -> Trees:
@@ -475,7 +506,7 @@ def block_runs(nodes: list[Node], keep: np.ndarray) -> list[tuple[str, list[int]
 def extract(pages: list[str], trees: Trees) -> list[str]:
     """Main texts; the trees are applied to the elements of all pages at once."""
     parsed = [parse(p) for p in pages]
-    xs = [features(nodes) for nodes in parsed]
+    xs = [features(nodes, trees.tokens) for nodes in parsed]
     odds = trees.predict(np.concatenate(xs)) if xs else np.zeros(0)
     out, at = [], 0
     for nodes in parsed:

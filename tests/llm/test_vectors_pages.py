@@ -190,3 +190,9 @@ def test_share_of_like_siblings_in_long_parents():
 def test_text_after_elements_without_an_end(tag):
     nodes = html_text.parse(f"<body><p>before</p>{tag}<p>after</p></body>")
     assert [t for n in nodes if n.tag == "p" for _, t in n.texts] == ["before", "after"]
+
+
+def test_attribute_tokens_are_learned():
+    tokens = html_text.model().tokens
+    assert min(tokens[html_text.bucket(w)] for w in ("content", "story", "prose")) > 0 > max(tokens[html_text.bucket(w)] for w in ("sidebar", "cookie", "related"))
+    assert tokens[html_text.bucket("qqqq")] == 0  # never seen: says nothing
