@@ -185,3 +185,37 @@ def issues(source: str, target: str) -> Column:
     }
     found = ", ".join(f"if({c}, '{k}', null)" for k, c in tests.items())
     return F.expr(f"if(trim({target}) = '', array('empty'), filter(array({found}), x -> x is not null))")
+
+
+def _read(text: str | None) -> str:
+    t = re.sub(r"\s+", "", text or "").replace("…", "...")
+    t = re.sub(r"[・.]{2,}", lambda m: "." * len(m[0]), t)
+    return unicodedata.normalize("NFKC", t)
+
+
+@F.pandas_udf(T.StringType())
+def read_form(text: pd.Series) -> pd.Series:
+    """A recogniser's raw output: no white space, dots as full stops, compatibility forms."""
+    return text.map(_read)
+
+
+@F.pandas_udf(T.StringType())
+def drawn_form(text: pd.Series) -> pd.Series:
+    """A text to draw: composed forms, nothing invisible, controls as single spaces."""
+
+    def clean(t: str | None) -> str:
+        shown = [" " if unicodedata.category(c) == "Cc" else c for c in unicodedata.normalize("NFC", t or "") if ord(c) not in _INVISIBLE]
+        return re.sub(r"\s+", " ", "".join(shown)).strip()
+
+    return text.map(clean)
+
+
+def wrapped(text: str, advances: str, width: str) -> Column:
+    """A text in lines, each broken before the character that would pass the width; ``advances`` of its characters."""
+    fold = (
+        f"aggregate(transform(sequence(1, char_length({text})), i -> struct(substr({text}, i, 1) as c, {advances}[i - 1] as a)), "
+        "named_struct('done', cast(array() as array<string>), 'now', '', 'at', 0.0D), "
+        f"(s, x) -> if(s.at + x.a > {width} and s.now <> '', named_struct('done', concat(s.done, array(s.now)), 'now', x.c, 'at', x.a), named_struct('done', s.done, 'now', concat(s.now, x.c), 'at', s.at + x.a)), "
+        "s -> concat(s.done, array(s.now)))"
+    )
+    return F.expr(f"if(char_length({text}) = 0, cast(array() as array<string>), {fold})")

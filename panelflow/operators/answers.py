@@ -155,3 +155,21 @@ def context_items(items: DataFrame, known: DataFrame, page: str, order: str, k:
     near = F.collect_list(F.struct(F.col(order).alias("at"), F.col("text").alias("source"), F.col("_known").alias("known"))).over(w.rowsBetween(-k, k))
     shown = F.transform(near, lambda x: F.struct(x["at"].alias("at"), x["source"].alias("source"), F.when(x["at"] == F.col(order), F.lit("target")).otherwise(F.lit("context")).alias("role"), F.when(x["at"] != F.col(order), x["known"]).alias("known")))
     return rows.withColumn("context", shown).drop("_known")
+
+
+def in_order(items: DataFrame, page: str, order: str, k: int, translate) -> DataFrame:
+    """Items with ``target``, each translated after those before it on its page, whose translations it sees.
+
+    ``translate(source, known) -> str``; ``known`` are the translations within ``k`` places before.
+    Pages are independent, so this is one grouped Arrow call a page.
+    """
+    schema = T.StructType([*items.schema.fields, T.StructField("target", T.StringType())])
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
+        done: list[str] = []
+        for text in rows["text"]:
+            done.append(translate(text, done[max(0, len(done) - k) :]))
+        return rows.assign(target=pd.Series(done, dtype=object))
+
+    return items.groupBy(page).applyInPandas(one, schema)

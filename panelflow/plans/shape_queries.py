@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from ..functions import shapes
+from ..functions import text as t
 from ..functions.steps import apply, nested
+from ..operators import manifest, pages, polygons
 from .page_queries import REGIONS, regions
 from .registry import query
 
@@ -80,3 +83,43 @@ def pass_union(spark, sf):
 def contour_cap(spark, sf):
     w = Window.partitionBy("page_id").orderBy("rn")
     return regions(spark, sf).withColumn("k", F.row_number().over(w)).where("k <= 3").select("page_id", "rn")
+
+
+@query("rotated_iou", f"WITH {REGIONS} SELECT a.page_id, a.rn AS i, b.rn AS j, round({g.iou()}, 6) AS iou FROM regions a JOIN regions b ON a.page_id = b.page_id AND a.rn < b.rn AND {g.intersection()} > 0")
+def rotated_iou(spark, sf):
+    boxes = regions(spark, sf).withColumn("p", shapes.corners())
+    both = pages.pairs(boxes, f"{g.intersection()} > 0").select("a.page_id", F.col("a.rn").alias("i"), F.col("b.rn").alias("j"), F.col("a.p").alias("p"), F.col("b.p").alias("q"))
+    return both.select("page_id", "i", "j", F.round(polygons.rotated_iou("p", "q"), 6).alias("iou"))
+
+
+@query("mini_box", f"WITH {REGIONS} SELECT page_id, rn, concat_ws(' ', x, y, x + w, y, x + w, y + h, x, y + h) AS box FROM regions")
+def mini_box(spark, sf):
+    # the corners and a point on each of two sides
+    dented = regions(spark, sf).withColumn("p", F.expr("array(x + w, y + h, x, y, x + w, y, x, y + h, x + w div 2, y, x, y + h div 3)"))
+    return dented.select("page_id", "rn", F.concat_ws(" ", F.transform(polygons.mini_box("p"), lambda v: v.cast("long").cast("string"))).alias("box"))
+
+
+@query("merged_lines")
+def merged_lines(spark, sf):
+    r = regions(spark, sf).withColumn("polygon", F.transform(shapes.corners(), lambda v: v.cast("double")))
+    lines = r.selectExpr("page_id", "rn", "polygon", "cast(least(w, h) as double) AS font", "cast(if(vertical, 0, w) as double) AS vx", "cast(if(vertical, h, 0) as double) AS vy", "cast(if(vertical, 900 - x - w / 2, y + h / 2) as double) AS distance")
+    return polygons.merged_lines(lines)
+
+
+@query("annotation_files", f"WITH {REGIONS} SELECT page_id, count(*) AS lines, string_agg(concat_ws(',', x, y, x + w, y, x + w, y + h, x, y + h), chr(10) ORDER BY rn) AS polygons FROM regions GROUP BY page_id")
+def annotation_files(spark, sf):
+    return manifest.annotations(regions(spark, sf), 900, 900).select("page_id", F.size(F.split("labels", "\n")).cast("long").alias("lines"), "polygons")
+
+
+@query("horizontal_wrap", "WITH l AS (SELECT item_id, text, length(text) AS n FROM benchmark) SELECT item_id, ceil(n / 12.0)::BIGINT AS lines, substr(text, 13, 12) AS second FROM l WHERE n > 12")
+def horizontal_wrap(spark, sf):
+    b = spark.read.parquet(f"{sf}/benchmark.parquet").where("char_length(text) > 12").withColumn("advances", F.expr("transform(sequence(1, char_length(text)), i -> 8.0D)"))
+    return b.withColumn("l", t.wrapped("text", "advances", "100")).select("item_id", F.size("l").cast("long").alias("lines"), F.expr("l[1]").alias("second"))
+
+
+@query("page_record", f"WITH {REGIONS} SELECT page_id, count(*) AS regions, count(*) AS groups, string_agg(printf('g%03d', rn), ',' ORDER BY rn) FILTER (confidence < 0.46) AS unresolved FROM regions GROUP BY page_id")
+def page_record(spark, sf):
+    r = regions(spark, sf)
+    made = {"position": "rn", "group_id": "format_string('g%03d', rn)", "status": "if(confidence < 0.46, 'ocr_rejected', 'ready')", "skip_reason": "if(confidence < 0.46, 'low', '')", "text": "source", "translation": "upper(source)"}
+    record = manifest.page_record(r, r.withColumns({k: F.expr(v) for k, v in made.items()}))
+    return record.select("page_id", F.size("regions").cast("long").alias("regions"), F.size("groups").cast("long").alias("groups"), F.expr("nullif(array_join(transform(unresolved, u -> u.group_id), ','), '')").alias("unresolved"))

@@ -279,3 +279,35 @@ def test_pieces_of_a_mask(spark):
     pixels = [(1, 0, x, y) for x, y in ((0, 0), (1, 1), (2, 0), (5, 5), (6, 5), (9, 0), (9, 1), (8, 2), (7, 3))]
     got = raster.labelled(spark.createDataFrame(pixels, "page_id long, rn long, px long, py long")).collect()
     assert sorted((r.x, r.y, r.w, r.h, r.pixels) for r in got) == [(0, 0, 3, 2, 3), (5, 5, 2, 1, 2), (7, 0, 3, 4, 4)]
+
+
+def test_polygons():
+    import numpy as np
+
+    from panelflow.operators import polygons
+
+    square = [0, 0, 10, 0, 10, 10, 0, 10]
+    diamond = [5, -2, 12, 5, 5, 12, -2, 5]
+    assert polygons.overlap(square, square) == 1 and polygons.overlap(square, [20, 0, 30, 0, 30, 10, 20, 10]) == 0
+    assert abs(polygons.overlap(square, diamond) - (100 - 4 * 4.5) / (100 + 98 - 82)) < 1e-9
+    assert {tuple(np.round(c).tolist()) for c in polygons.smallest_box(np.array(diamond).reshape(-1, 2))} == {(-2, 5), (5, -2), (12, 5), (5, 12)}
+
+
+def test_lines_go_on_their_block(spark):
+    from panelflow.operators import polygons
+
+    line = lambda rn, x, y, w, h, d: (1, rn, [float(v) for v in (x, y, x + w, y, x + w, y + h, x, y + h)], float(h), float(w), 0.0, float(d))
+    rows = [line(0, 0, 0, 200, 20, 10), line(1, 0, 30, 200, 20, 40), line(2, 0, 60, 200, 22, 71), line(3, 0, 400, 200, 20, 410), line(4, 500, 30, 200, 20, 41), line(5, 0, 95, 200, 60, 125)]
+    got = polygons.merged_lines(spark.createDataFrame(rows, "page_id long, rn long, polygon array<double>, font double, vx double, vy double, distance double"))
+    assert {r.rn: r.into for r in got.collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5}
+
+
+def test_raw_and_drawn_forms(spark):
+    assert column(spark, [" ﾃ ｽ ﾄ … ・・ "], t.read_form("v")) == [("テスト.....",)]
+    assert column(spark, ["a\u200b\tb\n\n c ", None], t.drawn_form("v")) == [("a b c",), ("",)]
+
+
+def test_translation_in_order(spark):
+    rows = spark.createDataFrame([(1, 2, "c"), (1, 0, "a"), (1, 1, "b"), (2, 0, "z")], "page long, no long, text string")
+    got = answers.in_order(rows, "page", "no", 2, lambda text, known: text.upper() + str(len(known)))
+    assert {(r.page, r.no): r.target for r in got.collect()} == {(1, 0): "A0", (1, 1): "B1", (1, 2): "C2", (2, 0): "Z0"}
