@@ -135,7 +135,7 @@ def labelled(pixels: DataFrame) -> DataFrame:
     return listed.mapInArrow(run, "page_id long, rn long, label long, x long, y long, w long, h long, pixels long")
 
 
-def fallback_candidates(boxes: DataFrame, width: int, height: int, pad: int = 3, most: float = 0.2, least: int = 48, density: float = 0.012, parts: int = 2) -> DataFrame:
+def fallback_candidates(boxes: DataFrame, width: int, height: int, pad: int = 4, most: float = 0.2, least: int = 48, density: float = 0.012, parts: int = 2) -> DataFrame:
     """Boxes with ``pixels`` and ``parts`` that may be text the detector missed, padded and within the page."""
     grown_ = boxes.withColumns({"x1": F.expr(f"greatest(0, x - {pad})"), "y1": F.expr(f"greatest(0, y - {pad})"), "x2": F.expr(f"least({width}, x + w + {pad})"), "y2": F.expr(f"least({height}, y + h + {pad})")})
     sized = grown_.withColumns({"w": F.expr("x2 - x1"), "h": F.expr("y2 - y1"), "x": F.col("x1"), "y": F.col("y1")}).drop("x1", "y1", "x2", "y2")

@@ -114,7 +114,7 @@ def pixel_components(spark, sf):
     return raster.labelled(pixels(spark, sf)).groupBy("page_id", "rn").agg(F.count("*").alias("pieces"), F.sum("pixels").alias("pixels"), F.sum(F.expr("w * h")).alias("area"))
 
 
-@query("fallback_candidates", f"WITH {REGIONS}, c AS (SELECT page_id, rn, greatest(0, x - 3) AS x, greatest(0, y - 3) AS y, least(900, x + w + 3) - greatest(0, x - 3) AS w, least(900, y + h + 3) - greatest(0, y - 3) AS h, w * 3 % 211 AS pixels, rn % 4 AS parts FROM regions) SELECT page_id, rn, x, y, w, h, h > w * 1.10 AS vertical FROM c WHERE w > 2 AND h > 2 AND w * h <= 0.2 * 810000 AND pixels >= 48 AND pixels >= 0.012 * w * h AND parts >= 2")
+@query("fallback_candidates", f"WITH {REGIONS}, c AS (SELECT page_id, rn, greatest(0, x - 4) AS x, greatest(0, y - 4) AS y, least(900, x + w + 4) - greatest(0, x - 4) AS w, least(900, y + h + 4) - greatest(0, y - 4) AS h, w * 3 % 211 AS pixels, rn % 4 AS parts FROM regions) SELECT page_id, rn, x, y, w, h, h > w * 1.10 AS vertical FROM c WHERE w > 2 AND h > 2 AND w * h <= 0.2 * 810000 AND pixels >= 48 AND pixels >= 0.012 * w * h AND parts >= 2")
 def fallback_candidates(spark, sf):
     made = regions(spark, sf).withColumns({"pixels": F.expr("w * 3 % 211"), "parts": F.expr("rn % 4")})
     return raster.fallback_candidates(made, 900, 900).select("page_id", "rn", "x", "y", "w", "h", "vertical")

@@ -134,8 +134,16 @@ def test_settings(tmp_path, monkeypatch):
     assert s.translating.batch_size == 5 and s.input_dir == str((tmp_path / "in").resolve())
     monkeypatch.setenv("PANELFLOW_API_KEY", "k")
     assert s.key() == "k"
+    for kind, values in ((config.Translating, {"batch_size": 0}), (config.Layout, {"mode": "wide"}), (config.Layout, {"font_min": 200}), (config.Detecting, {"additional_input_sizes": [100]})):
+        with pytest.raises(ValueError):
+            config.build(kind, values)
+    with pytest.raises(TypeError):
+        config.build(config.Reading, {"unknown": 1})
+    assert config.build(config.Detecting, {"additional_input_sizes": [1536, 1024, 1536]}).additional_input_sizes == (1536, 1024)
+    run = s.overridden(no_grouping=True, page_context="window", scope="region")
+    assert (run.grouping.enabled, run.grouping.dedup, run.grouping.translate_groups, run.translating.page_context, run.layout.scope) == (False, False, False, "window", "region") and s.grouping.enabled
     with pytest.raises(ValueError):
-        config.build(config.Translating, {"batch_size": 0})
+        s.overridden(scope="page")
 
 
 def test_ports_see_no_copy_twice(spark):
