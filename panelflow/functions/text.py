@@ -36,13 +36,13 @@ def max_run(text: str) -> Column:
 def quality(text: str) -> Column:
     """Heuristic reading quality in [0, 1] of a sanitised text column."""
     n = f"char_length(regexp_replace({text}, '\\\\s', ''))"
-    kana, cjk, latin, digits, punct = (count(text, c) for c in (KANA, CJK, "A-Za-z", "0-9", r"\p{P}\p{S}"))
-    body = f"""transform(array(named_struct('n', {n}, 'k', {kana}, 'c', {cjk}, 'l', {latin}, 'd', {digits}, 'p', {punct})), q ->
+    kana, cjk, latin, digits, punct, unknown = (count(text, c) for c in (KANA, CJK, "A-Za-z", "0-9", r"\p{P}\p{S}", r"\p{Co}\p{Cn}\p{Cs}\p{Cc}"))
+    body = f"""transform(array(named_struct('n', {n}, 'k', {kana}, 'c', {cjk}, 'l', {latin}, 'd', {digits}, 'p', {punct}, 'o', {unknown})), q ->
       named_struct('q', q, 'u', (q.k + q.c + q.l + q.d + q.p) / greatest(q.n, 1), 's', 0.18D + 0.52D * ((q.k + q.c) / greatest(q.n, 1)) + 0.18D * least(1, (q.k + q.c + q.l + q.d + q.p) / greatest(q.n, 1)) + least(0.10D, 0.025D * log2(q.n + 1))))[0]"""
     score = f"""transform(array({body}), v -> if(v.q.n = 0 or v.q.p = v.q.n, 0.0D, greatest(0.0D, least(1.0D,
       transform(array(if(v.q.k + v.q.c = 0 and v.q.l > 0 and v.q.l / v.q.n >= 0.6D, greatest(v.s, 0.38D), v.s)), s ->
         if(v.q.n = 1, least(s, if(v.q.k = 1, 0.72D, if(v.q.c = 1, 0.56D, 0.42D))), if(v.q.n = 2 and v.q.k + v.q.c = 1, least(s, 0.58D), s)))[0]
-      - if(_run >= 6, 0.18D, 0.0D) - if(v.u < 0.55D, 0.25D, 0.0D)))))[0]"""
+      - least(0.5D, v.q.o / v.q.n) - if(_run >= 6, 0.18D, 0.0D) - if(v.u < 0.55D, 0.25D, 0.0D)))))[0]"""
     return F.expr(score)
 
 
@@ -133,11 +133,24 @@ def collapse_repeats(text: pd.Series, source: pd.Series) -> pd.Series:
     return pd.Series([collapse(t or "", s or "") for t, s in zip(text, source, strict=True)])
 
 
+def _reread(text: str) -> str:
+    """Text read once more as UTF-8, where that leaves fewer marks of a wrong reading."""
+    marks = lambda x: sum(map(x.count, (*MOJIBAKE_MARKS[1:], "Â")))
+    if not marks(text):
+        return text
+    try:
+        again = text.encode("latin-1").decode()
+    except UnicodeError:
+        return text
+    return again if marks(again) < marks(text) else text
+
+
 def translation(text: str | None, source: str | None = None) -> str:
     """A model's answer cleaned: fences, mojibake, labels, quotes, dots, dashes and repeats."""
     t = re.sub(r"\s*```\s*$", "", re.sub(r"^\s*```(?:json)?\s*", "", text or ""))
     for bad, good in MOJIBAKE:
         t = t.replace(bad, good)
+    t = _reread(t)
     dashes = "―—–─━ー‐-"
     t = _clean(t, "\n\t")
     lines = []
@@ -168,20 +181,23 @@ def sanitize_translation(text: pd.Series, source: pd.Series) -> pd.Series:
     return pd.Series([translation(t, s) for t, s in zip(text, source, strict=True)])
 
 
-def issues(source: str, target: str) -> Column:
-    """What is wrong with a translation, as an array; empty means valid."""
-    kana = count(target, KANA)
-    cjk = count(target, CJK)
-    marks = " or ".join(f"contains({target}, '{m}')" for m in MOJIBAKE_MARKS)
-    n = f"char_length({target})"
-    punct = count(target, r"\p{P}\p{S}")
+def issues(source: str, target: str, raw: str | None = None) -> Column:
+    """What is wrong with a cleaned translation, as an array; empty means valid. ``raw``: it before cleaning.
+
+    Lengths and shares are of visible characters.
+    """
+    seen, asked = (f"regexp_replace({c}, '\\\\s', '')" for c in (target, source))
+    kana, cjk, punct = (count(seen, c) for c in (KANA, CJK, r"\p{P}\p{S}"))
+    marks = " or ".join(f"contains({raw or target}, '{m}')" for m in MOJIBAKE_MARKS)
+    n = f"char_length({seen})"
     tests = {
         "mojibake": marks,
-        "too_long": f"{n} > greatest(24, cast(char_length({source}) * 4.0D + 12 as int))",
+        "too_long": f"{n} > greatest(24, cast(greatest(1, char_length({asked})) * 4.0D + 12 as int))",
         "punctuation_only": f"not {target} rlike '[\\\\p{{L}}\\\\p{{N}}]'",
         "excessive_punctuation": f"{target} rlike '[\\\\p{{L}}\\\\p{{N}}]' and {n} >= 4 and {punct} > 0.65D * {n}",
         "mostly_untranslated_japanese": f"{n} >= 4 and {kana} > 0.45D * {n} and {cjk} < 0.35D * {n}",
-        "source_copied": f"{count(source, KANA)} > 0 and regexp_replace({source}, '\\\\s', '') = regexp_replace({target}, '\\\\s', '')",
+        "unsupported_unicode": f"{target} rlike '[\\\\p{{Co}}\\\\p{{Cn}}\\\\p{{Cs}}]'",
+        "source_copied": f"{count(source, KANA)} > 0 and {asked} = {seen}",
     }
     found = ", ".join(f"if({c}, '{k}', null)" for k, c in tests.items())
     return F.expr(f"if(trim({target}) = '', array('empty'), filter(array({found}), x -> x is not null))")

@@ -18,7 +18,7 @@ from ..functions import text as t
 from .texts import strip_fences
 
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[\[\]{}]', re.S)
-#: A numbered line: its label, the number in it, and the text. A label needs one of ``MARKS``, so that a sentence may begin with a number.
+#: Fixed patterns. A numbered line: its label, the number in it, and the text. A label needs one of ``MARKS``, so that a sentence may begin with a number.
 NUMBERED = r"(?i)^(\s*(?:[-*]\s*)?[\[【(]?\s*T?(\d+)\s*[\]】)]?\s*(?:[:：=–—-]\s*)?)(.*?)\s*$"
 MARKS = r"[\[【(Tt:：=-]"
 

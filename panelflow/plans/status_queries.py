@@ -29,8 +29,8 @@ def status_translatable(spark, sf):
     return status.translatable(read(spark, sf)).select("page_id", "rn", "status", "skip_reason")
 
 
-CHECKED = f"""WITH {PAIRS}, v AS (SELECT conv_id, turn, target, length(target) AS n, CASE WHEN trim(target) = '' THEN ['empty'] ELSE list_filter([CASE WHEN length(target) > greatest(24, trunc(length(source) * 4.0 + 12)) THEN 'too_long' END, CASE WHEN NOT regexp_matches(target, '[\\p{{L}}\\p{{N}}]') THEN 'punctuation_only' END,
-CASE WHEN regexp_matches(target, '[\\p{{L}}\\p{{N}}]') AND length(target) >= 4 AND length(regexp_replace(target, '[^\\p{{P}}\\p{{S}}]', '', 'g')) > 0.65 * length(target) THEN 'excessive_punctuation' END], lambda x: x IS NOT NULL) END AS issues FROM pairs WHERE role = 'user' AND next_role = 'assistant')"""
+CHECKED = f"""WITH {PAIRS}, w AS (SELECT *, length(regexp_replace(target, '\\s', '', 'g')) AS n, greatest(1, length(regexp_replace(source, '\\s', '', 'g'))) AS m FROM pairs WHERE role = 'user' AND next_role = 'assistant'), v AS (SELECT conv_id, turn, target, n, CASE WHEN trim(target) = '' THEN ['empty'] ELSE list_filter([CASE WHEN n > greatest(24, trunc(m * 4.0 + 12)) THEN 'too_long' END, CASE WHEN NOT regexp_matches(target, '[\\p{{L}}\\p{{N}}]') THEN 'punctuation_only' END,
+CASE WHEN regexp_matches(target, '[\\p{{L}}\\p{{N}}]') AND n >= 4 AND length(regexp_replace(target, '[^\\p{{P}}\\p{{S}}]', '', 'g')) > 0.65 * n THEN 'excessive_punctuation' END], lambda x: x IS NOT NULL) END AS issues FROM w)"""
 
 
 def checked(spark, sf):

@@ -149,9 +149,9 @@ def parse_numbered(spark, sf):
     return texts.parse_numbered(lines)
 
 
-@query("validate_pair", f"""WITH {PAIRS}, v AS (SELECT *, length(target) AS n, length(regexp_replace(target, '[^\\p{{P}}\\p{{S}}]', '', 'g')) AS p, regexp_matches(target, '[\\p{{L}}\\p{{N}}]') AS has_some FROM pairs WHERE role = 'user' AND next_role = 'assistant')
+@query("validate_pair", f"""WITH {PAIRS}, v AS (SELECT *, length(regexp_replace(target, '\\s', '', 'g')) AS n, length(regexp_replace(target, '[^\\p{{P}}\\p{{S}}]', '', 'g')) AS p, regexp_matches(target, '[\\p{{L}}\\p{{N}}]') AS has_some FROM pairs WHERE role = 'user' AND next_role = 'assistant')
 SELECT conv_id, turn, CASE WHEN trim(target) = '' THEN 'empty' ELSE concat_ws(',', CASE WHEN contains(target, '�') OR contains(target, 'Ã') OR contains(target, 'â€') OR contains(target, 'ðŸ') THEN 'mojibake' END,
-CASE WHEN n > greatest(24, trunc(length(source) * 4.0 + 12)) THEN 'too_long' END, CASE WHEN NOT has_some THEN 'punctuation_only' END, CASE WHEN has_some AND n >= 4 AND p > 0.65 * n THEN 'excessive_punctuation' END) END AS issues FROM v""")
+CASE WHEN n > greatest(24, trunc(greatest(1, length(regexp_replace(source, '\\s', '', 'g'))) * 4.0 + 12)) THEN 'too_long' END, CASE WHEN NOT has_some THEN 'punctuation_only' END, CASE WHEN has_some AND n >= 4 AND p > 0.65 * n THEN 'excessive_punctuation' END) END AS issues FROM v""")
 def validate_pair(spark, sf):
     return pairs(spark, sf).select("conv_id", "turn", F.array_join(t.issues("source", "target"), ",").alias("issues"))
 

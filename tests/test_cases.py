@@ -48,6 +48,9 @@ def test_translation(text, source, want):
 def test_issues(spark):
     rows = [("どうしたの？", "你怎麼了？"), ("x", ""), ("どうしたの", "どうしたの"), ("待って", "ç­‰ä¸€ä¸‹Ã"), ("はい", "好" * 75)]
     got = [r[0] for r in spark.createDataFrame(rows, "s string, v string").select(t.issues("s", "v")).collect()]
+    odd = spark.createDataFrame([("待って", "等一下\ue000"), ("はい", "好 " * 24)], "s string, v string").select(t.issues("s", "v"), t.issues("s", "v", "concat(v, 'Ã')")).collect()
+    assert odd[0][0] == ["unsupported_unicode"] and odd[0][1] == ["mojibake", "unsupported_unicode"] and odd[1][0] == []
+    assert t.translation("CafÃ© Ã©") == "Café é" and t.translation("你 Ã") == "你 Ã"
     assert got[0] == [] and got[1] == ["empty"] and "source_copied" in got[2] and "mojibake" in got[3] and got[4] == ["too_long"]
 
 
