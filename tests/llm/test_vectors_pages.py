@@ -196,3 +196,13 @@ def test_attribute_tokens_are_learned():
     tokens = html_text.model().tokens
     assert min(tokens[html_text.bucket(w)] for w in ("content", "story", "prose")) > 0 > max(tokens[html_text.bucket(w)] for w in ("sidebar", "cookie", "related"))
     assert tokens[html_text.bucket("qqqq")] == 0  # never seen: says nothing
+
+
+def test_contracted_edges_keep_components(spark):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (330, 2)) if a != b] + [(i, i + 1) for i in range(1000, 1300)]
+    from panelflow.llm.common import components
+
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    whole = {r.node: r.component for r in components(df).collect()}
+    assert {r.node: r.component for r in components(neighbours._contracted(df)).collect()} == whole
