@@ -325,7 +325,8 @@ def joined(reps: DataFrame, threshold: float, k: int = K, tables: int = TABLES,
             if lists is not None:
                 lists.drop()
             lists, turn = after, turn + 1
-            edges, fresh = lists.df.where(f"sim >= {threshold}").agg(F.count("*"), F.count_if(F.col("turn") == turn - 1)).first()
+            # of what the lists hold; joins name one component in many ways and say nothing here
+            edges, fresh = lists.df.where(f"sim >= {threshold} AND sim < 2").agg(F.count("*"), F.count_if(F.col("turn") == turn - 1)).first()
             if fresh <= FEW * edges:
                 break
         met = lists.df.where(f"sim = {FOUND}").select("u", "v")
