@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 #: Fixed pattern of byte-level pre-tokenisation.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens remembered by a worker, and the longest one that is remembered.
@@ -191,7 +193,7 @@ def default_path() -> str:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:

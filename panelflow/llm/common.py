@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 #: Byte bound under which a side counts as small enough to broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of a batch that goes to a Python worker; Spark's own bound is rows alone, whatever their texts hold.
+BATCH_BYTES = 4 << 20
+#: Edges whose components one task finds, in some 100 MB; more are rewritten by all tasks.
+LOCAL_EDGES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -19,6 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, for Arrow functions over whole texts: bounds the bytes of the session's batches, unless the user did.
+
+    Rows are not cut: a batch ends with the row that reaches the bound.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 # --- shared storage ----------------------------------------------------------
 
 _roots: dict[str, str] = {}
@@ -86,16 +101,49 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 # --- connected components ----------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
+def contracted(edges: DataFrame) -> DataFrame:
+    """``edges(a, b)`` of each partition as stars around their smallest node: the same components, and few steps to them."""
+
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        got = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+        if not got:
+            return
+        ids, at = np.unique(np.concatenate(got, axis=1), return_inverse=True)
+        a, b = at.reshape(2, -1)
+        root = np.arange(len(ids))
+        while True:
+            before = root
+            low = np.minimum(root[a], root[b])
+            root = root.copy()
+            np.minimum.at(root, root[a], low)
+            np.minimum.at(root, root[b], low)
+            np.minimum.at(root, a, low)
+            np.minimum.at(root, b, low)
+            root = root[root]
+            if np.array_equal(root, before):
+                break
+        some = np.flatnonzero(root != np.arange(len(ids)))
+        for part in range(0, len(some), 1 << 16):
+            rows = some[part : part + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(ids[root[rows]])], ["a", "b"])
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
+def components(edges: DataFrame, local: int | None = None) -> DataFrame:
     """Distributed union-find: ``edges(a long, b long)`` to ``(node, component)``.
 
     ``component`` is the smallest node that can be reached. Alternates large-star and small-star
     (Kiveris et al., "Connected Components in MapReduce and Beyond"), which keeps every rewrite a
     pre-aggregated minimum plus an equi-join, so a hub's edges are split by the skew join. Each
-    round is written to shared storage, so a lost executor repeats one round at most. Null ends
-    and self-loops are ignored; nodes without another end do not appear.
+    round is written to shared storage, so a lost executor repeats one round at most. As soon as no
+    more than ``local`` edges (``LOCAL_EDGES``) are left, one task ends the work, which gives the same
+    stars. Null ends and self-loops are ignored; nodes without another end do not appear.
     """
-    spark = edges.sparkSession
+    local = LOCAL_EDGES if local is None else local
     now = Stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         "edges",
@@ -105,6 +153,11 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(seen) or not seen[0]:
             break
+        if seen[0] <= local:
+            stars = Stored(contracted(now.df.coalesce(1)).toDF("u", "v"), "edges")
+            now.drop()
+            now = stars
+            break
         mark = tuple(seen)
         both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))

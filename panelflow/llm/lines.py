@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, by_group, components
+from .common import Stored, bounded, by_group, components
 
 WIDTH, BANDS, ROWS, THRESHOLD = 8, 10, 5, 0.8
 #: Lines compared at once with a first line, and with one another; lines of a bucket whose pairs are listed.
@@ -144,7 +144,7 @@ def sign(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([*columns, *(pa.array(got[:, b], mask=~long) for b in range(BANDS))], names)
 
     schema = "doc_id long, line_no int, " + ", ".join(f"{n} long" for n in names[2:])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def spread(distinct: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stored, by_group, components
+from .common import contracted as _contracted
 
 K, TABLES, BUCKET = 6, 6, 32
 #: Members of one neighbourhood or bucket that are compared in one block; share of new edges at the threshold that ends the rounds.
@@ -263,35 +264,6 @@ def _exact(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     return by_group(dealt, [*keys, "dims", "i", "j"], compare, "a long, b long, linked long")
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
-    """``edges(a, b)`` of each partition as stars around their smallest node: the same components, and few steps to them."""
-
-    def run(batches):
-        got = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
-        if not got:
-            return
-        ids, at = np.unique(np.concatenate(got, axis=1), return_inverse=True)
-        a, b = at.reshape(2, -1)
-        root = np.arange(len(ids))
-        while True:
-            before = root
-            low = np.minimum(root[a], root[b])
-            root = root.copy()
-            np.minimum.at(root, root[a], low)
-            np.minimum.at(root, root[b], low)
-            np.minimum.at(root, a, low)
-            np.minimum.at(root, b, low)
-            root = root[root]
-            if np.array_equal(root, before):
-                break
-        some = np.flatnonzero(root != np.arange(len(ids)))
-        for part in range(0, len(some), 1 << 16):
-            rows = some[part : part + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(ids[root[rows]])], ["a", "b"])
-
-    return edges.mapInArrow(run, "a long, b long")
-
-
 def _named(nodes: DataFrame, joins: DataFrame) -> DataFrame:
     """``nodes`` with the components that ``joins`` of their parts make."""
     ends = joins.select("u", "v").join(nodes.select(F.col("rep").alias("u"), F.col("part").alias("a")), "u").join(nodes.select(F.col("rep").alias("v"), F.col("part").alias("b")), "v")

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 BUCKETS, DIM, NGRAMS = 1 << 18, 8, (3, 4)
 #: Bound on the labelled rows that are learned from.
 SAMPLE_ROWS = 1600
@@ -202,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     # features are counted where the texts are; rows that repeat an id take places of their own
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text")).join(chosen, "doc_id").select("doc_id", "mark", "quality", "text")
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text")).join(chosen, "doc_id").select("doc_id", "mark", "quality", "text")
     rows = rows.mapInArrow(count, "doc_id long, mark long, quality int, ids array<int>, n array<int>").orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id", "mark").limit(sample_rows)
     got = [(np.array(r.ids, np.int64), np.array(r.n, np.int64), r.quality) for r in rows.toLocalIterator()]
     return learn([(ids, n) for ids, n, _ in got], [q for _, _, q in got], (shares.get(0, 0), shares.get(1, 0)))
@@ -217,7 +219,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.score(t.as_py() or "") for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -237,4 +239,4 @@ def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
             good = pa.array([m.score(t.as_py() or "") >= threshold for t in batch.column(at)], pa.bool_())
             yield batch.filter(good)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

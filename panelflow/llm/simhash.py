@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, components
+from .common import Stored, bounded, components
 
 #: Fingerprints that one shard owns; and how many sampled ones choose the vantage points of a shard.
 SHARD_ROWS = 1 << 16
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             got = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64()), batch.column(2)], ["doc_id", "fp", "mark"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _mark().alias("mark")).mapInArrow(run, "doc_id long, fp long, mark long")
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _mark().alias("mark")).mapInArrow(run, "doc_id long, fp long, mark long")
 
 
 # --- vantage-point tree ------------------------------------------------------

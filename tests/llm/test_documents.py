@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from panelflow.llm import bpe, lines, mixing, private_data, quality, simhash, token_files
+from panelflow.llm import bpe, common, lines, mixing, private_data, quality, simhash, token_files
 from panelflow.llm.common import components, table
 from panelflow.llm.queries import QUERIES
 
@@ -48,6 +49,44 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_in_one_task_and_by_all(spark):
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-200, 200, (230, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(None, 3), (4, None), (9, 9)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    real = [(a, b) for a, b in edges if None not in (a, b) and a != b]
+    want = closure({x for e in real for x in e}, real)
+    for local in (0, 20, 1 << 20):
+        assert {r.node: r.component for r in components(df, local).collect()} == want
+
+
+def test_small_edges_end_in_one_round(spark, monkeypatch):
+    made = []
+    stored = common.Stored.__init__
+    monkeypatch.setattr(common.Stored, "__init__", lambda self, df, name: made.append(name) or stored(self, df, name))
+    components(spark.createDataFrame([(i, i + 1) for i in range(400)], "a long, b long")).count()
+    assert len(made) == 2
+
+
+def test_batches_of_whole_texts_are_bounded(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    wide = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 10000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "b"])
+
+    spark.conf.unset(key)
+    for use in (bpe.digests, bpe.encode, simhash.fingerprints, lines.sign, lambda d: quality.score(d, quality.Model(np.zeros(quality.BUCKETS, np.float32), 0.0))):
+        spark.conf.unset(key)
+        use(wide)
+        got = wide.mapInArrow(sizes, "n long, b long").collect()
+        assert sum(r.n for r in got) == 3000 and max(r.b for r in got) < 2 * common.BATCH_BYTES
+    spark.conf.set(key, "1m")
+    bpe.digests(wide)
+    assert spark.conf.get(key) == "1m"  # the user's own bound stays
+    spark.conf.unset(key)
+
+
 # --- operator 4
 
 
