@@ -171,17 +171,19 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return once.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
-def _round(graph: DataFrame, joins: DataFrame, nodes: DataFrame, k: int, threshold: float, turn: int) -> DataFrame:
-    """Neighbours of neighbours, at the vectors that met a new one in the last round and have a close one."""
-    close = graph.where(F.col("sim") >= threshold - REACH)
-    close = close.select(F.col("u").alias("centre")).unionByName(close.select(F.col("v").alias("centre"))).distinct()
-    both = graph.select(F.col("u").alias("centre"), F.col("v").alias("rep"), "turn").unionByName(graph.select(F.col("v").alias("centre"), F.col("u").alias("rep"), "turn"))
-    held = joins.select(F.col("u").alias("centre"), F.col("v").alias("rep"), "turn").unionByName(joins.select(F.col("v").alias("centre"), F.col("u").alias("rep"), "turn"))
-    both = both.unionByName(held)
-    new = both.where(F.col("turn") == turn - 1).select("centre").distinct().join(close.unionByName(held.select("centre")).distinct(), "centre", "left_semi")
-    members = both.select("centre", "rep").join(new, "centre", "left_semi").unionByName(new.select("centre", F.col("centre").alias("rep"))).distinct()
-    bars = graph.groupBy(F.col("u").alias("rep")).agg(F.count("*").alias("n"), F.min("sim").alias("low")).where(F.col("n") >= k).select("rep", F.col("low").alias("bar"))
-    return _blocks(members, nodes, bars, k, threshold, turn)
+def _round(lists: DataFrame, turn: int, threshold: float) -> DataFrame:
+    """Members ``(centre, rep)`` of a round: neighbours and joins at the vectors that met a new one in the last round and have a close one."""
+    ends = F.array(*[F.struct(F.col(a).alias("centre"), F.col(b).alias("rep")) for a, b in ("uv", "vu")])
+    both = lists.where(f"sim < {FOUND}").select(F.explode(ends).alias("e"), "sim", "turn").select("e.*", "sim", "turn")
+    # joins stand above every similarity
+    new = both.groupBy("centre").agg(F.max("turn").alias("last"), F.max("sim").alias("top"))
+    new = new.where((F.col("last") == turn - 1) & (F.col("top") >= threshold - REACH)).select("centre")
+    return both.select("centre", "rep").join(new, "centre", "left_semi").unionByName(new.select("centre", F.col("centre").alias("rep"))).distinct()
+
+
+def _bars(lists: DataFrame, k: int) -> DataFrame:
+    """The least similarity of each full list."""
+    return lists.where("sim < 2").groupBy(F.col("u").alias("rep")).agg(F.count("*").alias("n"), F.min("sim").alias("low")).where(F.col("n") >= k).select("rep", F.col("low").alias("bar"))
 
 
 def _audit(nodes: DataFrame, found: DataFrame, threshold: float, seed: int) -> float:
@@ -285,15 +287,14 @@ def joined(reps: DataFrame, threshold: float, k: int = K, tables: int = TABLES,
         done += 1
         first = turn
         while True:
-            if turn == first:
-                new = _blocks(_start(nodes.df, tables, turn, wanted), nodes.df, None, k, threshold, turn)
-            else:
-                new = _round(lists.df.where("sim < 2"), lists.df.where(f"sim = {JOIN}"), nodes.df, k, threshold, turn)
-            new = new.withColumn("turn", F.lit(turn))
+            # stored, as blocks read them twice: to count them and to deal them
+            members = Stored(_start(nodes.df, tables, turn, wanted) if turn == first else _round(lists.df, turn, threshold), "members")
+            new = _blocks(members.df, nodes.df, None if turn == first else _bars(lists.df, k), k, threshold, turn).withColumn("turn", F.lit(turn))
             pairs = new if lists is None else new.unionByName(lists.df)
             # joins and met probes are few and kept in full; of the others each vector keeps the best
             ends = pairs.where("sim >= 2").groupBy("u", "v", "sim").agg(F.min("turn").alias("turn"))
             after = Stored(_best(pairs.where("sim < 2"), k).unionByName(ends), "lists")
+            members.drop()
             if lists is not None:
                 lists.drop()
             lists, turn = after, turn + 1

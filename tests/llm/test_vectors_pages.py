@@ -206,3 +206,21 @@ def test_contracted_edges_keep_components(spark):
     df = spark.createDataFrame(edges, "a long, b long").repartition(3)
     whole = {r.node: r.component for r in components(df).collect()}
     assert {r.node: r.component for r in components(neighbours._contracted(df)).collect()} == whole
+
+
+def test_members_of_a_round(spark):
+    rows = [(1, 2, 0.99, 4), (2, 3, 0.95, 3), (5, 6, 0.3, 4), (7, 8, neighbours.JOIN, 4), (9, 10, neighbours.JOIN, 2), (-1, 1, neighbours.FOUND, 4), (11, 1, 0.2, 2)]
+    lists = spark.createDataFrame(rows, "u long, v long, sim double, turn int")
+    got = sorted(map(tuple, neighbours._round(lists, 5, 0.98).collect()))
+    # new and close: 1, 2, 7 and 8; 3 met nobody new, 5 and 6 nobody close, and a probe that was met is no neighbour
+    assert got == [(1, 1), (1, 2), (1, 11), (2, 1), (2, 2), (2, 3), (7, 7), (7, 8), (8, 7), (8, 8)]
+
+
+def test_first_members_are_made_once(spark, monkeypatch):
+    made = []
+    stored = neighbours.Stored
+    monkeypatch.setattr(neighbours, "Stored", lambda df, name: made.append((name, df.columns)) or stored(df, name))
+    rng = np.random.default_rng(8)
+    rows = [(i, 1, [float(x) for x in rng.normal(size=8)]) for i in range(200)]
+    assert neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).count() == 200
+    assert made.count(("members", ["centre", "rep"])) >= 1
