@@ -152,8 +152,22 @@ def spread(distinct: DataFrame) -> DataFrame:
     return distinct.where("b0 is not null").select("uid", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("bucket"))
 
 
+def _packed(raw: bytes) -> np.ndarray:
+    """All windows of eight bytes as 64-bit numbers, mixed by steps that can be undone: equal numbers are equal windows."""
+    x = np.ndarray((len(raw) - WIDTH + 1,), "<u8", raw, strides=(1,)) * _P
+    return x ^ (x >> np.uint64(32))
+
+
 def shingles(line: str) -> frozenset:
-    return frozenset([line[i : i + WIDTH] for i in range(max(1, len(line) - WIDTH + 1))])
+    """The exact set of shingles; one of eight characters below 256 is a number, which is cheaper than a text."""
+    if len(line) < WIDTH:
+        return frozenset([line])
+    try:
+        return frozenset(_packed(line.encode("latin-1")).tolist())
+    except UnicodeEncodeError:
+        codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+        wide = np.lib.stride_tricks.sliding_window_view(codes > 255, WIDTH).any(axis=1)
+        return frozenset(_packed(codes.astype(np.uint8).tobytes())[~wide].tolist() + [line[i : i + WIDTH] for i in np.flatnonzero(wide).tolist()])
 
 
 def similar(a: frozenset, b: frozenset, threshold: float = THRESHOLD) -> bool:
@@ -193,7 +207,7 @@ def _compare_block(t: dict[str, list]) -> dict | None:
     sets = [shingles(line) for line in lines]
     sizes = np.array([len(x) for x in sets])
     # shingles counted by 512 hash classes: no two sets can share more than the classes' smaller counts
-    counts = np.stack([np.bincount(np.fromiter((hash(s) & 511 for s in x), np.int64, len(x)), minlength=512) for x in sets]).astype(np.uint16)
+    counts = np.stack([np.bincount(np.fromiter(map(hash, x), np.int64, len(x)) & 511, minlength=512) for x in sets]).astype(np.uint16)
     rights = counts[right]
     found = []
     for p in left:

@@ -409,6 +409,18 @@ def test_lines_against_all_pairs(spark, sf, texts):
     assert len(got) == sum(len(t.split("\n")) for t in texts.values()) and wrong <= 0.01 * len(got)
 
 
+def test_shingles_are_exact():
+    rng = np.random.default_rng(6)
+    plain = lambda x: {x[i : i + 8] for i in range(max(1, len(x) - 7))}
+    texts = ["", "abc", "abcdefg", "abcdefgh", "\x00" * 7, "\x00" * 8, "\x00" * 9, "aaaaaaaaaaaaaaaa", "naïve café crème, déjà vu", "日本語のテキスト and some Latin text", "Latin text and 日", "ÿ" * 12, "Āÿÿÿÿÿÿÿÿÿ", "\U0001f600 smile at the end"]
+    texts += ["".join(chr(c) for c in rng.choice([97, 98, 255, 256, 353, 0x1F600], 40)) for _ in range(60)]
+    for a in texts:
+        assert len(lines.shingles(a)) == len(plain(a))
+        for b in texts:
+            assert len(lines.shingles(a) & lines.shingles(b)) == len(plain(a) & plain(b))
+    assert all(isinstance(s, int) for s in lines.shingles("a line of plain text"))  # texts cost twice the time
+
+
 def test_large_buckets_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(lines, "CHUNK", 8)
     rng = np.random.default_rng(5)
