@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, shared_root
+from .common import Stored, bounded, shared_root
 
 END_ID = 1
 STRIPE_BYTES, ROW_INDEX_STRIDE, BLOOM_FPP = 64 << 20, 1000, 0.01
@@ -90,10 +90,10 @@ class Encoder:
                 ids[k] = x
             for k, x in zip(holes, ids, strict=True):
                 row[k] = x
-            if max(map(len, fresh)) > REMEMBERED_CHARS:
-                self.known.update((c, x) for c, x in zip(fresh, ids, strict=True) if len(c) <= REMEMBERED_CHARS)
-            else:
-                self.known.update(zip(fresh, ids, strict=True))
+            self.known.update(zip(fresh, ids, strict=True))
+            for c in fresh:
+                if len(c) > REMEMBERED_CHARS:
+                    del self.known[c]
         return row
 
     def _new(self, chunks: list[str]) -> list[bytes]:
@@ -179,7 +179,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
                 row, at = row + to - at, to
 
     (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         .withColumn("mark", F.xxhash64("text"))
         .repartitionByRange("doc_id", "mark")
         .sortWithinPartitions("doc_id", "mark")

@@ -224,6 +224,23 @@ def test_orc_stripes_index_and_filter(spark, tmp_path):
     assert [r.doc_id for r in token_files.read(spark, str(folder), 700).collect()] == [700] and not token_files.read(spark, str(folder), 701).collect()
 
 
+def test_long_chunks_are_not_remembered():
+    e = token_files.Encoder(token_files.default_path())
+    long = "x" * (token_files.REMEMBERED_CHARS + 1)
+    for _ in range(2):
+        ids, ends = e.encode(pa.array([f"word {long} word", None, long]))
+        assert ids.tolist() == [i for t in (f"word {long} word", long) for i in e.tokenizer.encode(t, add_special_tokens=False).ids] and ends[1] == ends[2]
+    assert "word" in e.known and long not in e.known
+
+
+def test_token_file_batches_are_bounded(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    token_files.write(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), str(tmp_path / "t"))
+    assert spark.conf.get(key) == str(common.BATCH_BYTES)
+    spark.conf.unset(key)
+
+
 def test_chunked_encoding_is_exact():
     from tokenizers import Tokenizer
 
