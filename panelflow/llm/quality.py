@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,8 @@ EPOCHS, RATE, SEED = 5, 0.5, 7
 THRESHOLD = 0.7
 #: Features without any weight that every text has besides its own, so that short texts stay near the classes' shares.
 NEUTRAL = 10
-REMEMBERED, REMEMBERED_CHARS = 400_000, 40
+#: Words that a worker remembers, and the longest one; a word is remembered when it comes again, by a mark of its hash among so many.
+REMEMBERED, REMEMBERED_CHARS, MARKS = 200_000, 40, 1 << 22
 
 
 def _bucket(feature: str) -> int:
@@ -68,6 +70,7 @@ class Model:
 
     def __post_init__(self) -> None:
         self.known: dict[str, tuple[float, int, str]] = {}
+        self.met = bytearray(MARKS)
         self.pairs: dict[tuple[str, str], float] = {}
         self.same = float(self.weights[_bucket("p=")])
 
@@ -80,11 +83,13 @@ class Model:
 
     def _word(self, word: str) -> tuple[float, int, str]:
         ids = word_features(word)
-        got = float(self.weights[ids].sum(dtype=np.float64)), len(ids), shape(word)
-        if len(word) <= REMEMBERED_CHARS:
+        got = float(self.weights[ids].sum(dtype=np.float64)), len(ids), intern(shape(word))
+        mark = hash(word) % MARKS
+        if len(word) <= REMEMBERED_CHARS and self.met[mark]:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[word] = got
+        self.met[mark] = 1
         return got
 
     def _pair(self, a: str, b: str) -> float:
@@ -195,7 +200,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     picked = [(r.doc_id, r.quality) for r in picked.collect()]
     shares = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
     spark = docs.sparkSession
-    chosen = F.broadcast(spark.createDataFrame(picked or [(None, 0)], "doc_id long, quality int"))
+    # as an Arrow table: a list of rows would start a second set of Python workers, only to read it
+    ids, marks = zip(*picked or [(None, 0)], strict=True)
+    chosen = F.broadcast(spark.createDataFrame(pa.table({"doc_id": pa.array(ids, pa.int64()), "quality": pa.array(marks, pa.int32())})))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):

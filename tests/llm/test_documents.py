@@ -537,3 +537,21 @@ def test_line_places_of_any_id(spark):
     back = df.select("doc_id", "line_no", "place", *[c.alias(n) for c, n in zip(lines._from_place("place"), ("d", "l"), strict=True)]).collect()
     assert all((r.doc_id, r.line_no) == (r.d, r.l) for r in back)
     assert [(r.doc_id, r.line_no) for r in sorted(back, key=lambda r: r.place)] == [r[:2] for r in rows]
+
+
+def test_classifier_memory_of_a_worker(spark, monkeypatch):
+    """Words met once are not remembered, those remembered are bounded, and no list of rows goes through Python workers."""
+    monkeypatch.setattr(quality, "REMEMBERED", 300)
+    model = quality.Model(np.random.default_rng(3).normal(size=quality.BUCKETS).astype(np.float32), 0.1)
+    once, again = " ".join(f"single{i}" for i in range(2000)), "again " * 5
+    fresh = lambda t: quality.Model(model.weights, 0.1).score(t)
+    assert model.score(once) == fresh(once) and model.score(again) == fresh(again)
+    assert "again" in model.known and len(model.known) < 20  # a few marks may meet
+    for _ in range(2):
+        assert model.score(once) == fresh(once)
+        assert len(model.known) <= 300
+    made = []
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, f=type(spark).createDataFrame, **b: made.append(data) or f(self, data, *a, **b))
+    docs = spark.range(20).selectExpr("id as doc_id", "if(id % 2 = 0, 'good words here', 'BAD 0 !!!') as text")
+    got = quality.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 = 0 as int) as quality"))
+    assert got.score("good words") > got.score("BAD 0") and not any(isinstance(x, list) for x in made)
