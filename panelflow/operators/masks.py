@@ -14,13 +14,10 @@ def fill(boxes: DataFrame, every: int = 16) -> DataFrame:
     return xs.withColumn("py", F.explode(F.expr(f"sequence(y div {every}, (y + h - 1) div {every})"))).select("page_id", "rn", (F.col("py") * WIDTH + F.col("px")).alias("pixel"))
 
 
-def union(pixels: DataFrame) -> DataFrame:
-    return pixels.select("page_id", "pixel").distinct()
-
-
-def bounds(pixels: DataFrame) -> DataFrame:
-    px, py = F.col("pixel") % WIDTH, F.floor(F.col("pixel") / WIDTH)
-    return pixels.groupBy("page_id").agg(F.min(px).alias("x0"), F.min(py).alias("y0"), F.max(px).alias("x1"), F.max(py).alias("y1"), F.count("*").alias("pixels"))
+def boxes(of: DataFrame, every: int = 16) -> DataFrame:
+    """The same masks as boxes of the grid: ``x0, y0, x1, y1``, both ends included."""
+    ends = {"x0": f"x div {every}", "y0": f"y div {every}", "x1": f"(x + w - 1) div {every}", "y1": f"(y + h - 1) div {every}"}
+    return of.withColumns({n: F.expr(e) for n, e in ends.items()})
 
 
 def rows(boxes: DataFrame, every: int = 16) -> DataFrame:

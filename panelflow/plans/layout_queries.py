@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import layout, masks, metrics, pages
+from ..operators import layout, masks, metrics, pages, raster
 from .page_queries import REGIONS, regions
 from .registry import query
 
@@ -103,13 +103,9 @@ def layout_collisions(spark, sf):
 PIXELS = f"{REGIONS}, px AS (SELECT page_id, rn, unnest(range(x // 16, (x + w - 1) // 16 + 1)) AS px, y, h FROM regions), pixels AS (SELECT page_id, rn, py * 4096 + px AS pixel FROM (SELECT page_id, rn, px, unnest(range(y // 16, (y + h - 1) // 16 + 1)) AS py FROM px))"
 
 
-def pixels(spark, sf):
-    return masks.fill(regions(spark, sf))
-
-
 @query("mask_union", f"WITH {PIXELS} SELECT page_id, count(DISTINCT pixel) AS pixels FROM pixels GROUP BY page_id")
 def mask_union(spark, sf):
-    return masks.union(pixels(spark, sf)).groupBy("page_id").agg(F.count("*").alias("pixels"))
+    return raster.counted(masks.boxes(regions(spark, sf)).select("page_id", "x0", "y0", "x1", "y1"), lambda p: p.mask())
 
 
 @query("mask_iou", f"""WITH {PIXELS}, n AS (SELECT page_id, rn, count(*) AS n FROM pixels GROUP BY ALL), b AS (SELECT a.page_id, a.rn AS i, b.rn AS j, count(*) AS c FROM pixels a JOIN pixels b ON a.page_id = b.page_id AND a.pixel = b.pixel AND a.rn < b.rn GROUP BY ALL)
@@ -120,7 +116,7 @@ def mask_iou(spark, sf):
 
 @query("mask_bounds", f"WITH {PIXELS}, d AS (SELECT DISTINCT page_id, pixel FROM pixels) SELECT page_id, min(pixel % 4096) AS x0, min(pixel // 4096) AS y0, max(pixel % 4096) AS x1, max(pixel // 4096) AS y1, count(*) AS pixels FROM d GROUP BY page_id")
 def mask_bounds(spark, sf):
-    return masks.bounds(masks.union(pixels(spark, sf)))
+    return raster.bounds(masks.boxes(regions(spark, sf)).select("page_id", "x0", "y0", "x1", "y1"))
 
 
 TRUTH = f"{REGIONS}, truth AS (SELECT * FROM regions WHERE rn % 5 <> 0), found AS (SELECT page_id, rn, x + 4 AS x, y + 3 AS y, w, h, confidence FROM regions WHERE rn % 7 <> 3)"
