@@ -19,6 +19,7 @@ def plan(df):
 #: Masks of pages: the lines of the table are dealt out once, by page; their pixels never are.
 MASKS = [
     "mask_and",
+    "mask_bounds",
 ]
 
 
