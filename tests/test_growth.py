@@ -20,6 +20,7 @@ def plan(df):
 MASKS = [
     "mask_and",
     "mask_bounds",
+    "mask_dilate",
 ]
 
 
