@@ -21,6 +21,7 @@ MASKS = [
     "mask_and",
     "mask_bounds",
     "mask_dilate",
+    "mask_uncovered",
 ]
 
 
