@@ -22,6 +22,7 @@ MASKS = [
     "mask_bounds",
     "mask_dilate",
     "mask_uncovered",
+    "mask_union",
 ]
 
 
