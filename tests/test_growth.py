@@ -23,6 +23,7 @@ MASKS = [
     "mask_dilate",
     "mask_uncovered",
     "mask_union",
+    "modal_colours",
 ]
 
 
