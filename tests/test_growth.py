@@ -24,6 +24,7 @@ MASKS = [
     "mask_uncovered",
     "mask_union",
     "modal_colours",
+    "flat_background",
 ]
 
 
