@@ -25,6 +25,7 @@ MASKS = [
     "mask_union",
     "modal_colours",
     "flat_background",
+    "mask_conservative",
 ]
 
 
