@@ -26,6 +26,7 @@ MASKS = [
     "modal_colours",
     "flat_background",
     "mask_conservative",
+    "pixel_components",
 ]
 
 
