@@ -27,6 +27,7 @@ MASKS = [
     "flat_background",
     "mask_conservative",
     "pixel_components",
+    "mask_bind",
 ]
 
 
