@@ -28,6 +28,7 @@ MASKS = [
     "mask_conservative",
     "pixel_components",
     "mask_bind",
+    "mask_not",
 ]
 
 
