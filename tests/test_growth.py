@@ -29,6 +29,7 @@ MASKS = [
     "pixel_components",
     "mask_bind",
     "mask_not",
+    "nearest_pixels",
 ]
 
 
