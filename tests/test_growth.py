@@ -30,6 +30,7 @@ MASKS = [
     "mask_bind",
     "mask_not",
     "nearest_pixels",
+    "contrast_split",
 ]
 
 
