@@ -31,6 +31,7 @@ MASKS = [
     "mask_not",
     "nearest_pixels",
     "contrast_split",
+    "mask_place",
 ]
 
 
