@@ -6,7 +6,7 @@ size times ``LINE``. All costs and clamps are chains of expressions that other S
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.steps import Steps, apply
@@ -18,10 +18,10 @@ CHAR_STEP, COLUMN_STEP, LEAST_PER_COLUMN = (0.88, 1.32), (0.92, 2.35), 2
 LAYOUT_PADDING, LAYOUT_PADDING_RATIO = 2, 0.18
 
 
-def font_hint(regions: DataFrame) -> DataFrame:
-    """``page_id, component, hint``: median of the plausible hints of the first detector's regions, else of all."""
-    plausible = regions.where("font_hint BETWEEN 4 AND 300")
-    return plausible.groupBy("page_id", "component").agg(F.coalesce(F.expr("median(font_hint) FILTER (WHERE source = 'ctd')"), F.median("font_hint")).alias("hint"))
+def font_hint() -> Column:
+    """Aggregate of a group's regions: median of the plausible hints of the first detector's regions, else of all."""
+    plausible = "font_hint BETWEEN 4 AND 300"
+    return F.expr(f"coalesce(median(font_hint) FILTER (WHERE source = 'ctd' AND {plausible}), median(font_hint) FILTER (WHERE {plausible}))")
 
 
 def char_size(regions: DataFrame, short_side: int) -> DataFrame:
@@ -38,20 +38,19 @@ PREFERRED: Steps = [
 ]
 
 
-def axis_centres(regions: DataFrame) -> DataFrame:
-    """``page_id, component, centres``: places of columns (or lines) of a group, close ones taken together.
+def axis_centres(groups: DataFrame) -> DataFrame:
+    """Groups with ``centres``: places of columns (or lines) of a group, close ones taken together.
 
-    ``regions`` has the group's ``p, gx, gy, upright``; regions too wide for one column are left out.
+    ``groups`` have ``p, x, y, vertical`` and their regions as an array ``parts`` of ``source, x, y, w, h``;
+    regions too wide for one column are left out.
     """
-    first = F.max(F.when(F.col("source") == "ctd", 1).otherwise(0)).over(Window.partitionBy("page_id", "component"))
-    used = regions.withColumn("_first", first).where("_first = 0 OR source = 'ctd'").where("CASE WHEN upright THEN w ELSE h END <= p * 1.85D")
-    placed = used.withColumn("at", F.expr("CASE WHEN upright THEN x + w / 2.0D - gx ELSE y + h / 2.0D - gy END"))
-    fold = """transform(aggregate(array_sort(collect_list(at)), cast(array() as array<struct<s:double,n:bigint>>), (acc, v) ->
-      if(size(acc) > 0 and v - element_at(acc, -1).s / element_at(acc, -1).n <= first(p) * 0.55D,
+    used = "filter(parts, m -> (m.source <=> 'ctd' OR NOT exists(parts, e -> e.source <=> 'ctd')) AND CASE WHEN vertical THEN m.w ELSE m.h END <= p * 1.85D)"
+    placed = f"array_sort(transform({used}, m -> CASE WHEN vertical THEN m.x + m.w / 2.0D - x ELSE m.y + m.h / 2.0D - y END))"
+    fold = """transform(aggregate(_ats, cast(array() as array<struct<s:double,n:bigint>>), (acc, v) ->
+      if(size(acc) > 0 and v - element_at(acc, -1).s / element_at(acc, -1).n <= p * 0.55D,
          concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', element_at(acc, -1).s + v, 'n', element_at(acc, -1).n + 1L))),
          concat(acc, array(named_struct('s', v, 'n', 1L))))), c -> c.s / c.n)"""
-    listed = placed.groupBy("page_id", "component").agg(F.first("p").alias("p"), F.collect_list("at").alias("ats"))
-    return listed.select("page_id", "component", F.expr(fold.replace("collect_list(at)", "ats").replace("first(p)", "p")).alias("centres"))
+    return groups.withColumn("_ats", F.expr(placed)).withColumn("centres", F.expr(fold)).drop("_ats", "parts")
 
 
 def run_centres(projection: DataFrame, by: list[str], at: str, weight: str) -> DataFrame:
@@ -112,6 +111,8 @@ VERTICAL_PLAN: Steps = [
         f" + CASE WHEN columns > 1 THEN 0.14E0 * {log_ratio('col_step', 'greatest(1.0E0, was_col)')} ELSE 0.0E0 END + CASE WHEN columns > 1 AND n / (columns * 1.0E0) < {LEAST_PER_COLUMN} * 0.65E0 THEN ({LEAST_PER_COLUMN} - n / (columns * 1.0E0)) * 0.7E0 ELSE 0.0E0 END"
     },
 ]
+#: Both, of a plan whose size and columns are known.
+UPRIGHT: Steps = [*VERTICAL_SIZE, *VERTICAL_PLAN]
 #: A horizontal plan of a ``size``: lines wrapped at the room's width, tracking and line steps, and its cost.
 HORIZONTAL_PLAN: Steps = [
     {"advance": f"size * {GLYPH}E0", "line": f"size * {LINE}E0"},
@@ -147,27 +148,29 @@ def horizontal(groups: DataFrame) -> DataFrame:
     return apply(sized, HORIZONTAL_PLAN).withColumn("columns", F.col("rows"))
 
 
-def planned(groups: DataFrame, plans: DataFrame, key: list[str]) -> DataFrame:
+#: ``CHOICE`` and the columns as one whole number, which an aggregation holds without sorting the plans, and the part of it
+#: in which the size and the columns are found again. Costs are below 10^8, sizes below 10^3, columns below 10^4.
+_RANK = f"CAST(CASE WHEN size + 0.000001E0 >= greatest({MIN_FONT}.0E0, p * {KEEP}E0) THEN 0 ELSE 100000000000000000 END + CAST(round(round(cost, 9) * 1000000000) AS BIGINT) AS DECIMAL(18, 0)) * 1000000000000000000BD"
+_PLACE = f"CAST(round(round({log_ratio('size * 1.0E0', 'p')}, 9) * 1000000000) AS BIGINT) * 10000000 + (999 - size) * 10000 + columns"
+#: What plans need of a group.
+NEEDED = ("n", "n0", "p", "columns0", "step1", "step2", "lw", "lh", "tw", "th")
+
+
+def best(groups: DataFrame, plans: DataFrame, steps: Steps) -> DataFrame:
+    """Groups with the ``size`` and ``columns`` of the best plan that fits, null without one, and what ``steps`` say of it."""
+    by = groups.columns
+    least = F.min(F.expr(f"CASE WHEN fits AND n > 0 THEN {_RANK} + CAST({_PLACE} AS DECIMAL(18, 0)) END"))
+    chosen = plans.groupBy(*by).agg(least.alias("_least")).withColumn("_least", F.expr("CAST(_least % 10000000BD AS BIGINT)"))
+    return apply(apply(chosen, BOUNDS).withColumns({"size": F.expr("999 - _least div 10000"), "columns": F.expr("_least % 10000")}), steps).drop("_least")
+
+
+def planned(groups: DataFrame, plans: DataFrame, key: list[str], steps: Steps) -> DataFrame:
     """One row a group: its plan with ``fits``, or the reason why there is none."""
-    order = [F.expr(o.removesuffix(" DESC")).desc() if o.endswith(" DESC") else F.expr(o) for o in _orders()]
-    w = Window.partitionBy(*key).orderBy(*order, "columns")
-    best = plans.where("fits AND n > 0").withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*key, "size", "columns", "bw", "bh", F.round("cost", 6).alias("cost"))
-    low = apply(groups, BOUNDS)
-    out = low.join(best, key, "left")
+    out = best(groups, plans, steps).withColumn("cost", F.round("cost", 6))
     reason = F.when(F.col("n") <= 0, F.lit("empty_translation")).when(F.col("size").isNull(), F.concat(F.lit("translation_requires_font_below_"), F.col("low").cast("string"), F.lit("px"))).otherwise(F.lit(""))
-    return out.withColumns({"fits": F.col("size").isNotNull(), "reason": reason, "size": F.coalesce("size", F.when(F.col("n") > 0, F.col("low")).otherwise(F.lit(MIN_FONT)))})
-
-
-def _orders() -> list[str]:
-    out, depth, part = [], 0, ""
-    for c in CHOICE:
-        depth += (c == "(") - (c == ")")
-        if c == "," and not depth:
-            out.append(part.strip())
-            part = ""
-        else:
-            part += c
-    return [*out, part.strip()]
+    some = F.col("size").isNotNull()
+    shown = {c: F.when(some, F.col(c)) for c in ("columns", "bw", "bh", "cost")}
+    return out.withColumns({**shown, "fits": some, "reason": reason, "size": F.coalesce("size", F.when(F.col("n") > 0, F.col("low")).otherwise(F.lit(MIN_FONT)))}).select(*key, "size", "columns", "bw", "bh", "cost", "fits", "reason")
 
 
 #: A patch without an original: its whole box is the target, one column, and its size a share of its shorter side.

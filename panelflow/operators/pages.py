@@ -7,7 +7,7 @@ aggregation; components of larger graphs belong to a distributed union-find inst
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -18,9 +18,11 @@ MIN_AREA, THIN = 36, 0.015
 
 def regions(lineitem: DataFrame) -> DataFrame:
     """Deterministic boxes from order lines: an order is a page."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
-    made = lineitem.select(
-        F.col("l_orderkey").alias("page_id"), F.row_number().over(w).cast("long").alias("rn"),
+    # named before the numbering, so that what is asked of a page later needs no other exchange
+    lines = lineitem.withColumnRenamed("l_orderkey", "page_id")
+    w = Window.partitionBy("page_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
+    made = lines.select(
+        "page_id", F.row_number().over(w).cast("long").alias("rn"),
         F.expr("(l_partkey * 37) % 900").alias("x"), F.expr("(l_suppkey * 53) % 900").alias("y"), F.expr("20 + 4 * cast(l_quantity as bigint)").alias("w"), F.expr("20 + 5 * (l_partkey % 50)").alias("h"),
         F.expr("(cast(l_extendedprice as bigint) % 1000) / 1000.0D").alias("confidence"), F.expr("element_at(array('ctd', 'multiscale', 'mask_fallback'), cast(l_linenumber % 3 as int) + 1)").alias("source"),
     )
@@ -48,31 +50,40 @@ def duplicate_flags(boxes: DataFrame) -> DataFrame:
     return boxes.join(hit.withColumn("duplicate", F.lit(True)), ["page_id", "rn"], "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
 
 
+#: The smallest ordinal that each ordinal of sorted ``edges`` reaches.
+LABELS = (
+    "aggregate(edges, map_from_entries(transform(array_distinct(flatten(transform(edges, e -> array(e.i, e.j)))), n -> struct(n, n))), "
+    "(m, e) -> if(m[e.i] = m[e.j], m, transform_values(m, (k, v) -> if(v = greatest(m[e.i], m[e.j]), least(m[e.i], m[e.j]), v))))"
+)
+
+
 def connected(nodes: DataFrame, edges: DataFrame, label: str = "component") -> DataFrame:
     """``nodes(page_id, rn)`` with the smallest ordinal that ``edges(page_id, i, j)`` reach, folded from the page's sorted edges."""
     listed = edges.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("edges"))
-    closed = listed.withColumn(
-        "labels",
-        F.expr(
-            "aggregate(edges, map_from_entries(transform(array_distinct(flatten(transform(edges, e -> array(e.i, e.j)))), n -> struct(n, n))), "
-            "(m, e) -> if(m[e.i] = m[e.j], m, transform_values(m, (k, v) -> if(v = greatest(m[e.i], m[e.j]), least(m[e.i], m[e.j]), v))))"
-        ),
-    ).select("page_id", "labels")
+    closed = listed.withColumn("labels", F.expr(LABELS)).select("page_id", "labels")
     return nodes.join(closed, "page_id", "left").withColumn(label, F.coalesce(F.expr("labels[rn]"), F.col("rn"))).drop("labels")
 
 
 def components(boxes: DataFrame, predicate: str, label: str = "component") -> DataFrame:
-    """Boxes with the smallest ordinal they are connected to by pairs that satisfy the predicate."""
-    edges = pairs(boxes, predicate).select(F.col("a.page_id").alias("page_id"), F.col("a.rn").alias("i"), F.col("b.rn").alias("j"))
-    return connected(boxes, edges, label)
+    """Boxes with the smallest ordinal they are connected to by pairs that satisfy the predicate.
+
+    A page is one row in between, so neither its pairs nor its labels are joined.
+    """
+    rest = [c for c in boxes.columns if c not in ("page_id", "rn")]
+    listed = boxes.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("rn", *rest))).alias("_b"))
+    edges = f"flatten(transform(_b, a -> transform(filter(_b, b -> a.rn < b.rn AND {predicate}), b -> struct(a.rn as i, b.rn as j))))"
+    closed = listed.withColumn("edges", F.when(F.col("page_id").isNotNull(), F.expr(edges))).withColumn("labels", F.when(F.size("edges") > 0, F.expr(LABELS)))
+    rows = closed.select("page_id", "labels", F.explode("_b").alias("_b"))
+    return rows.select("page_id", *[F.col(f"_b.{c}").alias(c) for c in boxes.columns if c != "page_id"], F.coalesce(F.expr("labels[_b.rn]"), F.col("_b.rn")).alias(label))
 
 
-def grouped(boxes: DataFrame) -> DataFrame:
-    """Text groups: union of boxes, direction by vote, member count, best source."""
+def grouped(boxes: DataFrame, **more: Column) -> DataFrame:
+    """Text groups: union of boxes, direction by vote, member count, best source, and ``more`` aggregates of a group."""
     parts = components(boxes, g.should_group())
     return parts.groupBy("page_id", "component").agg(
         F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"), F.expr("count_if(vertical) * 2 >= count(*)").alias("vertical"), F.count("*").alias("members"),
         F.count_if(F.col("source") == "ctd").alias("ctd"), F.count_if(F.col("source") == "multiscale").alias("multiscale"), F.count_if(F.col("source") == "mask_fallback").alias("fallback"), F.round(F.avg("confidence"), 6).alias("confidence"),
+        *[c.alias(n) for n, c in more.items()],
     )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.steps import apply, nested
@@ -27,28 +26,16 @@ GEOMETRY = f"geometry AS (SELECT * FROM {nested('full_groups', fonts.GEOMETRY)})
 KEY = ["page_id", "component"]
 
 
-def hinted(spark, sf):
-    r = regions(spark, sf).withColumn("font_hint", F.expr("least(w, h) / 3.0D"))
-    return pages.components(r, pages.g.should_group())
-
-
 def preferred(spark, sf):
-    r = hinted(spark, sf)
-    groups = pages.grouped(regions(spark, sf)).join(fonts.font_hint(r), KEY, "left")
-    return r, apply(groups.withColumn("mask_hint", F.expr("CASE component % 3 WHEN 0 THEN NULL WHEN 1 THEN hint * 1.2D ELSE hint * 3 END")), fonts.PREFERRED)
-
-
-def centres(spark, sf):
-    r, groups = preferred(spark, sf)
-    of = groups.select(*KEY, "p", F.col("vertical").alias("upright"), F.col("x").alias("gx"), F.col("y").alias("gy"))
-    return groups, fonts.axis_centres(r.drop("vertical").join(of, KEY))
+    r = regions(spark, sf).withColumn("font_hint", F.expr("least(w, h) / 3.0D"))
+    groups = pages.grouped(r, hint=fonts.font_hint(), parts=F.collect_list(F.struct("source", "x", "y", "w", "h")))
+    return apply(groups.withColumn("mask_hint", F.expr("CASE component % 3 WHEN 0 THEN NULL WHEN 1 THEN hint * 1.2D ELSE hint * 3 END")), fonts.PREFERRED)
 
 
 def laid(spark, sf):
-    groups, found = centres(spark, sf)
-    steps = found.select(*KEY, F.size("centres").cast("long").alias("centres"), F.expr("transform(slice(centres, 2, size(centres)), (c, i) -> c - centres[i])").alias("steps"))
-    steps = steps.withColumn("gap", F.expr("if(size(steps) = 0, null, (array_sort(steps)[int((size(steps) - 1) / 2)] + array_sort(steps)[int(size(steps) / 2)]) / 2.0D)")).drop("steps")
-    full = groups.drop("members").join(steps, KEY, "left").withColumn("centres", F.coalesce("centres", F.lit(0).cast("long")))
+    found = fonts.axis_centres(preferred(spark, sf)).withColumn("steps", F.expr("array_sort(transform(slice(centres, 2, size(centres)), (c, i) -> c - centres[i]))"))
+    gap = F.expr("if(size(steps) = 0, null, (steps[int((size(steps) - 1) / 2)] + steps[int(size(steps) / 2)]) / 2.0D)")
+    full = found.withColumns({"gap": gap, "centres": F.size("centres").cast("long")}).drop("members", "steps")
     full = full.withColumns({"n0": F.expr("3 + component % 9"), "n": F.expr("(component * 5) % 23"), "tx": F.expr("x + 3"), "ty": F.expr("y + 3"), "tw": F.expr("greatest(1L, w - 8)"), "th": F.expr("greatest(1L, h - 8)"), "page_w": F.lit(900), "page_h": F.lit(900)})
     return apply(apply(full, fonts.GEOMETRY), fonts.LAYOUT_BOX)
 
@@ -60,12 +47,12 @@ def char_size(spark, sf):
 
 @query("preferred_size", f"{BASE} SELECT page_id, component, round(p, 6) AS p FROM pref")
 def preferred_size(spark, sf):
-    return preferred(spark, sf)[1].select(*KEY, F.round("p", 6).alias("p"))
+    return preferred(spark, sf).select(*KEY, F.round("p", 6).alias("p"))
 
 
 @query("axis_centres", f"{BASE}, {CENTRES} SELECT page_id, component, c AS at, round(centre, 6) AS centre FROM centre")
 def axis_centres(spark, sf):
-    return centres(spark, sf)[1].select(*KEY, F.posexplode("centres").alias("at", "centre")).select(*KEY, F.col("at").cast("long"), F.round("centre", 6).alias("centre"))
+    return fonts.axis_centres(preferred(spark, sf)).select(*KEY, F.posexplode("centres").alias("at", "centre")).select(*KEY, F.col("at").cast("long"), F.round("centre", 6).alias("centre"))
 
 
 @query("run_centres", f"WITH {REGIONS}, i AS (SELECT *, rn - row_number() OVER (PARTITION BY page_id ORDER BY rn) AS g FROM regions WHERE w > 100) SELECT page_id, min(rn) AS first, round(sum(rn * w) / sum(w)::DOUBLE, 6) AS centre FROM i GROUP BY page_id, g")
@@ -110,14 +97,14 @@ UPRIGHT = f"{BASE}, {CENTRES}, {GEOMETRY}, upright AS (SELECT * FROM layout WHER
 
 @query("plan_vertical", f"{UPRIGHT}, {_planned('upright', vertical_sql('upright'))}")
 def plan_vertical(spark, sf):
-    groups = laid(spark, sf).where("vertical")
-    return _shown(fonts.planned(groups, fonts.vertical(groups), KEY))
+    groups = laid(spark, sf).where("vertical").select(*KEY, *fonts.NEEDED)
+    return _shown(fonts.planned(groups, fonts.vertical(groups), KEY, fonts.UPRIGHT))
 
 
 @query("plan_horizontal", f"{UPRIGHT}, {_planned('level', horizontal_sql('level'))}")
 def plan_horizontal(spark, sf):
-    groups = laid(spark, sf).where("NOT vertical")
-    return _shown(fonts.planned(groups, fonts.horizontal(groups), KEY))
+    groups = laid(spark, sf).where("NOT vertical").select(*KEY, *fonts.NEEDED)
+    return _shown(fonts.planned(groups, fonts.horizontal(groups), KEY, fonts.HORIZONTAL_PLAN))
 
 
 PATCHES = f"WITH {REGIONS}, patch AS (SELECT * FROM {nested('(SELECT page_id, rn, w, h, vertical, CASE WHEN rn % 2 = 0 THEN NULL ELSE least(w, h) / 2.0::DOUBLE END AS hint, 1 + rn % 7 AS n FROM regions)', fonts.PATCH)})"
@@ -126,14 +113,12 @@ PATCHES = f"WITH {REGIONS}, patch AS (SELECT * FROM {nested('(SELECT page_id, rn
 @query("plan_patch", f"{PATCHES}, {_planned('patch', vertical_sql('patch'), 'page_id, rn')}")
 def plan_patch(spark, sf):
     r = regions(spark, sf).select("page_id", "rn", "w", "h", "vertical", F.expr("if(rn % 2 = 0, null, least(w, h) / 2.0D)").alias("hint"), F.expr("1 + rn % 7").alias("n"))
-    groups = apply(r, fonts.PATCH)
-    return _shown(fonts.planned(groups, fonts.vertical(groups), ["page_id", "rn"]), ["page_id", "rn"])
+    groups = apply(r, fonts.PATCH).select("page_id", "rn", *fonts.NEEDED)
+    return _shown(fonts.planned(groups, fonts.vertical(groups), ["page_id", "rn"], fonts.UPRIGHT), ["page_id", "rn"])
 
 
 @query("plan_block", f"{UPRIGHT}, {vertical_sql('upright')}, pick AS (SELECT *, row_number() OVER (PARTITION BY page_id, component ORDER BY {fonts.CHOICE}, columns) AS r FROM plans WHERE fits AND n > 0) SELECT page_id, component, left0, top0, wide0, high0 FROM {nested('(SELECT * FROM pick WHERE r = 1)', fonts.CENTRE)}")
 def plan_block(spark, sf):
-    groups = laid(spark, sf).where("vertical")
-    order = [F.expr(o.removesuffix(" DESC")).desc() if o.endswith(" DESC") else F.expr(o) for o in fonts._orders()]
-    w = Window.partitionBy(*KEY).orderBy(*order, "columns")
-    best = fonts.vertical(groups).where("fits AND n > 0").withColumn("r", F.row_number().over(w)).where("r = 1")
+    groups = laid(spark, sf).where("vertical").select(*KEY, *fonts.NEEDED, "lx", "ly", "tx", "ty")
+    best = fonts.best(groups, fonts.vertical(groups), fonts.UPRIGHT).where("size IS NOT NULL")
     return apply(best, fonts.CENTRE).select(*KEY, "left0", "top0", "wide0", "high0")

