@@ -45,6 +45,7 @@ def test_pixels_are_not_exchanged(spark, sf, name):
 #: Groups and plans of a page: one exchange of the lines, whatever is asked of a page afterwards.
 PAGES = [
     "plan_patch",
+    "plan_vertical",
 ]
 
 
