@@ -46,6 +46,7 @@ def test_pixels_are_not_exchanged(spark, sf, name):
 PAGES = [
     "plan_patch",
     "plan_vertical",
+    "plan_block",
 ]
 
 
