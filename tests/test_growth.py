@@ -47,6 +47,7 @@ PAGES = [
     "plan_patch",
     "plan_vertical",
     "plan_block",
+    "plan_horizontal",
 ]
 
 
