@@ -48,6 +48,7 @@ PAGES = [
     "plan_vertical",
     "plan_block",
     "plan_horizontal",
+    "group_bbox_vote",
 ]
 
 
