@@ -49,6 +49,7 @@ PAGES = [
     "plan_block",
     "plan_horizontal",
     "group_bbox_vote",
+    "preferred_size",
 ]
 
 
