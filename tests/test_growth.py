@@ -50,6 +50,7 @@ PAGES = [
     "plan_horizontal",
     "group_bbox_vote",
     "preferred_size",
+    "axis_centres",
 ]
 
 
