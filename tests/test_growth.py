@@ -51,6 +51,7 @@ PAGES = [
     "group_bbox_vote",
     "preferred_size",
     "axis_centres",
+    "original_geometry",
 ]
 
 
