@@ -52,6 +52,7 @@ PAGES = [
     "preferred_size",
     "axis_centres",
     "original_geometry",
+    "layout_box",
 ]
 
 
