@@ -112,10 +112,11 @@ def suppressed(boxes: DataFrame, order: str, conflict: str, by: tuple[str, ...]
     ``order``: a struct expression that sorts a page's boxes, ordinal last; ``conflict``: a predicate
     over ``a.`` (kept before) and ``b.`` (the box at hand).
     """
-    box = "named_struct('k', {order}, 'rn', rn, 'x', x, 'y', y, 'w', w, 'h', h, 'vertical', vertical)".format(order=order)
+    listed = boxes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.expr(order).alias("_k"), *[c for c in boxes.columns if c not in by]))).alias("_b"))
     # only what stands in the way is kept in the accumulator
-    folded = boxes.groupBy(*by).agg(F.expr(f"aggregate(array_sort(collect_list({box})), cast(array() as array<struct<rn:bigint,x:bigint,y:bigint,w:bigint,h:bigint,vertical:boolean>>), (acc, b) -> if(exists(acc, a -> {conflict}), acc, concat(acc, array(named_struct('rn', b.rn, 'x', b.x, 'y', b.y, 'w', b.w, 'h', b.h, 'vertical', b.vertical)))))").alias("_kept"))
-    return boxes.join(folded, list(by)).withColumn("kept", F.expr("exists(_kept, a -> a.rn = rn)")).drop("_kept")
+    fold = f"aggregate(_b, cast(array() as array<struct<rn:bigint,x:bigint,y:bigint,w:bigint,h:bigint,vertical:boolean>>), (acc, b) -> if(exists(acc, a -> {conflict}), acc, concat(acc, array(named_struct('rn', b.rn, 'x', b.x, 'y', b.y, 'w', b.w, 'h', b.h, 'vertical', b.vertical)))))"
+    rows = listed.where(" AND ".join(f"{c} IS NOT NULL" for c in by)).withColumn("_kept", F.expr(f"transform({fold}, a -> a.rn)")).withColumn("_b", F.explode("_b"))
+    return rows.select(*[F.col(c) if c in by else F.col(f"_b.{c}").alias(c) for c in boxes.columns], F.expr("array_contains(_kept, _b.rn)").alias("kept"))
 
 
 def nms(boxes: DataFrame, threshold: float = 0.3, by: tuple[str, ...] = ("page_id",)) -> DataFrame:
