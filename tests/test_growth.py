@@ -53,6 +53,7 @@ PAGES = [
     "axis_centres",
     "original_geometry",
     "layout_box",
+    "render_collisions",
 ]
 
 
@@ -75,3 +76,10 @@ def test_repeats_are_found_by_runs():
     assert [t.collapse(w) for w in words] == words
     # tens of seconds where each length was searched for
     assert time.perf_counter() - start < 5
+
+
+def test_reaching_is_likeness():
+    from panelflow.functions import text as t
+
+    said = ["", "a", "ab", "abc", "abd", "x" * 200, "x" * 190 + "y" * 10, "xy" * 100]
+    assert all(t.reaches(a, b, least) == (t.ratio(a, b) >= least) for a in said for b in said for least in (0.5, 0.78, 0.94))
