@@ -85,6 +85,25 @@ def test_reaching_is_likeness():
     assert all(t.reaches(a, b, least) == (t.ratio(a, b) >= least) for a in said for b in said for least in (0.5, 0.78, 0.94))
 
 
+def _upright_only(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from panelflow.operators import polygons
+
+    def never(points):
+        raise AssertionError("an upright box needs no search")
+
+    monkeypatch.setattr(polygons, "smallest_box", never)
+    made = [[x + 4.0, y + 3.0, x, y, x + 4, y, x, y + 3, x + 2, y] for x, y in ((0.0, 0.0), (2.0, 1.0), (9.0, 9.0))]
+    return np, polygons, pa.array(made), pa.array(made[1:] + made[:1])
+
+
+def test_upright_boxes_are_found_in_batches(monkeypatch):
+    np, polygons, a, _ = _upright_only(monkeypatch)
+    assert polygons.boxed(a)[1].tolist() == [2, 1, 6, 1, 6, 4, 2, 4]
+
+
 def test_a_point_is_no_part_of_a_line(spark):
     from panelflow.operators import polygons
 
