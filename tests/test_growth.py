@@ -104,6 +104,22 @@ def test_upright_boxes_are_found_in_batches(monkeypatch):
     assert polygons.boxed(a)[1].tolist() == [2, 1, 6, 1, 6, 4, 2, 4]
 
 
+def test_upright_overlaps_are_found_in_batches(monkeypatch):
+    np, polygons, a, b = _upright_only(monkeypatch)
+    assert np.allclose(polygons.overlaps(a, b), [4 / 20, 0, 0])
+
+
+def test_turned_boxes_are_still_searched():
+    import numpy as np
+    import pyarrow as pa
+
+    from panelflow.operators import polygons
+
+    square, diamond = [0.0, 0, 10, 0, 10, 10, 0, 10], [5.0, -2, 12, 5, 5, 12, -2, 5]
+    a, b = pa.array([square, diamond, diamond]), pa.array([diamond, square, diamond])
+    assert np.allclose(polygons.overlaps(a, b), [82 / 116, 82 / 116, 1]) and np.allclose(polygons.boxed(a)[1], polygons.smallest_box(np.reshape(diamond, (4, 2))).ravel())
+
+
 def test_a_point_is_no_part_of_a_line(spark):
     from panelflow.operators import polygons
 
