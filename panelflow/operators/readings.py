@@ -6,10 +6,8 @@ steps up in what was measured, so the folds stay in Catalyst.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import geometry as g
 from ..functions import text as t
@@ -57,22 +55,12 @@ def leaves(parts: DataFrame) -> DataFrame:
     return listed.select("group_id", F.expr("array_join(transform(_p, p -> p.text), '')").alias("text"), F.expr("least(1.0D, _q + if(_n > 1, 0.03D, 0.0D))").alias("quality"))
 
 
-def _square(measure):
-    """An Arrow function from an array of texts to ``measure`` of all its pairs, row by row in one array."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def udf(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda ts: [measure(a, b) for a in ts for b in ts])
-
-    return udf.asNondeterministic()  # keeps the optimizer from moving it into a lambda, where it cannot run
-
-
 def _shared(a: str, b: str) -> float:
     """Longest common run over the shorter text; all of it where one holds the other."""
     return 1.0 if a and b and (a in b or b in a) else t.longest(a, b)
 
 
-likeness, shares = _square(t.ratio), _square(_shared)
+likeness, shares = t.square(t.ratio), t.square(_shared)
 
 
 def combined(readings: DataFrame) -> DataFrame:

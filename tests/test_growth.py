@@ -128,3 +128,10 @@ def test_a_point_is_no_part_of_a_line(spark):
     got = polygons.merged_lines(spark.createDataFrame(rows, "page_id long, rn long, polygon array<double>, font double, vx double, vy double, distance double"))
     # a point cut nothing off, so that it shared all of the line
     assert {(r.page_id, r.rn): r.into for r in got.collect()} == {(1, 1): 1, (1, 2): 2, (1, 3): 1, (2, 1): 1}
+
+
+@pytest.mark.parametrize("name", ["merge_groups"])
+def test_merged_groups_meet_by_page_alone(spark, sf, name):
+    text = plan(QUERIES[name](spark, sf))
+    # all dealing out is by page
+    assert all("hashpartitioning(page_id#" in line and ", 8)" in line and line.count("#") <= 3 for line in text.splitlines() if "Exchange hashpartitioning" in line)
