@@ -130,8 +130,22 @@ def test_a_point_is_no_part_of_a_line(spark):
     assert {(r.page_id, r.rn): r.into for r in got.collect()} == {(1, 1): 1, (1, 2): 2, (1, 3): 1, (2, 1): 1}
 
 
+def test_duplicates_come_from_one_exchange(spark, sf):
+    text = plan(QUERIES["duplicate_groups"](spark, sf))
+    # each side of the pairs deals the lines out by page (the same exchange); masks are measured on the pair
+    assert text.count("Exchange hashpartitioning") <= 2 and text.count("Join") == 1 and "explode(sequence" not in text
+
+
 @pytest.mark.parametrize("name", ["merge_groups"])
 def test_merged_groups_meet_by_page_alone(spark, sf, name):
     text = plan(QUERIES[name](spark, sf))
     # all dealing out is by page
     assert all("hashpartitioning(page_id#" in line and ", 8)" in line and line.count("#") <= 3 for line in text.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_masks_of_boxes_count_where_boxes_are_apart(spark):
+    from panelflow.operators import merging
+
+    boxes = [(1, 1, 0, 0, 10, 10, True, "ab", 0.9, 0, 0, 9, 9), (1, 2, 40, 0, 10, 10, True, "abc", 0.8, 0, 0, 9, 9), (1, 3, 80, 0, 10, 10, True, "abc", 0.8, 20, 0, 29, 9)]
+    df = spark.createDataFrame(boxes, "page_id long, rn long, x long, y long, w long, h long, vertical boolean, text string, confidence double, x0 long, y0 long, x1 long, y1 long")
+    assert [tuple(r) for r in merging.duplicates(df).collect()] == [(1, 1, 2)]
