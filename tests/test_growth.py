@@ -136,7 +136,7 @@ def test_duplicates_come_from_one_exchange(spark, sf):
     assert text.count("Exchange hashpartitioning") <= 2 and text.count("Join") == 1 and "explode(sequence" not in text
 
 
-@pytest.mark.parametrize("name", ["merge_groups"])
+@pytest.mark.parametrize("name", ["merge_groups", "merge_groups_fuzzy"])
 def test_merged_groups_meet_by_page_alone(spark, sf, name):
     text = plan(QUERIES[name](spark, sf))
     # all dealing out is by page
