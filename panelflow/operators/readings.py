@@ -6,8 +6,10 @@ steps up in what was measured, so the folds stay in Catalyst.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as g
 from ..functions import text as t
@@ -26,6 +28,18 @@ def agreement(best: DataFrame, candidates: DataFrame) -> DataFrame:
     return best.select("group_id").distinct().join(pairs.groupBy("group_id").agg(F.max("like").alias("agreement")), "group_id", "left").withColumn("agreement", F.coalesce("agreement", F.lit(0.0)))
 
 
+@F.pandas_udf(T.DoubleType())
+def _most_alike(text: pd.Series, others: pd.Series) -> pd.Series:
+    return pd.Series([max((t.ratio(a or "", o) for o in os), default=0.0) for a, os in zip(text, others, strict=True)], dtype="float64")
+
+
+def first_agreement(candidates: DataFrame, by: tuple[str, ...] = ("group_id",)) -> DataFrame:
+    """``by, agreement`` of each group's first reading, as ``agreement`` has it: a group is one row, so nothing is joined."""
+    one = candidates.groupBy(*by).agg(F.min_by(F.struct("source", "normalized"), "ordinal").alias("b"), F.collect_set(F.struct("source", "normalized")).alias("rs"))
+    others = F.expr("transform(filter(rs, r -> r.source <> b.source and r.normalized <> ''), r -> r.normalized)")
+    return one.select(*by, _most_alike("b.normalized", others).alias("agreement"))
+
+
 def fallback_reason(q: str, meaningful: str, agreed: str) -> Column:
     """The first reason to reject a reading that only fallback regions gave, or null."""
     return F.expr(

@@ -16,7 +16,7 @@ PARTS = "said AS (SELECT r.*, p.component, {0} AS text FROM regions r JOIN parts
 
 def parts(spark, sf):
     r = pages.components(regions(spark, sf), pages.g.should_group()).withColumn("text", F.expr(SAID))
-    return r.select(F.concat_ws(":", "page_id", "component").alias("group_id"), F.col("rn").alias("ordinal"), "x", "y", "w", "h", "source", "text", F.col("text").alias("normalized"), F.col("confidence").alias("quality"))
+    return r.select("page_id", F.concat_ws(":", "page_id", "component").alias("group_id"), F.col("rn").alias("ordinal"), "x", "y", "w", "h", "source", "text", F.col("text").alias("normalized"), F.col("confidence").alias("quality"))
 
 
 @query("meaningful_count", f"SELECT id, length(regexp_replace(text, '[^\\x{{3040}}-\\x{{30FF}}\\x{{31F0}}-\\x{{31FF}}\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}\\x{{20000}}-\\x{{323AF}}]', '', 'g')) AS meaningful FROM {WORDS}")
@@ -38,9 +38,7 @@ def readings_once(spark, sf):
 SELECT b.page_id || ':' || b.component AS group_id, round(coalesce(max(CASE WHEN s.text[1] <> b.text[1] THEN 0 ELSE least(length(s.text), length(b.text)) / greatest(length(s.text), length(b.text))::DOUBLE END) FILTER (s.source <> b.source), 0), 6)::DOUBLE AS agreement
 FROM best b JOIN said s ON s.page_id = b.page_id AND s.component = b.component GROUP BY b.page_id, b.component""")
 def reading_agreement(spark, sf):
-    c = parts(spark, sf)
-    best = c.groupBy("group_id").agg(F.min_by("source", "ordinal").alias("source"), F.min_by("normalized", "ordinal").alias("normalized"))
-    return readings.agreement(best, c).withColumn("agreement", F.round("agreement", 6))
+    return readings.first_agreement(parts(spark, sf), ("page_id", "group_id")).select("group_id", F.round("agreement", 6).alias("agreement"))
 
 
 @query("fallback_reject", f"WITH {REGIONS} SELECT page_id, rn, CASE WHEN confidence < 0.74 THEN printf('fallback_low_quality:%.3f', confidence) WHEN rn % 4 < 2 THEN 'fallback_too_short:' || rn % 4 WHEN (x % 100) / 100.0 < 0.70 THEN printf('fallback_disagreement:%.3f', (x % 100) / 100.0) ELSE 'accepted' END AS reason FROM regions")

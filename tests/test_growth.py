@@ -149,3 +149,8 @@ def test_masks_of_boxes_count_where_boxes_are_apart(spark):
     boxes = [(1, 1, 0, 0, 10, 10, True, "ab", 0.9, 0, 0, 9, 9), (1, 2, 40, 0, 10, 10, True, "abc", 0.8, 0, 0, 9, 9), (1, 3, 80, 0, 10, 10, True, "abc", 0.8, 20, 0, 29, 9)]
     df = spark.createDataFrame(boxes, "page_id long, rn long, x long, y long, w long, h long, vertical boolean, text string, confidence double, x0 long, y0 long, x1 long, y1 long")
     assert [tuple(r) for r in merging.duplicates(df).collect()] == [(1, 1, 2)]
+
+
+def test_agreement_needs_no_join(spark, sf):
+    text = plan(QUERIES["reading_agreement"](spark, sf))
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
