@@ -77,17 +77,17 @@ def _shared(a: str, b: str) -> float:
 likeness, shares = t.square(t.ratio), t.square(_shared)
 
 
-def combined(readings: DataFrame) -> DataFrame:
-    """``group_id, text, quality, source`` from ``readings(group_id, ordinal, x, y, w, h, text, normalized, quality)``
+def combined(readings: DataFrame, by: tuple[str, ...] = ("group_id",)) -> DataFrame:
+    """``by, text, quality, source`` from ``readings(by, ordinal, x, y, w, h, text, normalized, quality)``
     of a group's regions, in reading order.
 
     Readings of one footprint that say the same become one, the fuller kept. One that holds a clearly
     smaller one is a whole beside its columns: wholes and the columns joined are alternatives, never
     added up. Of the alternatives the best candidate counts, or a fuller one that explains it. A group
-    is one row from the start, so nothing is joined.
+    is one row from the start, so nothing is joined; a single text is not compared, and nothing asks for it.
     """
-    one = readings.where("normalized <> ''").groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "x", "y", "w", "h", "text", "normalized", "quality"))).alias("rs"))
-    one = one.withColumns({"n": F.size("rs"), "words": F.expr("transform(rs, r -> r.normalized)")}).withColumns({"likes": likeness("words"), "runs": shares("words")})
+    one = readings.where("normalized <> ''").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ordinal", "x", "y", "w", "h", "text", "normalized", "quality"))).alias("rs"))
+    one = one.withColumns({"n": F.size("rs"), "words": F.expr("if(size(rs) > 1, transform(rs, r -> r.normalized), null)")}).withColumns({"likes": likeness("words"), "runs": shares("words")})
     weight = lambda p: f"struct({p}.quality + least(0.10D, 0.006D * length({p}.normalized)), length({p}.normalized), {g.area(p + '.')})"
     same = f"{g.iom('rs[e].', 'rs[o].')} >= 0.62 and {g.area_ratio('rs[e].', 'rs[o].')} >= 0.55 and (likes[e * n + o] >= 0.66 or runs[e * n + o] >= 0.78)"
     kept = f"aggregate(sequence(0, n - 1), cast(array() as array<int>), (acc, o) -> transform(array(array_position(transform(acc, e -> {same}), true)), at -> if(at = 0, concat(acc, array(o)), transform(acc, (e, k) -> if(k + 1 = at and {weight('rs[o]')} > {weight('rs[e]')}, o, e))))[0])"
@@ -98,12 +98,13 @@ def combined(readings: DataFrame) -> DataFrame:
     split = split.withColumn("joined", F.expr(joined)).withColumn("weak", t.weak(F.col("joined")))
     last = f"if(size(columns) > 0, array(struct(joined as text, weak as normalized, {quality} as quality, if(size(wholes) > 0, 'leaves', 'combined') as source)), array())"
     alternatives = f"filter(concat(transform(wholes, i -> struct(rs[i].text as text, rs[i].normalized as normalized, rs[i].quality as quality, concat('whole:', i) as source)), {last}), c -> c.normalized <> '')"
-    made = split.select("group_id", F.expr(alternatives).alias("cs")).where("size(cs) > 0").withColumns({"m": F.size("cs"), "words": F.expr("transform(cs, c -> c.normalized)")})
-    made = made.withColumns({"likes": likeness("words"), "runs": shares("words"), "mid": F.expr("array_sort(transform(cs, c -> length(c.normalized)))[int(size(cs) / 2)]")})
+    made = split.select(*by, F.expr(alternatives).alias("cs")).withColumns({"m": F.size("cs"), "words": F.expr("if(size(cs) > 1, transform(cs, c -> c.normalized), null)")})
+    # before what is measured, the optimizer would move this down and spell out every fold in it many times over
+    made = made.withColumns({"likes": likeness("words"), "runs": shares("words"), "mid": F.expr("array_sort(transform(cs, c -> length(c.normalized)))[int(size(cs) / 2)]")}).where("m > 0")
     agreed = "coalesce(array_max(transform(filter(sequence(0, m - 1), j -> j <> i), j -> likes[i * m + j])), 0.0D)"
     fuller = "aggregate(filter(cs, d -> contains(c.normalized, d.normalized) and length(c.normalized) > length(d.normalized)), 0.0D, (a, d) -> a + least(0.12D, 0.025D * (length(c.normalized) - length(d.normalized))))"
     scores = f"transform(cs, (c, i) -> 0.72D * c.quality + 0.28D * {agreed} + {fuller} - if(length(c.normalized) > 2.8D * mid + 6, 0.18D, 0.0D))"
     best = made.withColumn("scores", F.expr(scores)).withColumn("best", F.expr("cast(array_position(scores, array_max(scores)) - 1 as int)"))
     takes = "runs[b * m + o] >= 0.62 and length(cs[o].normalized) >= length(cs[b].normalized) + 2 and cs[o].quality >= cs[b].quality - 0.16"
     chosen = best.withColumn("best", F.expr(f"aggregate(sequence(0, m - 1), best, (b, o) -> if({takes}, o, b))")).withColumn("c", F.expr("cs[best]"))
-    return chosen.select("group_id", "c.text", "c.quality", "c.source")
+    return chosen.select(*by, "c.text", "c.quality", "c.source")

@@ -58,7 +58,7 @@ def read_again(spark, sf):
 
 @query("combine_readings")
 def combine_readings(spark, sf):
-    return readings.combined(parts(spark, sf)).withColumn("quality", F.round("quality", 6))
+    return readings.combined(parts(spark, sf), ("page_id", "group_id")).select("group_id", "text", F.round("quality", 6).alias("quality"), "source")
 
 
 @query("visible_length", f"SELECT id, length(regexp_replace(text, '\\s', '', 'g')) AS visible, translate(text, '「」ー', '﹁﹂｜') AS upright FROM {WORDS}")

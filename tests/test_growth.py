@@ -154,3 +154,29 @@ def test_masks_of_boxes_count_where_boxes_are_apart(spark):
 def test_agreement_needs_no_join(spark, sf):
     text = plan(QUERIES["reading_agreement"](spark, sf))
     assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+
+
+@pytest.mark.parametrize("name", ["combine_readings"])
+def test_a_fold_is_not_spelled_out_again(spark, sf, name):
+    lines = plan(QUERIES[name](spark, sf)).splitlines()
+    # tens of thousands of characters, evaluated for each group, where a filter held the folds below it
+    assert all(len(line) < 4000 for line in lines if "Filter" in line)
+
+
+def test_a_page_of_readings_is_dealt_out_once(spark, sf):
+    text = plan(QUERIES["combine_readings"](spark, sf))
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+
+
+def test_single_readings_are_not_compared(spark, monkeypatch):
+    from panelflow.operators import readings
+
+    def never(a, b):
+        raise AssertionError("a single reading has nothing to be compared with")
+
+    square = readings.t.square(never)
+    monkeypatch.setattr(readings, "likeness", square)
+    monkeypatch.setattr(readings, "shares", square)
+    rows = [("a", 1, 0, 0, 9, 9, "ab", "ab", 0.5), ("b", 1, 0, 0, 9, 9, "!", "!", 0.5), ("c", 1, 0, 0, 9, 9, "c", "c", 1.5)]
+    got = readings.combined(spark.createDataFrame(rows, "group_id string, ordinal long, x long, y long, w long, h long, text string, normalized string, quality double"))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "ab", 0.5, "combined"), ("c", "c", 1.0, "combined")]
