@@ -52,7 +52,9 @@ def preferred_size(spark, sf):
 
 @query("axis_centres", f"{BASE}, {CENTRES} SELECT page_id, component, c AS at, round(centre, 6) AS centre FROM centre")
 def axis_centres(spark, sf):
-    return fonts.axis_centres(preferred(spark, sf)).select(*KEY, F.posexplode("centres").alias("at", "centre")).select(*KEY, F.col("at").cast("long"), F.round("centre", 6).alias("centre"))
+    # outer, as the optimizer would otherwise ask below whether there are centres, with all that makes them spelled out again
+    at = fonts.axis_centres(preferred(spark, sf)).select(*KEY, F.posexplode_outer("centres").alias("at", "centre")).where("at IS NOT NULL")
+    return at.select(*KEY, F.col("at").cast("long"), F.round("centre", 6).alias("centre"))
 
 
 @query("run_centres", f"WITH {REGIONS}, i AS (SELECT *, rn - row_number() OVER (PARTITION BY page_id ORDER BY rn) AS g FROM regions WHERE w > 100) SELECT page_id, min(rn) AS first, round(sum(rn * w) / sum(w)::DOUBLE, 6) AS centre FROM i GROUP BY page_id, g")

@@ -156,7 +156,7 @@ def test_agreement_needs_no_join(spark, sf):
     assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
 
 
-@pytest.mark.parametrize("name", ["combine_readings"])
+@pytest.mark.parametrize("name", ["combine_readings", "axis_centres"])
 def test_a_fold_is_not_spelled_out_again(spark, sf, name):
     lines = plan(QUERIES[name](spark, sf)).splitlines()
     # tens of thousands of characters, evaluated for each group, where a filter held the folds below it
