@@ -24,6 +24,14 @@ def font_hint() -> Column:
     return F.expr(f"coalesce(median(font_hint) FILTER (WHERE source = 'ctd' AND {plausible}), median(font_hint) FILTER (WHERE {plausible}))")
 
 
+def parts_hint() -> Column:
+    """The same of a group's regions as an array ``parts``; most groups are one region, which needs no sorting."""
+    ranked = "array_sort(transform(filter(parts, m -> m.font_hint BETWEEN 4 AND 300{0}), m -> m.font_hint))"
+    middle = "transform(array({0}), s -> if(size(s) = 0, null, (s[int((size(s) - 1) / 2)] + s[int(size(s) / 2)]) / 2.0D))[0]"
+    of_first, of_all = (middle.format(ranked.format(some)) for some in (" AND m.source = 'ctd'", ""))
+    return F.expr(f"CASE WHEN size(parts) = 1 THEN if(get(parts, 0).font_hint BETWEEN 4 AND 300, get(parts, 0).font_hint, null) ELSE coalesce({of_first}, {of_all}) END")
+
+
 def char_size(regions: DataFrame, short_side: int) -> DataFrame:
     """``page_id, char_size``: median of plausible hints, else a share of the page's short side."""
     hints = regions.groupBy("page_id").agg(F.expr("median(font_hint) FILTER (WHERE font_hint BETWEEN 4 AND 256)").alias("m"))
@@ -45,12 +53,15 @@ def axis_centres(groups: DataFrame) -> DataFrame:
     regions too wide for one column are left out.
     """
     used = "filter(parts, m -> (m.source <=> 'ctd' OR NOT exists(parts, e -> e.source <=> 'ctd')) AND CASE WHEN vertical THEN m.w ELSE m.h END <= p * 1.85D)"
-    placed = f"array_sort(transform({used}, m -> CASE WHEN vertical THEN m.x + m.w / 2.0D - x ELSE m.y + m.h / 2.0D - y END))"
-    fold = """transform(aggregate(_ats, cast(array() as array<struct<s:double,n:bigint>>), (acc, v) ->
+    place = "CASE WHEN vertical THEN {0}.x + {0}.w / 2.0D - x ELSE {0}.y + {0}.h / 2.0D - y END"
+    placed = f"array_sort(transform({used}, m -> {place.format('m')}))"
+    fold = f"""transform(aggregate({placed}, cast(array() as array<struct<s:double,n:bigint>>), (acc, v) ->
       if(size(acc) > 0 and v - element_at(acc, -1).s / element_at(acc, -1).n <= p * 0.55D,
          concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', element_at(acc, -1).s + v, 'n', element_at(acc, -1).n + 1L))),
          concat(acc, array(named_struct('s', v, 'n', 1L))))), c -> c.s / c.n)"""
-    return groups.withColumn("_ats", F.expr(placed)).withColumn("centres", F.expr(fold)).drop("_ats", "parts")
+    # most groups are one region, which needs no fold
+    one = f"if(CASE WHEN vertical THEN get(parts, 0).w ELSE get(parts, 0).h END <= p * 1.85D, array({place.format('get(parts, 0)')}), cast(array() as array<double>))"
+    return groups.withColumn("centres", F.expr(f"CASE WHEN size(parts) = 1 THEN {one} ELSE {fold} END")).drop("parts")
 
 
 def run_centres(projection: DataFrame, by: list[str], at: str, weight: str) -> DataFrame:

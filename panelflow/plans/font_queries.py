@@ -28,12 +28,12 @@ KEY = ["page_id", "component"]
 
 def preferred(spark, sf):
     r = regions(spark, sf).withColumn("font_hint", F.expr("least(w, h) / 3.0D"))
-    groups = pages.grouped(r, hint=fonts.font_hint(), parts=F.collect_list(F.struct("source", "x", "y", "w", "h")))
+    groups = pages.grouped(r, parts=F.collect_list(F.struct("source", "x", "y", "w", "h", "font_hint"))).withColumn("hint", fonts.parts_hint())
     return apply(groups.withColumn("mask_hint", F.expr("CASE component % 3 WHEN 0 THEN NULL WHEN 1 THEN hint * 1.2D ELSE hint * 3 END")), fonts.PREFERRED)
 
 
 def laid(spark, sf):
-    found = fonts.axis_centres(preferred(spark, sf)).withColumn("steps", F.expr("array_sort(transform(slice(centres, 2, size(centres)), (c, i) -> c - centres[i]))"))
+    found = fonts.axis_centres(preferred(spark, sf)).withColumn("steps", F.expr("if(size(centres) < 2, cast(array() as array<double>), array_sort(transform(slice(centres, 2, size(centres)), (c, i) -> c - centres[i])))"))
     gap = F.expr("if(size(steps) = 0, null, (steps[int((size(steps) - 1) / 2)] + steps[int(size(steps) / 2)]) / 2.0D)")
     full = found.withColumns({"gap": gap, "centres": F.size("centres").cast("long")}).drop("members", "steps")
     full = full.withColumns({"n0": F.expr("3 + component % 9"), "n": F.expr("(component * 5) % 23"), "tx": F.expr("x + 3"), "ty": F.expr("y + 3"), "tw": F.expr("greatest(1L, w - 8)"), "th": F.expr("greatest(1L, h - 8)"), "page_w": F.lit(900), "page_h": F.lit(900)})

@@ -180,3 +180,23 @@ def test_single_readings_are_not_compared(spark, monkeypatch):
     rows = [("a", 1, 0, 0, 9, 9, "ab", "ab", 0.5), ("b", 1, 0, 0, 9, 9, "!", "!", 0.5), ("c", 1, 0, 0, 9, 9, "c", "c", 1.5)]
     got = readings.combined(spark.createDataFrame(rows, "group_id string, ordinal long, x long, y long, w long, h long, text string, normalized string, quality double"))
     assert sorted(tuple(r) for r in got.collect()) == [("a", "ab", 0.5, "combined"), ("c", "c", 1.0, "combined")]
+
+
+def test_hints_and_centres_of_parts(spark):
+    from pyspark.sql import functions as F
+
+    from panelflow.operators import fonts
+
+    rows = [(g, s, h, x) for g, parts in enumerate(([("ctd", 20.0, 0)], [("multiscale", 20.0, 0)], [("ctd", 3.0, 0)], [("x", None, 0)], [("ctd", 10.0, 0), ("ctd", 30.0, 2), ("x", 90.0, 4)], [("ctd", 301.0, 0), ("x", 5.0, 40), (None, 8.0, 90)])) for s, h, x in parts]
+    parts = spark.createDataFrame([(g, s, h, x, 0, 9, 9) for g, s, h, x in rows], "g long, source string, font_hint double, x long, y long, w long, h long")
+    groups = parts.groupBy("g").agg(fonts.font_hint().alias("want"), F.array_sort(F.collect_list(F.struct("x", "source", "y", "w", "h", "font_hint"))).alias("parts"))
+    made = groups.withColumns({"hint": fonts.parts_hint(), "p": F.lit(10.0), "x": F.lit(0), "y": F.lit(0), "vertical": F.lit(True)})
+    got = {r.g: (r.hint, r.want, r.centres) for r in fonts.axis_centres(made).collect()}
+    assert all(hint == want for hint, want, _ in got.values()) and [got[g][0] for g in range(6)] == [20, 20, None, None, 20, 6.5]
+    assert [got[g][2] for g in range(6)] == [[4.5]] * 4 + [[5.5], [4.5]]
+    assert fonts.axis_centres(made.where("g = 0").withColumn("p", F.lit(1.0))).first().centres == []
+
+
+def test_medians_of_hints_are_not_aggregated(spark, sf):
+    # a median's table of values was written and read for each group
+    assert "percentile" not in plan(QUERIES["preferred_size"](spark, sf)).lower() and "median" not in plan(QUERIES["preferred_size"](spark, sf)).lower()
