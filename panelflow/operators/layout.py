@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .raster import _pieces, within
+
 MIN_FONT, MAX_FONT = 10, 180
 
 
@@ -66,6 +72,58 @@ def choose(plans: DataFrame, key: list[str], last: str = "columns") -> DataFrame
     return plans.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def vertical_choice(groups: DataFrame, key: list[str]) -> DataFrame:
+    """``key, size, columns`` of the plan that ``choose`` takes of ``vertical_plans``; groups that nothing fits stay out.
+
+    A group's plans are numbers of its own batch, so neither an exchange nor a sort holds them. Numpy leaves out
+    what costs more than the least by over 1e-8; of the few that remain the expressions choose.
+    """
+    low, high = font_bounds("p")
+    kinds = dict(groups.dtypes)
+    given = ["w", "h", "p", "expected"]
+    known = groups.where("w > 0 AND h > 0 AND p > 0 AND n > 0 AND expected IS NOT NULL").select(*key, *[F.col(c).cast("double").alias(f"_{c}") for c in given], F.col("n").cast("long").alias("_n"), low.alias("_low"), high.alias("_high"))
+    passed = [*key, *[f"_{c}" for c in given], "_n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, h, p, expected, n, low, high = (batch.column(c).to_numpy() for c in ("_w", "_h", "_p", "_expected", "_n", "_low", "_high"))
+
+            def widest(size: np.ndarray, row: np.ndarray) -> np.ndarray:
+                return np.maximum(1, np.minimum(n[row], np.floor(w[row] / (size * 1.08)).astype(np.int64) + 1))
+
+            many = high - low + 1
+            # a plan takes the place of some cells
+            for lo, hi in _pieces(np.cumsum(8 * many * widest(low, np.arange(len(low))))):
+                row = np.repeat(np.arange(lo, hi), many[lo:hi])
+                size = low[row] + within(many[lo:hi])
+                most = widest(size, row)
+                columns = within(most) + 1
+                row, size = np.repeat(row, most), np.repeat(size, most)
+                bw, bh = columns * size * 1.08, np.ceil(n[row] / columns) * size
+                fit = (bw <= w[row]) & (bh <= h[row])
+                row, size, columns, bw, bh = (c[fit] for c in (row, size, columns, bw, bh))
+                far = size < np.maximum(float(MIN_FONT), 0.92 * p[row])
+                cost = 4.4 * abs(np.log(size / p[row])) + 1.15 * abs(np.log(bw / w[row])) + 1.45 * abs(np.log(bh / h[row])) + 0.32 * abs(columns - expected[row])
+                found = np.bincount(row - lo, minlength=hi - lo)
+                first = (np.cumsum(found) - found)[found > 0]
+                if len(first):
+                    all_far = np.repeat(np.logical_and.reduceat(far, first), found[found > 0])
+                    cost = np.where(far == all_far, cost, np.inf)
+                    kept = cost <= np.repeat(np.minimum.reduceat(cost, first), found[found > 0]) + 1e-8
+                    row, size, columns = row[kept], size[kept], columns[kept]
+                ends = np.append(0, np.cumsum(np.bincount(row - lo, minlength=hi - lo)))
+                plans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(size), pa.array(columns)], ["size", "columns"]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in passed), plans], [*passed, "_plans"])
+
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in key], *[f"_{c} double" for c in given], "_n long", "_plans array<struct<size:bigint,columns:bigint>>"])
+    bw, bh = "(q.columns * q.size * 1.08D)", "(cast(ceil(_n / cast(q.columns as double)) as bigint) * q.size * 1.0D)"
+    cost = f"4.4D * abs(ln(q.size / _p)) + 1.15D * abs(ln({bw} / _w)) + 1.45D * abs(ln({bh} / _h)) + 0.32D * abs(q.columns - _expected)"
+    ranked = f"transform(_plans, q -> struct(round({cost}, 9) as cost, round(abs(ln(q.size / _p)), 9) as off, -q.size as back, q.columns as columns, q.size as size))"
+    # of a single plan nothing is asked
+    best = F.expr(f"if(size(_plans) < 2, _plans, transform(slice(array_sort({ranked}), 1, 1), q -> struct(q.size as size, q.columns as columns)))")
+    return known.mapInArrow(run, schema).withColumn("_best", F.explode(best)).select(*key, "_best.size", "_best.columns")
+
+
 def block_box(x: str, y: str, cx: str, cy: str, bw: str, bh: str) -> dict[str, Column]:
     """Whole-number box of a planned block."""
     left, top = f"floor({x} + {cx} - {bw} / 2.0D)", f"floor({y} + {cy} - {bh} / 2.0D)"

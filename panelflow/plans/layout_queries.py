@@ -86,7 +86,7 @@ def reading_pad(spark, sf):
 @query("layout_choose", PLANS + """, k AS (SELECT *, row_number() OVER (PARTITION BY page_id, rn ORDER BY NOT (size >= greatest(10.0, 0.92 * p)), round(cost, 9), round(abs(ln(size / p)), 9), size DESC, columns) AS pick FROM q)
 SELECT page_id, rn, size, columns FROM k WHERE pick = 1""")
 def layout_choose(spark, sf):
-    return layout.choose(layout.vertical_plans(groups(spark, sf)), ["page_id", "rn"]).select("page_id", "rn", "size", "columns")
+    return layout.vertical_choice(groups(spark, sf), ["page_id", "rn"])
 
 
 @query("block_bbox", f"WITH {REGIONS} SELECT page_id, rn, floor(x + w / 2.0 - w / 3.0)::BIGINT AS bx, floor(y + h / 2.0 - h / 4.0)::BIGINT AS by FROM regions")

@@ -232,3 +232,18 @@ def test_hints_and_centres_of_parts(spark):
 def test_medians_of_hints_are_not_aggregated(spark, sf):
     # a median's table of values was written and read for each group
     assert "percentile" not in plan(QUERIES["preferred_size"](spark, sf)).lower() and "median" not in plan(QUERIES["preferred_size"](spark, sf)).lower()
+
+
+def test_plans_are_chosen_within_the_row(spark, sf):
+    text = plan(QUERIES["layout_choose"](spark, sf))
+    # all plans of a partition were sorted, and went to disk at ten times the size
+    assert text.count("Exchange hashpartitioning") == 1 and text.count("Window") == 1 and text.count("+- Sort") == 1
+
+
+def test_choice_is_that_of_all_plans(spark):
+    from panelflow.operators import layout
+
+    rows = [(k, w, h, min(w, h) / 3.0, n, 2) for k, (w, h, n) in enumerate([(40, 200, 9), (220, 60, 30), (20, 20, 5), (100, 100, 12), (3, 400, 4), (90, 30, 1), (150, 160, 44), (-5, 40, 3)])] + [(98, None, 5, None, 3, 2)]
+    df = spark.createDataFrame(rows, "k long, w long, h long, p double, n long, expected int")
+    got, want = ({r.k: (r.size, r.columns) for r in d.collect()} for d in (layout.vertical_choice(df, ["k"]), layout.choose(layout.vertical_plans(df), ["k"])))
+    assert got == want and 0 < len(got) < len(rows)
