@@ -236,7 +236,7 @@ def test_medians_of_hints_are_not_aggregated(spark, sf):
 
 def test_plans_are_chosen_within_the_row(spark, sf):
     text = plan(QUERIES["layout_choose"](spark, sf))
-    # all plans of a partition were sorted, and went to disk at ten times the size
+    # all plans of a partition were sorted
     assert text.count("Exchange hashpartitioning") == 1 and text.count("Window") == 1 and text.count("+- Sort") == 1
 
 
